@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verascope.llm import bpe, simhash
+from verascope.llm import bpe, quality_rules, simhash
 from verascope.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,13 +17,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op9_bpe": op9_bpe}
+    return {"op1_simhash": op1_simhash, "op8_quality_rules": op8_quality_rules, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
