@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verascope.llm import bpe, quality_rules, simhash
+from verascope.llm import bpe, decontaminate, quality_rules, simhash
 from verascope.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -26,8 +26,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op8_quality_rules": op8_quality_rules, "op9_bpe": op9_bpe}
+    return {"op1_simhash": op1_simhash, "op8_quality_rules": op8_quality_rules, "op9_bpe": op9_bpe, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
