@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BYTE = np.arange(256)
 #: Bytes of a word: all but ASCII white space; or ASCII letters and digits, and whatever isn't ASCII.
@@ -74,7 +75,7 @@ def portions(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2_000_
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.concatenate(([0], np.cumsum(sizes + 1)))
         at = 0
         while at < batch.num_rows:
