@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verascope.llm import bpe, decontaminate, langid, quality_fm, quality_rules, simhash
+from verascope.llm import bpe, decontaminate, html_text, langid, quality_fm, quality_rules, simhash
 from verascope.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
@@ -47,7 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_language_id": op3_language_id, "op5_quality_classifier": op5_quality_classifier, "op8_quality_rules": op8_quality_rules, "op9_bpe": op9_bpe, "op10_decontamination": op10_decontamination}
+    return {"op1_simhash": op1_simhash, "op2_html_extraction": op2_html_extraction, "op3_language_id": op3_language_id, "op5_quality_classifier": op5_quality_classifier, "op8_quality_rules": op8_quality_rules, "op9_bpe": op9_bpe, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
