@@ -18,29 +18,31 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG_PIECE = 256
-#: Pieces whose ids a worker remembers, and bytes that one DuckDB query gets.
-REMEMBERED, QUERY_BYTES, OUTPUT_BYTES = 250_000, 600_000, 8_000_000
+#: Pieces that a worker remembers in each of two generations, bytes that one DuckDB query gets, bytes of text at a time.
+REMEMBERED, QUERY_BYTES, TEXT_BYTES = 300_000, 600_000, 1_500_000
 
 CONTRACT = """
-WITH RECURSIVE state(w, p, id, k) AS (
-  SELECT w, p, id, 0 FROM start
+WITH RECURSIVE state(w, p, id, ended) AS (
+  SELECT w, p, id, false FROM start
   UNION ALL
-  SELECT w, p, CASE WHEN pair = best THEN merged ELSE id END, k + 1
-  FROM (SELECT *, lag(pair) OVER (PARTITION BY w ORDER BY p) AS before, min(pair) OVER (PARTITION BY w) AS best
-        FROM (SELECT a.w, a.p, a.id, a.k, m.merged, m.merged::BIGINT * 65536 + a.p AS pair
-              FROM (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY p) AS after FROM state) a
-              LEFT JOIN merges m ON a.id = m.l AND a.after = m.r))
-  WHERE best IS NOT NULL AND (before IS NULL OR before <> best)
-), ended AS (
-  SELECT w, p, id FROM (SELECT *, max(k) OVER (PARTITION BY w) AS last FROM state) WHERE k = last
+  (WITH pair AS (
+     SELECT w, p, id, lead(id) OVER piece AS id2, lead(p) OVER piece AS p2 FROM state WHERE NOT ended
+     WINDOW piece AS (PARTITION BY w ORDER BY p)
+   ), best AS (
+     SELECT w, min(m.merged::BIGINT * 65536 + p) AS key, arg_min(p2, m.merged::BIGINT * 65536 + p) AS gone
+     FROM pair JOIN merges m ON pair.id = m.l AND pair.id2 = m.r GROUP BY w
+   )
+   SELECT pair.w, p, CASE WHEN key & 65535 = p THEN (key >> 16)::INTEGER ELSE id END, best.w IS NULL
+   FROM pair LEFT JOIN best ON best.w = pair.w WHERE best.w IS NULL OR p <> gone)
 )
-SELECT w, list(e.id ORDER BY p) AS ids, string_agg(v.hex, '' ORDER BY p) AS hex
-FROM ended e JOIN vocabulary v ON v.id = e.id GROUP BY w ORDER BY w
+SELECT w, list(s.id ORDER BY p) AS ids, string_agg(v.hex, '' ORDER BY p) AS hex
+FROM state s JOIN vocabulary v ON v.id = s.id WHERE ended GROUP BY w ORDER BY w
 """
 
 DECODE = "SELECT w, string_agg(v.hex, '' ORDER BY p) AS hex FROM given g JOIN vocabulary v ON v.id = g.id GROUP BY w"
@@ -62,6 +64,7 @@ class Coder:
         left, right, merged = (pa.array(c, pa.int32()) for c in zip(*pairs, strict=True)) if pairs else [pa.array([], pa.int32())] * 3
         self.con = duckdb.connect()
         self.con.execute("SET threads = 1")
+        self.con.execute("SET memory_limit = '400MB'")
         self.con.register("merges_in", pa.table({"l": left, "r": right, "merged": merged}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.con.register(
@@ -71,8 +74,11 @@ class Coder:
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.bytes_of = {i: t for t, i in self.ranks.items()}
-        #: Piece -> its ids as little-endian unsigned 32-bit integers, and the bytes those decode to.
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        #: Piece -> its ids as little-endian unsigned 32-bit integers.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: What ids decode to, for pieces whose ids decode to other bytes than the piece's own.
+        self.other: dict[str, bytes] = {}
 
     def contract(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -121,19 +127,25 @@ class Coder:
         queued: list[str] = []
         size = 0
 
+        def remember(piece: str, ids: bytes, decoded: bytes) -> None:
+            self.known[piece] = ids
+            if decoded != piece.encode():
+                self.other[piece] = decoded
+
         def flush() -> None:
             nonlocal size
             if queued:
-                self.known.update(zip(queued, self.contract([q.encode() for q in queued]), strict=True))
+                for q, (ids, decoded) in zip(queued, self.contract([q.encode() for q in queued]), strict=True):
+                    remember(q, ids, decoded)
                 queued.clear()
                 size = 0
 
         for piece in pieces:
             raw = piece.encode()
             if (rank := self.ranks.get(raw)) is not None:
-                self.known[piece] = (rank.to_bytes(4, "little"), self.bytes_of[rank])
+                remember(piece, rank.to_bytes(4, "little"), self.bytes_of[rank])
             elif len(raw) > LONG_PIECE:
-                self.known[piece] = self.contract_long(raw)
+                remember(piece, *self.contract_long(raw))
             else:
                 queued.append(piece)
                 size += len(raw)
@@ -144,10 +156,15 @@ class Coder:
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         cut = [self.find(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        self.learn({p for pieces in cut for p in pieces if p not in known})
-        return [(b"".join([known[p][0] for p in pieces]), b"".join([known[p][1] for p in pieces])) for pieces in cut]
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = {p for pieces in cut for p in pieces if p not in known}
+        known.update((p, older[p]) for p in missing if p in older)
+        self.learn(missing - known.keys())
+        known, other = self.known, self.other
+        if other:
+            return [(b"".join([known[p] for p in pieces]), b"".join([other.get(p) or p.encode() for p in pieces])) for pieces in cut]
+        return [(b"".join([known[p] for p in pieces]), "".join(pieces).encode()) for pieces in cut]
 
     def decode(self, packed: list[bytes | None]) -> list[bytes]:
         """Bytes of whole id sequences; ids that no token has give nothing."""
@@ -179,10 +196,10 @@ def coder(ranks_path: str, pattern: str) -> Coder:
     return _CODERS[key]
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = OUTPUT_BYTES // 8) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about limit bytes of one column, a row at least each."""
     offsets = np.zeros(batch.num_rows + 1, np.int64)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     offsets[1:] = np.cumsum(sizes.to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
