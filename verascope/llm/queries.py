@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verascope.llm import bpe, decontaminate, html_text, langid, quality_fm, quality_rules, secrets, simhash
+from verascope.llm import bpe, decontaminate, html_text, langid, lm, quality_fm, quality_rules, secrets, simhash
 from verascope.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 5) == 1
+    model, counts = lm.train(docs, ~held_out)
+    scored = lm.score(docs, model, counts)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = secrets.train(secrets.built_in_findings(spark))
     return secrets.findings(table(spark, sf_dir, "documents"), forest)
@@ -56,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_html_extraction": op2_html_extraction, "op3_language_id": op3_language_id, "op5_quality_classifier": op5_quality_classifier, "op7_secret_scan": op7_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_bpe": op9_bpe, "op10_decontamination": op10_decontamination}
+    return {"op1_simhash": op1_simhash, "op2_html_extraction": op2_html_extraction, "op3_language_id": op3_language_id, "op5_quality_classifier": op5_quality_classifier, "op6_lm_score": op6_lm_score, "op7_secret_scan": op7_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_bpe": op9_bpe, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
