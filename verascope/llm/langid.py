@@ -22,10 +22,10 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_per_lang and max_langs bound what is collected for training; every fifth sampled row calibrates."""
+    """About sample_rows rows, shared evenly by at most max_langs languages, are collected; every fifth calibrates."""
 
     bits: int = 15
-    sample_per_lang: int = 1500
+    sample_rows: int = 2400
     max_langs: int = 64
     epochs: int = 3
     alpha: float = 0.5
@@ -141,7 +141,7 @@ def train(df: DataFrame, learnable: Column, s: Settings = Settings(), id_col: st
     df_counts, n = document_frequency(d, s.bits)
     idf = np.log((1 + n) / (1 + df_counts)) + 1
     langs = sorted(sizes)
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, s.sample_per_lang / sizes[lang]))])
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, s.sample_rows / len(langs) / sizes[lang]))])
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
     bits = s.bits
 
@@ -159,7 +159,8 @@ def train(df: DataFrame, learnable: Column, s: Settings = Settings(), id_col: st
     for at, tf in zip(got["at"], got["tf"], strict=True):
         x = np.asarray(tf, np.float64) * idf[np.asarray(at)]
         norm = np.sqrt((x * x).sum())
-        rows.append((np.asarray(at, np.int64), x / norm if norm else x))
+        rows.append((np.asarray(at), (x / norm if norm else x).astype(np.float32)))
+    del got
     kept_back = np.arange(len(rows)) % 5 == 4
     fit = np.flatnonzero(~kept_back)
     weights = ftrl([rows[i] for i in fit], labels[fit], len(langs), 1 << s.bits, s)
@@ -179,3 +180,15 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return source.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def accepted(df: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+    """The rows of df, whole, whose language is determined with min_score or more; null and letterless texts go."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches, at):
+            done = [model.predict(x) for x in b.column(at).to_pylist()]
+            yield b.filter(pa.array([lang != UNDETERMINED and p >= min_score for lang, p in done], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
