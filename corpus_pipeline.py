@@ -1,10 +1,65 @@
-"""Corpus pipeline: language ID, near-dedup, decontamination, secret scans, tokenization."""
+"""Corpus pipeline: language ID, near-dedup, decontamination, secret redaction, tokenization.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verascope.llm import bpe, decontaminate, langid, secrets, simhash
+from verascope.llm.common import fold, table, written
+from verascope.llm.queries import RANKS
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a determined language go: null or letterless text, or a score under one half."""
+    return langid.accepted(docs, langid.train(docs, fold("doc_id", 4) != 2))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints, the document of least doc_id stays. Rows of a null doc_id stay."""
+    gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; n_chars follows. No document goes."""
+    forest = secrets.train(secrets.built_in_findings(spark))
+    if "n_chars" not in docs.columns:
+        return secrets.redacted(docs, forest)
+    clean = secrets.redacted(docs.withColumn("_before", F.length("text")), forest)
+    change = F.coalesce(F.length("text") - F.col("_before"), F.lit(0))
+    return clean.withColumn("n_chars", (F.col("n_chars") + change).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what stayed."""
+    return bpe.digests(bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("tokenization", tokenization),
+]
+
+#: Trained models and recursive contraction are beyond SQL; tests/llm holds the rows against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
