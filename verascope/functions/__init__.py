@@ -1 +1 @@
-"""Part of verascope."""
+"""Column expressions: text signals, scalars, HTML."""
