@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 LONG_PIECE = 256
 #: Pieces that a worker remembers in each of two generations, bytes that one DuckDB query gets, bytes of text at a time.
-REMEMBERED, QUERY_BYTES, TEXT_BYTES = 300_000, 600_000, 1_500_000
+REMEMBERED, QUERY_BYTES, TEXT_BYTES = 200_000, 600_000, 1_500_000
 
 CONTRACT = """
 WITH RECURSIVE state(w, p, id, ended) AS (

@@ -104,17 +104,18 @@ def _regions(docs: DataFrame, bloom: tuple[np.ndarray, np.ndarray], reach: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(FILTER_BITS // 64, np.uint64)
         table[at] = bits
-        table = np.unpackbits(table.view(np.uint8), bitorder="little").view(bool) if len(at) else None
-        for b in portions(batches, 1):
-            if table is None:
+        table = table.view(np.uint8)
+        marked = lambda h: (table[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8) & 1).view(bool)
+        for b in portions(batches, 1, 1_000_000):
+            if not len(at):
                 continue
             found = words([_normal(t) for t in b.column(1).to_pylist()], WORDLIKE)
             text_of = found.text_of()
             where, hashes = [], []
             for pos, h in _seeds(found.hashes, text_of):
                 one, two = _filter_bits(h)
-                hit = np.flatnonzero(table[one])
-                hit = hit[table[two[hit]]]
+                hit = np.flatnonzero(marked(one))
+                hit = hit[marked(two[hit])]
                 where.append(pos[hit])
                 hashes.append(h[hit])
             if not where or not sum(map(len, where)):
@@ -204,4 +205,4 @@ def contaminated(
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, with all their columns, in which no item was found. Rows of a null id stay if no null id holds one."""
     bad = contaminated(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
