@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from verascope.llm import bpe, decontaminate, langid, secrets, simhash
 from verascope.llm.common import fold, table, written
@@ -34,11 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows. No document goes."""
     forest = secrets.train(secrets.built_in_findings(spark))
-    if "n_chars" not in docs.columns:
-        return secrets.redacted(docs, forest)
-    clean = secrets.redacted(docs.withColumn("_before", F.length("text")), forest)
-    change = F.coalesce(F.length("text") - F.col("_before"), F.lit(0))
-    return clean.withColumn("n_chars", (F.col("n_chars") + change).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return secrets.redacted(docs, forest, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,14 +130,14 @@ def _score(tree: Tree, x: Column) -> Column:
 
 
 def scan(df: DataFrame, forest: list[Tree], text_col: str = "text") -> DataFrame:
-    """df with `between` and `found`: texts around the candidates (one more than those) and array<struct<nth, value, before, p>>.
+    """(row, between, found): the whole row of df as a struct, the texts around its candidates (one more than those), and
+    array<struct<nth, value, before, p>> of the candidates.
 
     between[0], found[0].value, between[1], ... joined give the text. Null and empty texts have no candidate.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    some = text.rlike("[0-9:=-]")
-    df = df.withColumn("_values", F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("between", F.when(F.size("_values") > 0, F.split(text, CANDIDATE, -1)).otherwise(F.array(text)))
+    df = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    df = df.withColumn("values", F.when(F.col("text").rlike("[0-9:=-]"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("between", F.when(F.size("values") > 0, F.split("text", CANDIDATE, -1)).otherwise(F.array("text")))
 
     def judge(value: Column, i: Column) -> Column:
         before, after = F.get("between", i), F.get("between", i + 1)
@@ -145,7 +145,7 @@ def scan(df: DataFrame, forest: list[Tree], text_col: str = "text") -> DataFrame
         p = F.transform(F.array(named), lambda x: sum((_score(t, x) for t in forest[1:]), _score(forest[0], x)) / len(forest))[0]
         return F.struct(i.alias("nth"), value.alias("value"), F.substring(before, -40, 40).alias("before"), p.alias("p"))
 
-    return df.withColumn("found", F.transform("_values", judge)).drop("_values")
+    return df.select("row", "between", F.transform("values", judge).alias("found"))
 
 
 def kind(value: Column, before: Column) -> Column:
@@ -166,7 +166,7 @@ def findings(df: DataFrame, forest: list[Tree], id_col: str = "doc_id", text_col
     that repeat a doc_id give theirs each. An empty table gives none.
     """
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    x = scan(source, forest).select("doc_id", F.explode(F.filter("found", lambda f: f["p"] >= threshold)).alias("f"))
+    x = scan(source, forest).select("row.doc_id", F.explode(F.filter("found", lambda f: f["p"] >= threshold)).alias("f"))
     return x.select(
         "doc_id",
         F.col("f.nth").cast("long").alias("nth"),
@@ -177,10 +177,16 @@ def findings(df: DataFrame, forest: list[Tree], id_col: str = "doc_id", text_col
     )
 
 
-def redacted(df: DataFrame, forest: list[Tree], text_col: str = "text", threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """df with every secret in text_col replaced by the mark; all rows and columns stay, null text stays null."""
-    columns = df.columns
-    s = scan(df, forest, text_col)
+def redacted(df: DataFrame, forest: list[Tree], text_col: str = "text", length_col: str | None = None, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
+    """df with every secret in text_col replaced by the mark; all rows and columns stay, null text stays null.
+
+    length_col, if given, changes by as many characters as the text does.
+    """
     pieces = F.zip_with("between", "found", lambda b, f: F.concat(b, F.when(f.isNull(), "").when(f["p"] >= threshold, mark).otherwise(f["value"])))
-    clean = F.when(F.exists("found", lambda f: f["p"] >= threshold), F.array_join(pieces, "")).otherwise(F.col(text_col))
-    return s.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in columns])
+    row = lambda name: F.col("row").getField(name)
+    marked = F.exists("found", lambda f: f["p"] >= threshold)
+    new = {text_col: F.when(marked, F.array_join(pieces, "")).otherwise(row(text_col))}
+    if length_col:
+        grown = F.aggregate("found", F.lit(0), lambda n, f: n + F.when(f["p"] >= threshold, len(mark) - F.length(f["value"])).otherwise(0))
+        new[length_col] = (row(length_col) + grown).cast(df.schema[length_col].dataType)
+    return scan(df, forest, text_col).select(*[new.get(c, row(c)).alias(c) for c in df.columns])
