@@ -55,7 +55,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(table(spark, sf_dir, "documents"))
+    return quality_rules.judged(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +71,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_simhash": op1_simhash, "op2_html_extraction": op2_html_extraction, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_quality_classifier": op5_quality_classifier, "op6_lm_score": op6_lm_score, "op7_secret_scan": op7_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_bpe": op9_bpe, "op10_decontamination": op10_decontamination}
 
 
+def _op8_sql(r: quality_rules.Rules = quality_rules.Rules()) -> str:
+    """The rules as SQL: base counts, profiles of all rows by language, least distances, verdict."""
+    cut = r"[\x20\x09-\x0D]+"
+    gone = lambda c, pattern: f"regexp_replace({c}, '{pattern}', '', 'g')"
+    half = "(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2"
+    shares = ", ".join(f"CAST(c_{c} AS DOUBLE) / total AS q_{c}" for c in quality_rules.CLASSES)
+    means = ", ".join(f"CAST(sum(c_{c}) AS DOUBLE) / sum(total) AS p_{c}" for c in quality_rules.CLASSES)
+    by_class = " + ".join("(" + half.replace("p + q", f"p_{c} + q_{c}").replace("p > 0", f"p_{c} > 0").replace("q > 0", f"q_{c} > 0").replace("THEN p * log2(2 * p", f"THEN p_{c} * log2(2 * p_{c}").replace("THEN q * log2(2 * q", f"THEN q_{c} * log2(2 * q_{c}") + ")" for c in quality_rules.CLASSES)
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, text IS NOT NULL AS there, row_number() OVER () AS k FROM documents),
+ r AS (SELECT *, {gone('text', r'\p{Ll}+')} AS r0 FROM d), r1 AS (SELECT *, {gone('r0', cut)} AS r1 FROM r), r2 AS (SELECT *, {gone('r1', r'\p{Lu}+')} AS r2 FROM r1), r3 AS (SELECT *, {gone('r2', r'\p{Nd}+')} AS r3 FROM r2),
+ r4 AS (SELECT *, {gone('r3', '[#*$%&|<>]')} AS r4, list_filter(regexp_split_to_array(text, '{cut}'), lambda x: x <> '') AS w FROM r3),
+ c AS (SELECT k, doc_id, lang, there, text, w, len(w) AS n_words, length(text) AS total, length(text) - length(r0) AS c_lower, length(r0) - length(r1) AS c_space, length(r1) - length(r2) AS c_upper, length(r2) - length(r3) AS c_digit, length(r3) - length(r4) AS c_symbol, length(r4) AS c_other FROM r4),
+ lines AS (SELECT k, list_filter(string_split(text, chr(10)), lambda x: {gone('x', cut)} <> '') AS l FROM d),
+ tri AS (SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM c WHERE len(w) >= 3)),
+ twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, t) AS n FROM tri) WHERE n > 1),
+ rep AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY k),
+ langs AS (SELECT lang, count(*) AS n, sum(total) AS chars FROM c WHERE lang IS NOT NULL AND there GROUP BY lang ORDER BY n DESC, lang LIMIT {r.max_profiles}),
+ chosen AS (SELECT lang FROM langs WHERE n >= {r.min_profile_share} * (SELECT sum(n) FROM langs) AND chars > 0),
+ pc AS (SELECT lang, {means} FROM c JOIN chosen USING (lang) WHERE there GROUP BY lang),
+ wl AS (SELECT k, lang, lower(unnest(w)) AS word FROM c), wc AS (SELECT lang, word, count(*) AS n FROM wl JOIN chosen USING (lang) GROUP BY 1, 2),
+ pw AS (SELECT lang, word, CAST(n AS DOUBLE) / total AS p FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM wc) WHERE rank <= {r.common_words}),
+ dw AS (SELECT k, word, count(*) AS n FROM wl WHERE word IN (SELECT word FROM pw) GROUP BY 1, 2),
+ known AS (SELECT lang, sum(p) AS known FROM pw GROUP BY lang),
+ js AS (SELECT k, lang, sum({half} - p / 2) AS js, sum(q) AS q FROM (SELECT dw.k, pw.lang, pw.p, CAST(dw.n AS DOUBLE) / c.n_words AS q FROM dw JOIN pw USING (word) JOIN c USING (k)) GROUP BY 1, 2),
+ far AS (SELECT c.k, min(sqrt(greatest(0.0, known / 2 + coalesce(js, 0) + (SELECT {half} FROM (SELECT greatest(0.0, 1 - known) AS p, greatest(0.0, 1 - coalesce(js.q, 0)) AS q))))) AS word_distance FROM c CROSS JOIN known LEFT JOIN js ON js.k = c.k AND js.lang = known.lang WHERE c.n_words >= {r.word_min_words} GROUP BY c.k),
+ qc AS (SELECT k, {shares} FROM c WHERE total >= {r.class_min_chars}),
+ fc AS (SELECT k, min(sqrt(greatest(0.0, {by_class}))) AS class_distance FROM qc CROSS JOIN pc GROUP BY k)
+SELECT c.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(total - c_space AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+ n_words < {r.min_words} OR 100 * coalesce(rep.n, 0) > {r.max_repeat_percent} * n_words AS base_failed,
+ NOT (n_words < {r.min_words} OR 100 * coalesce(rep.n, 0) > {r.max_repeat_percent} * n_words) AND coalesce(class_distance, 0) <= {r.max_class_distance} AND coalesce(word_distance, 0) <= {r.max_word_distance} AS kept
+FROM c JOIN lines USING (k) LEFT JOIN rep USING (k) LEFT JOIN far USING (k) LEFT JOIN fc USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the others are held against brute force in tests/llm."""
+    return {"op8_quality_rules": _op8_sql()}
