@@ -55,14 +55,17 @@ NAME_WEIGHTS = {
     ).split()
 } | {w: 1.5 for w in "article content post entry story main body text prose".split()}
 ROLES = {"navigation": -6.0, "banner": -5.0, "contentinfo": -6.0, "complementary": -6.0, "search": -6.0, "form": -5.0, "dialog": -6.0, "alert": -6.0, "menu": -6.0, "main": 2.5, "article": 3.0}
+#: Words that turn a name into a statement about the page: "with-sidebar" stands around content.
+_STATES = frozenset("with has no without open closed enabled disabled".split())
 _BOILERPLATE_START = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved|cookies?\b|subscribe\b|sign (?:up|in)\b|share (?:this|on)\b|advertisement\b)", re.I)
 _SENTENCE_END = re.compile(r"[.!?…](?:\s|$)")
 
 
 @dataclass(frozen=True)
 class Costs:
-    bias: float = -0.6
+    bias: float = -0.2
     link_density: float = -4.0
+    link_density_inside: float = -1.4
     per_length: float = 0.35
     sentence: float = 0.5
     wording: float = -2.5
@@ -76,15 +79,22 @@ class _Element:
     tag: str
     weight: float
     negative: float
+    by_tags: float
     hidden: bool
     container: int
 
+    def above(self, names: bool = True) -> float:
+        """Favour of the element and those around it; a strongly unfavourable one outweighs the favour of others."""
+        worst = self.negative if names else self.by_tags
+        return worst + min(1.0, self.weight) if worst <= -4 else worst + self.weight
+
 
 @dataclass
 class Block:
     text: str
     tag: str
     above: float
+    above_by_tags: float
     link_chars: int
     chars: int
     container: int
@@ -96,23 +106,26 @@ class _Open:
     link: int = 0
 
 
-def _weigh(tag: str, attrs: str, parent: _Element | None) -> tuple[float, float, bool]:
-    """(sum of favourable weights, worst unfavourable weight, whether it is not shown), those of parents included."""
-    weight, worst, hidden = (parent.weight, parent.negative, parent.hidden) if parent else (0.0, 0.0, False)
-    found = [TAG_WEIGHTS.get(tag, 0.0)] if tag in CONTAINERS or tag in ("button", "label") else []
+def _weigh(tag: str, attrs: str, parent: _Element | None) -> tuple[float, float, float, bool]:
+    """(favourable weights, worst unfavourable weight, worst of tags alone, whether it is not shown), those of parents included."""
+    weight, worst, by_tags, hidden = (parent.weight, parent.negative, parent.by_tags, parent.hidden) if parent else (0.0, 0.0, 0.0, False)
+    own = TAG_WEIGHTS.get(tag, 0.0) if tag in CONTAINERS or tag in ("button", "label") else 0.0
     if tag == "header" and weight >= 3.0:
-        found = [-1.0]  # the head of an article, not of the page
+        own = -1.0  # the head of an article, not of the page
+    found = [own]
     if attrs.strip(" /"):
         for m in _ATTRIBUTE.finditer(attrs):
             name = m[1].lower()
             value = m[2] or m[3] or m[4] or ""
             if name in ("class", "id") and tag not in ("body", "html"):
-                found += [NAME_WEIGHTS.get(w.lower(), 0.0) for w in _NAME_PART.findall(value)]
+                for words in ([w.lower() for w in _NAME_PART.findall(x)] for x in value.split()):
+                    if not _STATES.intersection(words):
+                        found += [NAME_WEIGHTS.get(w, 0.0) for w in words]
             elif name == "role":
                 found.append(ROLES.get(value.strip().lower(), 0.0))
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
-    return min(4.0, weight + max([0.0, *found])), min([worst, *found]), hidden
+    return min(4.0, weight + max([0.0, *found])), min([worst, *found]), min(by_tags, own), hidden
 
 
 def blocks(html: str) -> list[Block]:
@@ -130,8 +143,8 @@ def blocks(html: str) -> list[Block]:
             if text:
                 top = next((e for e in reversed(stack) if e.tag not in INLINE), None)
                 edge = stack[-1] if stack else None
-                above = (edge.weight + edge.negative) if edge else 0.0
-                out.append(Block(text, top.tag if top else "", -9.0 if edge and edge.hidden else above, now.link, len(text), top.container if top else 0))
+                above, by_tags = ((-9.0, -9.0) if edge.hidden else (edge.above(), edge.above(False))) if edge else (0.0, 0.0)
+                out.append(Block(text, top.tag if top else "", above, by_tags, now.link, len(text), top.container if top else 0))
             now = _Open()
 
     while at < n:
@@ -190,21 +203,22 @@ def blocks(html: str) -> list[Block]:
         elif tag == "a":
             links += 1
         parent = stack[-1] if stack else None
-        weight, negative, hidden = _weigh(tag, m["attrs"], parent)
+        weight, negative, by_tags, hidden = _weigh(tag, m["attrs"], parent)
         if tag in CONTAINERS:
             containers += 1
             container = containers
         else:
             container = parent.container if parent else 0
-        stack.append(_Element(tag, weight, negative, hidden, container))
+        stack.append(_Element(tag, weight, negative, by_tags, hidden, container))
     close_block()
     return out
 
 
-def leaning(b: Block, c: Costs = Costs()) -> float:
+def leaning(b: Block, c: Costs = Costs(), names: bool = True) -> float:
     """Log-odds that a block is content."""
-    x = c.bias + b.above + TAG_WEIGHTS.get(b.tag, 0.0) * (b.tag not in CONTAINERS)
-    x += c.link_density * min(1.0, b.link_chars / max(1, b.chars)) + c.per_length * min(6.0, math.log2(1 + b.chars / 20))
+    above = b.above if names else b.above_by_tags
+    x = c.bias + above + TAG_WEIGHTS.get(b.tag, 0.0) * (b.tag not in CONTAINERS)
+    x += (c.link_density_inside if above >= 2.5 else c.link_density) * min(1.0, b.link_chars / max(1, b.chars)) + c.per_length * min(6.0, math.log2(1 + b.chars / 20))
     if _SENTENCE_END.search(b.text):
         x += c.sentence
     if _BOILERPLATE_START.match(b.text):
@@ -312,8 +326,13 @@ def _source_side(nodes: list[int], u: list[float], near: list[dict[int, float]])
 
 
 def main_text(html: str | None, costs: Costs = Costs()) -> str:
+    """The main text. If class and id words leave none, they mislead, and tags alone are judged."""
     found = blocks(html or "")
-    chosen = min_cut([leaning(b, costs) for b in found], edges(found, costs))
+    ties = edges(found, costs)
+    for names in (True, False):
+        chosen = min_cut([leaning(b, costs, names) for b in found], ties)
+        if any(chosen):
+            break
     return " ".join(b.text for b, keep in zip(found, chosen, strict=True) if keep)
 
 
