@@ -27,22 +27,22 @@ LONG_PIECE = 256
 #: Pieces that a worker remembers in each of two generations, bytes that one DuckDB query gets, bytes of text at a time.
 REMEMBERED, QUERY_BYTES, TEXT_BYTES = 200_000, 600_000, 1_500_000
 
+#: place: the piece's number and, in the low 16 bits, the token's position in it.
 CONTRACT = """
-WITH RECURSIVE state(w, p, id, ended) AS (
-  SELECT w, p, id, false FROM start
+WITH RECURSIVE state(place, id, ended) AS (
+  SELECT w::BIGINT * 65536 + p, id, false FROM start
   UNION ALL
-  (WITH pair AS (
-     SELECT w, p, id, lead(id) OVER piece AS id2, lead(p) OVER piece AS p2 FROM state WHERE NOT ended
-     WINDOW piece AS (PARTITION BY w ORDER BY p)
+  (WITH pair AS MATERIALIZED (
+     SELECT place, id, lead(id) OVER o AS id2, lead(place) OVER o AS place2 FROM state WHERE NOT ended WINDOW o AS (ORDER BY place)
    ), best AS (
-     SELECT w, min(m.merged::BIGINT * 65536 + p) AS key, arg_min(p2, m.merged::BIGINT * 65536 + p) AS gone
-     FROM pair JOIN merges m ON pair.id = m.l AND pair.id2 = m.r GROUP BY w
+     SELECT place >> 16 AS w, min(m.merged::BIGINT * 65536 + (place & 65535)) AS key, arg_min(place2, m.merged::BIGINT * 65536 + (place & 65535)) AS gone
+     FROM pair JOIN merges m ON pair.id = m.l AND pair.id2 = m.r WHERE place >> 16 = place2 >> 16 GROUP BY 1
    )
-   SELECT pair.w, p, CASE WHEN key & 65535 = p THEN (key >> 16)::INTEGER ELSE id END, best.w IS NULL
-   FROM pair LEFT JOIN best ON best.w = pair.w WHERE best.w IS NULL OR p <> gone)
+   SELECT place, CASE WHEN key & 65535 = place & 65535 THEN (key >> 16)::INTEGER ELSE id END, best.w IS NULL
+   FROM pair LEFT JOIN best ON best.w = place >> 16 WHERE best.w IS NULL OR place <> gone)
 )
-SELECT w, list(s.id ORDER BY p) AS ids, string_agg(v.hex, '' ORDER BY p) AS hex
-FROM state s JOIN vocabulary v ON v.id = s.id WHERE ended GROUP BY w ORDER BY w
+SELECT place >> 16 AS w, list(s.id ORDER BY place) AS ids, string_agg(v.hex, '' ORDER BY place) AS hex
+FROM state s JOIN vocabulary v ON v.id = s.id WHERE ended GROUP BY 1 ORDER BY 1
 """
 
 DECODE = "SELECT w, string_agg(v.hex, '' ORDER BY p) AS hex FROM given g JOIN vocabulary v ON v.id = g.id GROUP BY w"
@@ -158,13 +158,13 @@ class Coder:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        missing = {p for pieces in cut for p in pieces if p not in known}
+        missing = set().union(*cut) - known.keys()
         known.update((p, older[p]) for p in missing if p in older)
         self.learn(missing - known.keys())
         known, other = self.known, self.other
         if other:
             return [(b"".join([known[p] for p in pieces]), b"".join([other.get(p) or p.encode() for p in pieces])) for pieces in cut]
-        return [(b"".join([known[p] for p in pieces]), "".join(pieces).encode()) for pieces in cut]
+        return [(b"".join(map(known.__getitem__, pieces)), "".join(pieces).encode()) for pieces in cut]
 
     def decode(self, packed: list[bytes | None]) -> list[bytes]:
         """Bytes of whole id sequences; ids that no token has give nothing."""
