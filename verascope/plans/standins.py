@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verascope.operators.index import daily_index
-from verascope.session import spread
+from verascope.session import reachable, spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    df = reachable(spark).read.parquet(f"{sf}/{name}.parquet")
     return spread(df) if name in ("documents", "pages") else df
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,3 +38,15 @@ def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores, if its files give fewer: costly expressions then use them all."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """spark, with this package's folder on the path of Python workers that start from now on.
+
+    That serves machines which see the folder; elsewhere ship the package with --py-files.
+    """
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if root not in known:
+        env["PYTHONPATH"] = ":".join([root, *known])
+    return spark
