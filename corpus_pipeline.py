@@ -6,12 +6,16 @@ the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from verascope.llm import bpe, decontaminate, langid, secrets, simhash
 from verascope.llm.common import fold, table, written
 from verascope.llm.queries import RANKS
+from verascope.session import reachable
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +45,22 @@ def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
 
 
+def _on_workers(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, with this package within reach of the session's Python workers."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(reachable(spark), docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", language_id),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("secret_scan", secret_scan),
-    ("tokenization", tokenization),
+    ("language_id", _on_workers(language_id)),
+    ("near_dedup", _on_workers(near_dedup)),
+    ("decontamination", _on_workers(decontamination)),
+    ("secret_scan", _on_workers(secret_scan)),
+    ("tokenization", _on_workers(tokenization)),
 ]
 
 #: Trained models and recursive contraction are beyond SQL; tests/llm holds the rows against a brute-force version.

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verascope.session import spread
+from verascope.session import reachable, spread
 
 #: A word of the contracts: a run without ASCII white space. bytes.split() cuts the same way.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -34,7 +34,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if name in ("documents", "pages") else df
 
 
