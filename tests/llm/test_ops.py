@@ -249,6 +249,37 @@ def test_op4_finds_edited_passages_and_spares_the_rest(spark):
     assert all(n >= 78 for _, n in span.values())
 
 
+def py_jaccard(a, b):
+    a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_op4_edits_of_any_size_that_the_similarity_allows():
+    r = random.Random(5)
+    fresh = lambda n: [r.randrange(2**31) for _ in range(n)]
+    # (words, [(first word, words taken out, words put in)])
+    cases = [(80, [(38, 4, 4)]), (90, [(43, 4, 4)]), (98, [(46, 5, 5)]), (90, [(43, 1, 1), (47, 1, 1)]), (90, [(43, 1, 1), (48, 1, 1)]), (98, [(46, 0, 9)]), (98, [(40, 9, 0)]), (300, [(100, 12, 14)])]
+    for _ in range(300):
+        n = r.randrange(60, 300)
+        cases.append((n, sorted((r.randrange(8, n - 20), r.randrange(7), r.randrange(7)) for _ in range(r.randrange(1, 4)))))
+    judged = 0
+    for n, edits in cases:
+        one = fresh(n)
+        two, at = [], 0
+        for k, out, put in edits:
+            two += one[at : max(at, k)] + fresh(put)
+            at = max(at, k) + out
+        two += one[at:]
+        if py_jaccard(one, two) < 0.8 or min(len(one), len(two)) < 50:
+            continue
+        judged += 1
+        a, b = (np.array(fresh(20) + x + fresh(20), np.int64).astype(np.uint32).view(np.int32) for x in (one, two))
+        for p, q in ((20, 20), (20 + len(one) - 5, 20 + len(two) - 5)):
+            found = passages.passages_of(a, b, passages.chain(passages.Shared(a, b, 0.8), p, q), 50, 0.8)
+            assert [(s, e, t, f) for s, e, t, f, _ in found] == [(20, 20 + len(one), 20, 20 + len(two))], (n, edits)
+    assert judged > 150
+
+
 def test_op4_regroups_what_differs_from_the_first(spark):
     # all share a run too short to count; two of them share more
     r = random.Random(6)
