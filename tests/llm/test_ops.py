@@ -280,6 +280,26 @@ def test_op4_edits_of_any_size_that_the_similarity_allows():
     assert judged > 150
 
 
+def test_op4_recall_of_short_edited_passages_is_whole():
+    import inspect
+
+    functions = inspect.signature(passages.repeated_passages).parameters["functions"].default
+    assert functions >= 4
+    r = random.Random(12)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    judged = 0
+    while judged < 300:
+        n = r.randrange(56, 76)
+        one, k, size = fresh(n), r.randrange(5, n - 9), r.choice((1, 1, 2, 3))
+        two = one[:k] + fresh(size) + one[k + size :]
+        if py_jaccard(one, two) < 0.8:
+            continue
+        judged += 1
+        texts = [" ".join(fresh(r.randrange(90)) + x + fresh(r.randrange(90))).encode() for x in (one, two)]
+        (_, _, ka, ca), (_, _, kb, cb) = passages._windows(texts, functions, 46)
+        assert set(ka.tolist()) & set(kb.tolist())
+
+
 def test_op4_regroups_what_differs_from_the_first(spark):
     # all share a run too short to count; two of them share more
     r = random.Random(6)
