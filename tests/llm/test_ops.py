@@ -310,6 +310,27 @@ def test_op4_regroups_what_differs_from_the_first(spark):
     assert {x.doc_id for x in passages.repeated_passages(d).collect()} == {6, 7}
 
 
+def test_op4_finds_what_texts_share_beyond_their_representative(spark):
+    # cuts of one passage: L + X and X + Y and L + X + Y in many lengths, and a text that holds X twice
+    r = random.Random(8)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    bodies = []
+    for left in (8, 12):
+        one, x, y = fresh(left), fresh(40), fresh(15)
+        bodies += [fresh(20) + one + x + fresh(20), fresh(9) + one + x + y + fresh(30), fresh(33) + x + y + fresh(5)]
+    whole = fresh(300)
+    for _ in range(150):
+        at, n = r.randrange(220), r.randrange(40, 76)
+        bodies.append(fresh(r.randrange(15, 30)) + whole[at : at + n] + fresh(r.randrange(15, 30)))
+    x, y = fresh(40), fresh(20)
+    bodies += [fresh(20) + x + fresh(25) + x + y + fresh(9), fresh(12) + x + y + fresh(30)]
+    texts = {i: " ".join(b) for i, b in enumerate(bodies)}
+    got = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    covered = {(g.doc_id, k) for g in got for k in range(g.first_word, g.first_word + g.n_words - 49)}
+    want = repeats(texts)
+    assert len({i for i, _ in want}) > 60 and want <= covered
+
+
 def test_op4_awkward(awkward, empty):
     got = passages.repeated_passages(awkward).collect()
     assert {(r.doc_id, r.source_id, r.n_words) for r in got} == {(1, 1, 60), (5, 1, 60)} and len(got) == 2
