@@ -391,6 +391,14 @@ def test_op6_small_sets_of_frequent_words_change_no_base(spark, docs):
     assert all(a[i] == pytest.approx(b[i]) for i in a)
 
 
+def test_op6_trains_on_every_learnable_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "_trained", lambda texts, model, s, shards: (seen.append((texts.count(), shards)), model.weights)[1])
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('word', id % 7, ' '), 1000)").alias("text"))
+    lm.train(d, F.col("doc_id") % 5 != 1)
+    assert sum(n for n, _ in seen) == 2400 and all(n > 0 for n, _ in seen)
+
+
 def test_op6_awkward(awkward, empty, docs):
     model, table = lm.train(docs, F.lit(True), lm.Settings(least_tokens=2000, rounds=1))
     got = lm.score(awkward, model, table).collect()

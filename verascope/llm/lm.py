@@ -2,7 +2,7 @@
 
 Word counts come from all learnable documents. The most frequent words form the recurrent model's vocabulary;
 a larger, still bounded set of frequent words travels to the executors, and all rarer words meet their counts
-in a join. The recurrent model is trained on a share of the learnable documents that grows with them, split
+in a join. The recurrent model is trained on all learnable documents, once each, split
 into shards: each shard trains from the same weights, the shards' weights are averaged, and this repeats.
 A word outside the vocabulary has the model's probability of such a word times its share among them in the base.
 """
@@ -30,15 +30,15 @@ from verascope.llm.tokens import portions
 class Settings:
     """Sizes of the model, of the frequent words on executors, and of training.
 
-    train_share of the learnable tokens trains the recurrent model, or about least_tokens if that is more; a
-    shard has about shard_tokens.
+    Every learnable document trains the recurrent model, in one of the rounds, unless a caller sets a smaller train_share
+    (of the tokens, or about least_tokens if that is more); a shard has about shard_tokens.
     """
 
     vocabulary: int = 2046
     frequent: int = 1 << 17
     embedding: int = 16
     hidden: int = 24
-    train_share: float = 0.02
+    train_share: float = 1.0
     least_tokens: int = 1_200_000
     shard_tokens: int = 600_000
     rounds: int = 2
