@@ -187,6 +187,21 @@ def test_op3_awkward(spark, docs, awkward, empty):
     assert langid.accepted(awkward, model, min_score=0.0).columns == awkward.columns
 
 
+def test_op3_learns_every_language(spark):
+    # 70 languages of words of their own letters; the later ones have fewer rows
+    r = random.Random(3)
+    rows = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 12 * k + j) for j in range(12)]
+        for _ in range(20 if k < 64 else 12):
+            rows.append((len(rows), " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(20)), f"l{k:02}"))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(d, F.lit(True))
+    assert len(model.langs) == 70
+    got = {x.doc_id: x.lang_pred for x in langid.predict(d, model).collect()}
+    assert all(np.mean([got[i] == lang for i, _, lang in rows if lang == f"l{k:02}"]) > 0.9 for k in range(70))
+
+
 def test_temperature_calms_wrong_logits():
     z = np.array([[9.0, 0.0]] * 4)
     assert langid.temperature(z, np.array([0, 0, 0, 1])) > 5

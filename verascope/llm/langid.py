@@ -22,11 +22,11 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """About sample_rows rows, shared evenly by at most max_langs languages, are collected; every fifth calibrates."""
+    """About sample_rows rows, shared evenly by all languages, or rows_per_lang of each if that is more, are collected; every fifth calibrates."""
 
     bits: int = 15
     sample_rows: int = 2400
-    max_langs: int = 64
+    rows_per_lang: int = 300
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -135,13 +135,14 @@ def train(df: DataFrame, learnable: Column, s: Settings = Settings(), id_col: st
     """Learns from rows that are learnable and have a text and a lang; nothing else of them is used."""
     d = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), learnable.alias("ok"))
     d = d.where("ok and text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.max_langs).collect()}
+    sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros(1 << s.bits), np.zeros(((1 << s.bits) + 1, 0)), 1.0, s.bits)
     df_counts, n = document_frequency(d, s.bits)
     idf = np.log((1 + n) / (1 + df_counts)) + 1
     langs = sorted(sizes)
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, s.sample_rows / len(langs) / sizes[lang]))])
+    each = max(s.sample_rows / len(langs), s.rows_per_lang)
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, each / sizes[lang]))])
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
     bits = s.bits
 
