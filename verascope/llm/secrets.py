@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEYS = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key"
-#: A private key block; a value assigned to a telling name; a long run with a digit.
+#: A private key block, its end line lost or not; a value assigned to a telling name, up to white space or a quote, less
+#: the punctuation at its end; a password in a URL; a long run with a digit.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,24}PRIVATE KEY-----"
-    rf"|(?<=(?i:{_KEYS})[\"' ]{{0,2}}[:=][\"' ]{{0,2}})[A-Za-z0-9_+/-]{{8,}}+={{0,2}}"
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,24}PRIVATE KEY-----|\z)|(?:\s{1,4}[A-Za-z0-9+/=]{16,}+)++)"
+    rf"|(?<=(?i:{_KEYS})[\"' ]{{0,2}}[:=][\"' ]{{0,2}})[^\s\"']{{3,}}[^\s\"',;.]"
+    r"|(?<=://[^\s/:@]{1,64}:)[^\s/@\"']++(?=@)"
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{16})[A-Za-z_+/-]*+[0-9][A-Za-z0-9_+/-]*+={0,2}"
 )
 #: Words that identifiers, paths and placeholders are made of.
@@ -30,7 +32,7 @@ DICTIONARY = (
     "response result review rule schema script search section secret select server service session setting sha site source start state static status storage story string style "
     "system table target task template test text theme thread time title token total type union update upload user util value version video view web widget window word work your"
 ).split()
-FEATURES = ("length", "class_changes", "vowel_changes", "distinct", "digits", "upper", "letters_only_hex", "dictionary", "repeated", "parts", "path_before", "path_after", "key_word", "plain_word", "known_prefix")
+FEATURES = ("length", "class_changes", "vowel_changes", "distinct", "digits", "upper", "letters_only_hex", "dictionary", "repeated", "parts", "path_before", "path_after", "key_word", "plain_word", "known_prefix", "url_login")
 
 
 def features(before: Column, value: Column, after: Column) -> list[Column]:
@@ -59,6 +61,7 @@ def features(before: Column, value: Column, after: Column) -> list[Column]:
         flag(near.rlike(rf"(?i)(?:{_KEYS})[\"']?(?: is)?\s*[:=]?\s*[\"']?$")),
         flag(near.rlike(r"(?i)\b(?:commit|revision|checksum|md5|sha\d*|digest|hash|uuid|guid|etag|build|version|isbn|invoice|order|phone|card|serial|integrity|id)\W{0,3}$")),
         flag(value.rlike(r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|eyJ|SG\.|-----BEGIN)")),
+        flag(word.rlike("://[^/:@]{1,64}:$") & after.startswith("@")),
     ]
 
 
@@ -74,6 +77,8 @@ def built_in_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     cut = lambda c, lo, spread: F.substring(c, F.lit(1), (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(spread)) + lo).cast("int"))
     digits = F.substring(F.translate("h", "abcdef", "012345"), 1, 16)
     slug = F.concat_ws("-", word(6), word(7), word(8), F.substring(digits, 1, 4))
+    symbol = lambda salt: pick(("!", "@", "#", "$", "&", "%", "*", "^"), salt)
+    login = F.concat(plain, pick(("https://", "postgres://", "mysql://", "amqp://", "ftp://"), 31), word(32), F.lit(":"))
     kinds = [
         (keyed, F.substring("h", 1, 40), 1),
         (keyed, cut(F.col("h"), 12, 36), 1),
@@ -81,6 +86,16 @@ def built_in_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (plain, F.concat(F.lit("AKIA"), F.upper(F.translate(F.substring(mixed, 1, 16), "abcdef", "ABCDEF"))), 1),
         (plain, F.concat(pick(("ghp_", "gho_", "sk_live_", "xoxb-", "glpat-", "AIza", "eyJ"), 9), F.substring(mixed, 3, 30)), 1),
         (keyed, F.concat(F.lit("AKIA"), F.upper(F.translate(F.substring(mixed, 5, 16), "abcdef", "ABCDEF"))), 1),
+        (keyed, F.concat(F.substring(mixed, 1, 3), symbol(18), F.substring(mixed, 5, 5), symbol(19), F.substring(digits, 1, 4)), 1),
+        (keyed, F.concat(F.initcap(F.translate(word(20), "aeo", "430")), symbol(21), F.substring(digits, 1, 4)), 1),
+        (keyed, F.concat(F.initcap(F.translate(word(22), "aeo", "430")), symbol(23), F.substring(mixed, 7, 3)), 1),
+        (keyed, F.concat(cut(mixed, 3, 5), F.substring(digits, 1, 1), F.substring(mixed, 9, 1)), 1),
+        (login, cut(mixed, 5, 9), 1),
+        (login, F.concat(word(24), symbol(25), F.substring(digits, 1, 3)), 1),
+        (keyed, pick(("null", "None", "true", "false", "required", "string", "<password>", "${PASSWORD}", "********", "<your-token>", "{{token}}", "xxxxxx", "changeme", "str"), 26), 0),
+        (keyed, word(27), 0),
+        (keyed, pick(("None", "null", "True", "False", "required", "string", "undefined", "empty", "Optional", "here", "that", "must", "This"), 33), 0),
+        (keyed, F.concat(word(28), F.lit("."), word(29), pick(("()", "[0]", "", ")"), 30)), 0),
         (named, F.substring("h", 1, 40), 0),
         (named, cut(F.col("g"), 20, 44), 0),
         (plain, digits, 0),
@@ -92,11 +107,13 @@ def built_in_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (keyed, pick(("xxxxxxxxxxxxxxxx", "00000000000000000000", "your-token-here", "EXAMPLEKEY000000", "changeme-changeme", "placeholder_value_1"), 16), 0),
         (plain, F.concat(F.substring("g", 1, 8), F.lit("-"), F.substring("g", 9, 4), F.lit("-"), F.substring("g", 13, 4), F.lit("-"), F.substring("g", 17, 4), F.lit("-"), F.substring("g", 21, 12)), 0),
     ]
+    in_url = F.lit(False)
     value, before, label = [F.when(F.lit(False), None)] * 3
     for k, (b, v, y) in enumerate(kinds):
         here = F.col("id") % len(kinds) == k
+        in_url = in_url | (here & F.lit(b is login))
         before, value, label = before.when(here, b), value.when(here, v), label.when(here, F.lit(y))
-    return d.select(before.alias("before"), value.alias("value"), pick((" and", ".", '"', "\n", "&&& of", ", "), 17).alias("after"), label.cast("double").alias("label"))
+    return d.select(before.alias("before"), value.alias("value"), F.when(in_url, "@db.example/").otherwise(pick((" and", ".", '"', "\n", "&&& of", ", "), 17)).alias("after"), label.cast("double").alias("label"))
 
 
 Tree = tuple | float
@@ -153,6 +170,7 @@ def kind(value: Column, before: Column) -> Column:
         F.when(value.rlike("^(?:AKIA|ASIA)"), "cloud_access_key")
         .when(value.startswith("-----BEGIN"), "private_key")
         .when(value.rlike("^(?:ghp_|gho_|github_pat_|glpat-|xox|sk_live_|rk_live_|AIza|eyJ)"), "service_token")
+        .when(before.rlike(r"://[^\s/:@]{1,64}:$"), "password")
         .when(before.rlike(r"(?i)pass\w*[\"' ]{0,2}[:=][\"' ]{0,2}$"), "password")
         .when(before.rlike(rf"(?i)(?:{_KEYS})[\"' ]{{0,2}}[:=][\"' ]{{0,2}}$"), "assigned_secret")
         .otherwise("random_value")
