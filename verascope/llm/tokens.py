@@ -16,20 +16,23 @@ WORDLIKE = np.isin(_BYTE, list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTU
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+#: Bytes whose prefix sums are held at a time; a longer word takes its own length.
+CHUNK = 1 << 17
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(name: str, base: int, n: int) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1) modulo 2 ** 64, kept by the process."""
-    held = _POWERS.get(name)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 ... base ** (n - 1) modulo 2 ** 64, kept by the process for lengths up to CHUNK."""
+    held = _POWERS.get(base)
     if held is None or len(held) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(CHUNK, n - 1).bit_length()
         held = np.ones(size, np.uint64)
         done = 1
         while done < size:
             held[done : 2 * done] = held[:done] * np.uint64(pow(base, done, 1 << 64))
             done *= 2
-        _POWERS[name] = held
+        if n <= 2 * CHUNK:
+            _POWERS[base] = held
     return held[:n]
 
 
@@ -62,9 +65,17 @@ def words(texts: list[bytes], table: np.ndarray = NOT_SPACE) -> Words:
     inside[1:-1] = table[data]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, n), out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * _powers("down", _INVERSE, n + 1)[start])
+    del inside, edge
+    hashes = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + CHUNK, "right")))
+        lo, size = int(start[i]), int(end[j - 1] - start[i])
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((data[lo : lo + size].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, size), out=sums[1:])
+        first = start[i:j] - lo
+        hashes[i:j] = mix((sums[end[i:j] - lo] - sums[first]) * _powers(_INVERSE, size)[first])
+        i = j
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1, out=bounds[1:])
     return Words(data, hashes, np.searchsorted(start, bounds), start, end)
