@@ -585,16 +585,28 @@ def test_op9_awkward(awkward, empty, tokenizer):
     assert bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_op9_long_pieces_take_the_same_ids(tokenizer):
+def test_op9_long_pieces_take_the_same_ids(tokenizer, monkeypatch):
     c = bpe.coder(RANKS, public_tokenizers.PATTERN)
     r = random.Random(5)
-    for n in (2, 40, 255, 256, 257, 700):
-        s = "".join(r.choice("abcdeilnorstü") for _ in range(n))
-        want = tokenizer.encode_ordinary(s)
-        assert np.frombuffer(c.contract_long(s.encode())[0], "<u4").tolist() == want
-        assert np.frombuffer(c.encode([s])[0][0], "<u4").tolist() == want
-        if n <= 256:
-            assert np.frombuffer(c.contract([s.encode()])[0][0], "<u4").tolist() == want
+    for n in (1, 2, 40, 255, 256, 257, 700, 5000):
+        for s in ("".join(r.choice("abcdeilnorstü") for _ in range(n)), "a" * n, ("ab" * n)[:n]):
+            want = tokenizer.encode_ordinary(s)
+            assert np.frombuffer(c.contract_long(s.encode()), "<u4").tolist() == want
+            assert np.frombuffer(c.encode([s])[0], "<u4").tolist() == want
+            if n <= 256:
+                assert np.frombuffer(c.contract([s.encode()])[0], "<u4").tolist() == want
+    # few steps a query
+    monkeypatch.setattr(bpe, "LONG_ROWS", 1500)
+    s = "".join(r.choice("abcdeilnorstü") for _ in range(400))
+    assert np.frombuffer(c.contract_long(s.encode()), "<u4").tolist() == tokenizer.encode_ordinary(s)
+
+
+def test_op9_decodes_the_ids_and_not_the_text(spark, monkeypatch):
+    # ids of another text decode to that text
+    c = bpe.Coder(RANKS, public_tokenizers.PATTERN)
+    ids = c.encode(["one text", None, "", "zwei Texte\n"])
+    assert c.decode([ids[3], ids[1], ids[0]]) == ["zwei Texte\n".encode(), b"", b"one text"]
+    assert c.decode([]) == [] and c.decode([b""]) == [b""]
 
 
 # ── 10: decontamination ──
@@ -624,12 +636,50 @@ def test_op10_bears_substitutions_and_spares_others(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4] and kept.columns == d.columns
 
 
+def test_op10_short_and_long_items(spark):
+    r = random.Random(7)
+    fresh = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    items = {n: fresh(n) for n in (1, 2, 3, 5, 6, 7, 9, 10, 14, 15, 20000)}
+    rows, want = [], set()
+    for n, item in items.items():
+        allowed = n - decontaminate._need(n) if n < 15 else 1
+        for wrong in range(allowed + 2 if n < 15 else 1):
+            for _ in range(4):
+                copy = item[:]
+                for k in r.sample(range(1, n - 1), wrong) if n - 2 >= wrong else range(wrong and n):
+                    copy[k] = "other"
+                # as the definition says: the best run of the alignment decides
+                m, x, y = decontaminate.best_run(np.array([a == b for a, b in zip(copy, item, strict=True)]))
+                if m >= decontaminate._need(n) and m >= 0.7 * (y - x):
+                    want.add((len(rows), n))
+                rows.append((len(rows), " ".join(fresh(r.randrange(30)) + copy + fresh(r.randrange(30)))))
+    rows.append((len(rows), " ".join(items[20000][700:760])))
+    want.add((len(rows) - 1, 20000))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    b = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()] + [(1001, " ".join(items[7]))], "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(d, b).collect()}
+    assert got == want | {(i, 1001) for i, n in want if n == 7} and len(want) > 50
+
+
+def test_op10_items_that_share_a_template(spark):
+    # one template in every item and document: a row of a pair needs an item's own words
+    r = random.Random(9)
+    template = [f"t{k}" for k in range(9)]
+    own = [[f"u{r.randrange(10**9)}" for _ in range(14)] for _ in range(60)]
+    b = spark.createDataFrame([(k, " ".join(template + x)) for k, x in enumerate(own)], "item_id bigint, text string")
+    d = spark.createDataFrame([(k, " ".join(["w"] * 5 + template + (own[k] if k < 60 else ["w"] * 14))) for k in range(120)], "doc_id bigint, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(d, b).collect()} == {(k, k) for k in range(60)}
+
+
 def test_op10_awkward(spark, sf, awkward, empty):
     b = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert decontaminate.contaminated(awkward, b).count() == 0
     assert decontaminate.contaminated(empty, b).count() == 0
     assert decontaminate.contaminated(awkward, b.where("false")).count() == 0
     assert decontaminate.decontaminated(awkward, b).count() == len(AWKWARD)
+    odd = spark.createDataFrame([(None, make_text(1), "clash"), (4, make_text(1), ""), (4, make_text(1), ""), (5, None, ""), (6, "...", "")], "item_id bigint, text string, tokens string")
+    got = [(r.doc_id, r.item_id, r.coverage) for r in decontaminate.contaminated(awkward, odd).collect()]
+    assert sorted(got, key=str) == sorted([(i, k, 1.0) for i in (1, 5) for k in (None, 4)], key=str)
 
 
 # ── pipeline ──

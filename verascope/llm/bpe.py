@@ -3,16 +3,16 @@
 A partition's texts are cut into pieces by the tokenizer's pattern. Pieces that are tokens are done;
 the distinct others go to DuckDB as rows (piece, position, id). A recursive query joins neighbouring
 rows with the merge table, contracts the leftmost pair of least rank of every piece, and repeats until
-no piece has a pair left. Ordered aggregation gives the ids, and, joined with the vocabulary, the bytes.
+no piece has a pair left. Ordered aggregation of a document's ids, joined with the vocabulary, decodes it.
 
-Null text counts as empty: no ids. Pieces of over LONG_PIECE bytes would need as many rounds as bytes
-over as many rows, so a heap contracts those by the same rule.
+A piece of over LONG_PIECE bytes goes alone: all its pairs of least rank are contracted in one step, from the left, which
+gives the same ids unless the new token has pairs of less rank than its own (of such, one pair a step), and the query stops
+after some steps and is asked again, so that its rows stay few.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 
 import duckdb
@@ -41,10 +41,31 @@ WITH RECURSIVE state(place, id, ended) AS (
    SELECT place, CASE WHEN key & 65535 = place & 65535 THEN (key >> 16)::INTEGER ELSE id END, best.w IS NULL
    FROM pair LEFT JOIN best ON best.w = place >> 16 WHERE best.w IS NULL OR place <> gone)
 )
-SELECT place >> 16 AS w, list(s.id ORDER BY place) AS ids, string_agg(v.hex, '' ORDER BY place) AS hex
-FROM state s JOIN vocabulary v ON v.id = s.id WHERE ended GROUP BY 1 ORDER BY 1
+SELECT place, id FROM state WHERE ended ORDER BY place
 """
 
+#: One piece: `steps` contractions at most. spot: the place among the rows that are left; a run of overlapping pairs
+#: (their spots follow one another) gives every other one.
+CONTRACT_LONG = """
+WITH RECURSIVE state(p, id, step, ended) AS (
+  SELECT p, id, 0, false FROM start
+  UNION ALL
+  (WITH pair AS MATERIALIZED (
+     SELECT s.p, s.id, s.p2, s.spot, s.step, m.merged
+     FROM (SELECT p, id, step, lead(id) OVER o AS id2, lead(p) OVER o AS p2, row_number() OVER o AS spot FROM state WHERE NOT ended AND step < {steps} WINDOW o AS (ORDER BY p)) s
+     LEFT JOIN merges m ON s.id = m.l AND s.id2 = m.r
+   ), least AS MATERIALIZED (
+     SELECT p, p2, merged, spot, spot - row_number() OVER (ORDER BY p) AS run FROM pair WHERE merged = (SELECT min(merged) FROM pair)
+   ), chosen AS MATERIALIZED (
+     SELECT p, p2, merged FROM (SELECT *, min(spot) OVER (PARTITION BY run) AS first, min(spot) OVER () AS front FROM least) WHERE CASE WHEN merged IN (SELECT id FROM risky) THEN spot = front ELSE (spot - first) % 2 = 0 END
+   )
+   SELECT pair.p, coalesce(c.merged, pair.id), pair.step + 1, NOT EXISTS (FROM chosen) FROM pair LEFT JOIN chosen c ON c.p = pair.p WHERE pair.p NOT IN (SELECT p2 FROM chosen))
+)
+SELECT p, id, ended FROM state WHERE ended OR step = {steps} ORDER BY p
+"""
+#: Rows that the steps of one such query may leave behind.
+LONG_ROWS = 4_000_000
+
 DECODE = "SELECT w, string_agg(v.hex, '' ORDER BY p) AS hex FROM given g JOIN vocabulary v ON v.id = g.id GROUP BY w"
 
 
@@ -65,6 +86,7 @@ class Coder:
         self.con = duckdb.connect()
         self.con.execute("SET threads = 1")
         self.con.execute("SET memory_limit = '400MB'")
+        self.con.execute("SET temp_directory = ''")
         self.con.register("merges_in", pa.table({"l": left, "r": right, "merged": merged}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.con.register(
@@ -73,14 +95,15 @@ class Coder:
         )
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.bytes_of = {i: t for t, i in self.ranks.items()}
+        #: tokens that are part of a pair of less rank than their own
+        risky = {x for a, b, m in pairs for x in (a, b) if m < x}
+        self.con.register("risky_in", pa.table({"id": pa.array(risky, pa.int32())}))
+        self.con.execute("CREATE TABLE risky AS SELECT * FROM risky_in")
         #: Piece -> its ids as little-endian unsigned 32-bit integers.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        #: What ids decode to, for pieces whose ids decode to other bytes than the piece's own.
-        self.other: dict[str, bytes] = {}
 
-    def contract(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def contract(self, pieces: list[bytes]) -> list[bytes]:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         starts = np.cumsum(lengths) - lengths
         total = int(lengths.sum())
@@ -88,64 +111,39 @@ class Coder:
         position = (np.arange(total) - np.repeat(starts, lengths)).astype(np.int32)
         ids = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         self.con.register("start", pa.table({"w": piece, "p": position, "id": ids}))
-        out = self.con.sql(CONTRACT).to_arrow_table().combine_chunks()
-        lists = out.column("ids").chunk(0) if out.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat, ends = lists.flatten().to_numpy().astype("<u4"), lists.offsets.to_numpy()
-        packed = flat.tobytes()
-        first = int(ends[0]) if len(ends) else 0
-        return [
-            (packed[4 * (a - first) : 4 * (b - first)], bytes.fromhex(h))
-            for a, b, h in zip(ends[:-1], ends[1:], out.column("hex").to_pylist(), strict=True)
-        ]
-
-    def contract_long(self, piece: bytes) -> tuple[bytes, bytes]:
-        """The same rule by a heap of (rank, position) over a linked list."""
-        n, ids = len(piece), [int(self.byte_ids[b]) for b in piece]
-        text, after, before = [bytes([b]) for b in piece], list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            if 0 <= i and text[i] and after[i] < n and (rank := self.ranks.get(both := text[i] + text[after[i]])) is not None:
-                heapq.heappush(heap, (rank, i, both))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            rank, i, both = heapq.heappop(heap)
-            j = after[i]
-            if not text[i] or j >= n or text[i] + text[j] != both:
-                continue
-            ids[i], text[i], text[j], after[i] = rank, both, b"", after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            offer(before[i])
-        kept = [k for k in range(n) if text[k]]
-        return np.array([ids[k] for k in kept], "<u4").tobytes(), b"".join(text[k] for k in kept)
+        out = self.con.sql(CONTRACT).to_arrow_table()
+        packed = out.column("id").to_numpy().astype("<u4").tobytes()
+        ends = (4 * np.searchsorted(out.column("place").to_numpy() >> 16, np.arange(len(pieces) + 1))).tolist()
+        return [packed[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def contract_long(self, piece: bytes) -> bytes:
+        """The ids of one piece of any length."""
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        ended = not len(ids)
+        while not ended:
+            self.con.register("start", pa.table({"p": np.arange(len(ids), dtype=np.int64), "id": ids}))
+            steps = max(1, LONG_ROWS // len(ids))
+            out = self.con.sql(CONTRACT_LONG.format(steps=steps)).to_arrow_table()
+            ids, ended = out.column("id").to_numpy().astype(np.int32), out.column("ended")[0].as_py()
+        return ids.astype("<u4").tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         queued: list[str] = []
         size = 0
 
-        def remember(piece: str, ids: bytes, decoded: bytes) -> None:
-            self.known[piece] = ids
-            if decoded != piece.encode():
-                self.other[piece] = decoded
-
         def flush() -> None:
             nonlocal size
             if queued:
-                for q, (ids, decoded) in zip(queued, self.contract([q.encode() for q in queued]), strict=True):
-                    remember(q, ids, decoded)
+                self.known.update(zip(queued, self.contract([q.encode() for q in queued]), strict=True))
                 queued.clear()
                 size = 0
 
         for piece in pieces:
             raw = piece.encode()
             if (rank := self.ranks.get(raw)) is not None:
-                remember(piece, rank.to_bytes(4, "little"), self.bytes_of[rank])
+                self.known[piece] = rank.to_bytes(4, "little")
             elif len(raw) > LONG_PIECE:
-                remember(piece, *self.contract_long(raw))
+                self.known[piece] = self.contract_long(raw)
             else:
                 queued.append(piece)
                 size += len(raw)
@@ -153,7 +151,8 @@ class Coder:
                     flush()
         flush()
 
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text."""
         cut = [self.find(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
@@ -161,10 +160,7 @@ class Coder:
         missing = set().union(*cut) - known.keys()
         known.update((p, older[p]) for p in missing if p in older)
         self.learn(missing - known.keys())
-        known, other = self.known, self.other
-        if other:
-            return [(b"".join([known[p] for p in pieces]), b"".join([other.get(p) or p.encode() for p in pieces])) for pieces in cut]
-        return [(b"".join(map(known.__getitem__, pieces)), "".join(pieces).encode()) for pieces in cut]
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
     def decode(self, packed: list[bytes | None]) -> list[bytes]:
         """Bytes of whole id sequences; ids that no token has give nothing."""
@@ -175,8 +171,8 @@ class Coder:
         starts = np.cumsum(lengths) - lengths
         given = {
             "w": np.repeat(np.arange(len(arrays), dtype=np.int32), lengths),
-            "p": np.arange(int(lengths.sum())) - np.repeat(starts, lengths),
-            "id": np.concatenate(arrays).astype(np.int64),
+            "p": (np.arange(int(lengths.sum())) - np.repeat(starts, lengths)).astype(np.int32),
+            "id": np.concatenate(arrays).view(np.int32),
         }
         self.con.register("given", pa.table(given))
         out = [b""] * len(packed)
@@ -211,7 +207,9 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = TEXT_BYTES) -> Itera
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) of every row: ids as little-endian unsigned 32-bit integers, and the bytes they decode to.
 
-    Null and empty texts give empty ids. Repeated rows and ids stay apart; other columns are not read.
+    Null and empty texts give empty ids and decode to nothing. Repeated rows and ids stay apart, a null doc_id too; of pairs
+    of one rank the leftmost goes first. Texts, and pieces within them, may have any length. Other columns are not read, so
+    their names may clash. An empty table gives no row.
     """
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -220,11 +218,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         c = coder(ranks_path, pattern)
         for whole in batches:
             for part in slices(whole, 1):
-                done = c.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.binary())],
-                    ["doc_id", "ids", "decoded"],
-                )
+                ids = c.encode(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(c.decode(ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
     return source.mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
 
