@@ -6,6 +6,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def build_session(
     app: str = "verascope",
@@ -41,10 +43,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def reachable(spark: SparkSession) -> SparkSession:
-    """spark, with this package's folder on the path of Python workers that start from now on.
+    """spark, with this package's folder on the path of Python workers that start from now on, and Arrow batches of a few MB.
 
-    That serves machines which see the folder; elsewhere ship the package with --py-files.
+    The path serves machines which see the folder; elsewhere ship the package with --py-files. Without a limit in bytes a
+    batch holds ten thousand texts, tens of MB in the JVM and as much in the worker; a limit that is set stays.
     """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     known = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if root not in known:
