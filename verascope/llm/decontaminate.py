@@ -113,7 +113,7 @@ def seeds(items: DataFrame, min_matches: int = 12) -> DataFrame:
                     name = pa.array([b.column(0)[i].as_py()] * len(q[part]))
                     yield pa.RecordBatch.from_arrays([name, pa.array(h[part].view(np.int64)), pa.array(q[part].astype(np.int32))], ["item", "h", "q"])
 
-    return items.select("item", "hashes").mapInArrow(run, "item binary, h bigint, q int").distinct()
+    return items.select("item", "hashes").mapInArrow(run, "item binary, h bigint, q int")
 
 
 def _bloom(seeds: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -216,15 +216,16 @@ def contaminated(
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = written(_items(benchmark, item_col, item_text_col), "items")
     items = named.groupBy("item").agg(F.first("hashes").alias("hashes"))
-    found = written(seeds(items, min_matches), "seeds")
+    keys = seeds(items, min_matches)
     sizes = [r["n"] for r in named.where(F.size("hashes") < SHORT).select(F.size("hashes").alias("n")).distinct().collect()]
     lengths = sorted({length for n in sizes for _, length in _short_parts(n, min_matches)})
-    regions = written(_regions(source, _bloom(found), lengths, reach).withColumn("region_id", F.monotonically_increasing_id()), "regions")
-    keys, tokens = found, items.select("item", F.transform("hashes", lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("t"))
+    regions = written(_regions(source, _bloom(keys), lengths, reach).withColumn("region_id", F.monotonically_increasing_id()), "regions")
+    tokens = items.select("item", F.transform("hashes", lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("t"))
     tokens = tokens.select("item", F.transform("t", lambda h: F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h).cast("int")).alias("tokens"))
-    if keys.count() <= BROADCAST_SEEDS:
+    most = named.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    if most * (len(MASKS) + 1) <= BROADCAST_SEEDS:
         keys = F.broadcast(keys)
-    if (named.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_TOKENS:
+    if most <= BROADCAST_TOKENS:
         tokens = F.broadcast(tokens)
     hits = regions.select("region_id", F.explode(F.arrays_zip("h", "p")).alias("x")).select("region_id", "x.h", "x.p")
     pairs = hits.join(keys, "h").select("region_id", "item", (F.col("p") - F.col("q")).alias("diagonal")).distinct()

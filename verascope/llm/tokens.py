@@ -43,6 +43,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums from which span_hashes() takes the hash of any span of the values."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values + np.uint64(1)) * _powers(_BASE, len(values)), out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans start : end; equal spans have equal ones wherever they lie."""
+    return mix((sums[end] - sums[start]) * _powers(_INVERSE, len(sums))[start])
+
+
 @dataclass
 class Words:
     """hashes of all words in order; first[i] : first[i + 1] are those of text i; start, end: byte positions in data."""
