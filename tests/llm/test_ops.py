@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from verascope.llm import bpe, decontaminate, graph, gru, html_text, langid, lm, passages, quality_fm, quality_rules, secrets, simhash, windows
+from verascope.llm import bpe, decontaminate, graph, gru, html_text, langid, lm, passages, quality_fm, quality_rules, secrets, simhash, tokens, windows
 from verascope.llm import queries as q
 
 RANKS = public_tokenizers.path(q.RANKS)
@@ -311,8 +311,8 @@ def test_op4_recall_of_short_edited_passages_is_whole():
             continue
         judged += 1
         texts = [" ".join(fresh(r.randrange(90)) + x + fresh(r.randrange(90))).encode() for x in (one, two)]
-        (_, _, ka, ca), (_, _, kb, cb) = passages._windows(texts, functions, 46)
-        assert set(ka.tolist()) & set(kb.tolist())
+        w = passages.Windows(tokens.words(texts), functions, 46)
+        assert set(w.keys[w.text[w.centre] == 0].tolist()) & set(w.keys[w.text[w.centre] == 1].tolist())
 
 
 def test_op4_regroups_what_differs_from_the_first(spark):
