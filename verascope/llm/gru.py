@@ -7,6 +7,7 @@ vocabulary's words follow by falling frequency. Tokens 0 and 1 are classes of th
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,8 +72,6 @@ def streams(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray
     """
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     loads, rows = np.zeros(width, np.int64), [[] for _ in range(width)]
-    import heapq
-
     heap = [(0, r) for r in range(width)]
     for i in order:
         load, r = heapq.heappop(heap)
@@ -137,14 +136,16 @@ def _target_logs(w: Weights, shape: Shape, states: np.ndarray, targets: np.ndarr
     top = logits.max(axis=1)
     logs = (logits[np.arange(len(targets)), classes] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))).astype(np.float64)
     order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(shape.classes + 1))
-    slots = shape.slot_of(targets)
+    ends = np.searchsorted(classes[order], np.arange(shape.classes + 1)).tolist()
+    own, slots, add = states[order], shape.slot_of(targets)[order], np.zeros(len(order))
     for c in range(2, shape.classes):
-        rows = order[ends[c] : ends[c + 1]]
-        if len(rows):
-            inner = states[rows] @ w["ww"][c].T + w["bw"][c]
-            top = inner.max(axis=1)
-            logs[rows] += inner[np.arange(len(rows)), slots[rows]] - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
+        at = slice(ends[c], ends[c + 1])
+        if ends[c + 1] > ends[c]:
+            inner = own[at] @ w["ww"][c].T
+            inner += w["bw"][c]
+            inner -= inner.max(axis=1, keepdims=True)
+            add[at] = inner[np.arange(len(inner)), slots[at]] - np.log(np.exp(inner, out=inner).sum(axis=1))
+    logs[order] += add
     return logs
 
 
@@ -177,19 +178,26 @@ def window_gradients(w: Weights, shape: Shape, h0: np.ndarray, before: np.ndarra
     p /= count
     grads["wc"], grads["bc"] = s.T @ p, p.sum(axis=0)
     ds += p @ w["wc"].T
+    # tokens by class, so that each class takes a slice
     order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(shape.classes + 1))
+    ends = np.searchsorted(classes[order], np.arange(shape.classes + 1)).tolist()
+    own, own_slots, own_ds = s[order], slots[order], np.zeros_like(s)
     for c in range(2, shape.classes):
-        at = order[ends[c] : ends[c + 1]]
-        if len(at):
-            inner = s[at] @ w["ww"][c].T + w["bw"][c]
-            q = np.exp(inner - inner.max(axis=1, keepdims=True))
+        at = slice(ends[c], ends[c + 1])
+        n_own = ends[c + 1] - ends[c]
+        if n_own:
+            q = own[at] @ w["ww"][c].T
+            q += w["bw"][c]
+            q -= q.max(axis=1, keepdims=True)
+            np.exp(q, out=q)
             q /= q.sum(axis=1, keepdims=True)
-            loss -= float(np.log(np.maximum(q[np.arange(len(at)), slots[at]], 1e-30)).sum())
-            q[np.arange(len(at)), slots[at]] -= 1
+            mine = np.arange(n_own), own_slots[at]
+            loss -= float(np.log(np.maximum(q[mine], 1e-30)).sum())
+            q[mine] -= 1
             q /= count
-            grads["ww"][c], grads["bw"][c] = q.T @ s[at], q.sum(axis=0)
-            ds[at] += q @ w["ww"][c]
+            grads["ww"][c], grads["bw"][c] = q.T @ own[at], q.sum(axis=0)
+            np.matmul(q, w["ww"][c], out=own_ds[at])
+    ds[order] += own_ds
     dstates = np.zeros_like(states)
     dstates[real] = ds
     dgates = np.empty_like(gates)
@@ -208,15 +216,22 @@ def window_gradients(w: Weights, shape: Shape, h0: np.ndarray, before: np.ndarra
         dh = (dh * z + drh * r + dzr @ w["u"].T) * keep[t]
     flat = dgates.reshape(-1, 3 * hd)
     grads["wx"], grads["bx"] = x.reshape(-1, shape.embedding).T @ flat, flat.sum(axis=0)
-    np.add.at(grads["emb"], before.reshape(-1), flat @ w["wx"].T)
+    at, back = before.reshape(-1), flat @ w["wx"].T
+    for k in range(shape.embedding):
+        grads["emb"][:, k] = np.bincount(at, back[:, k], shape.tokens)
     return loss, grads, h
 
 
-def train(w: Weights, shape: Shape, texts: list[np.ndarray], rate: float = 0.01, width: int = 32, window: int = 16) -> Weights:
+#: Rows side by side in training: as many as leave STEPS steps to a pass, within these.
+NARROW, WIDE, STEPS = 16, 128, 300
+
+
+def train(w: Weights, shape: Shape, texts: list[np.ndarray], rate: float = 0.01, width: int | None = None, window: int = 16) -> Weights:
     """One pass of Adam over texts, in truncated windows; states run on from window to window."""
     w = {k: v.copy() for k, v in w.items()}
     if not texts:
         return w
+    width = width or min(WIDE, max(NARROW, sum(map(len, texts)) // (window * STEPS)))
     _, token, owner = streams(texts, min(width, len(texts)))
     before, kept = _inputs(token, owner)
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
@@ -249,16 +264,3 @@ def unpacked(flat: np.ndarray, like: Weights) -> Weights:
         out[k] = np.asarray(flat[at : at + like[k].size], np.float32).reshape(like[k].shape)
         at += like[k].size
     return out
-
-
-def portions(lengths: Iterator[int], limit: int) -> Iterator[tuple[int, int]]:
-    """Spans of consecutive texts of about limit tokens."""
-    start = total = 0
-    at = -1
-    for at, n in enumerate(lengths):
-        if total and total + n > limit:
-            yield start, at
-            start, total = at, 0
-        total += n
-    if at >= start:
-        yield start, at + 1

@@ -1,19 +1,17 @@
 """LM scoring: a gated recurrent model over words, and a unigram base from counts of the whole corpus.
 
-Word counts come from all learnable documents. The most frequent words form the recurrent model's vocabulary;
-a larger, still bounded set of frequent words travels to the executors, and all rarer words meet their counts
-in a join. The recurrent model is trained on all learnable documents, once each, split
-into shards: each shard trains from the same weights, the shards' weights are averaged, and this repeats.
-A word outside the vocabulary has the model's probability of such a word times its share among them in the base.
+Word counts come from all learnable documents; words travel as 64-bit hashes. The most frequent words form the recurrent
+model's vocabulary; a larger, still bounded set of frequent words travels to the executors, and all rarer words meet their
+counts in a join. The recurrent model is trained on all learnable documents, once each, split into shards: each shard
+trains from the same weights, the shards' weights are averaged, and this repeats. A word outside the vocabulary has the
+model's probability of such a word times its share among them in the base.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +21,10 @@ from pyspark.sql import functions as F
 
 from verascope.llm import gru
 from verascope.llm.common import written
-from verascope.llm.tokens import portions
+from verascope.llm.tokens import NOT_SPACE, Words, mix, portions, words
+
+#: Stands for the end of a text among the hashes.
+END = np.uint64(0x2545F4914F6CDD1D)
 
 
 @dataclass(frozen=True)
@@ -40,49 +41,52 @@ class Settings:
     hidden: int = 24
     train_share: float = 1.0
     least_tokens: int = 1_200_000
-    shard_tokens: int = 600_000
+    shard_tokens: int = 2_400_000
     rounds: int = 2
     rate: float = 0.01
-    #: Distinct words that a counting task holds before it passes them on.
-    held_words: int = 400_000
+    #: Words that a counting task holds before it passes their counts on.
+    held_words: int = 4_000_000
     chunk: int = 4096
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words, A-Z lower-cased; the end is left out."""
-    return text.encode().lower().split() if text else []
+def _words(column: pa.Array) -> Words:
+    """The words of texts, A-Z lower-cased; the ends are left out."""
+    return words([(t or "").encode().lower() for t in column.to_pylist()], NOT_SPACE)
 
 
 def count_words(texts: DataFrame, held: int) -> DataFrame:
-    """(word, c) over all rows of texts (text); the empty word stands for the ends."""
+    """(word, c) over all rows of texts (text); the word END stands for the ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        parts: list[np.ndarray] = []
+        size = ends = 0
 
         def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-            seen.clear()
-            return out
-
-        for b in batches:
-            seen[b""] += b.num_rows
-            for x in b.column(0):
-                seen.update(tokens(x.as_py()))
-                if len(seen) > held:
-                    yield rows()
+            h, n = np.unique(np.concatenate([*parts, np.empty(0, np.uint64)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(h, END).view(np.int64)), pa.array(np.append(n, ends))], ["word", "n"])
+
+        for b in portions(batches, 0):
+            parts.append(_words(b.column(0)).hashes)
+            size, ends = size + len(parts[-1]), ends + b.num_rows
+            if size > held:
+                yield rows()
+                parts.clear()
+                size = ends = 0
         yield rows()
 
-    return texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
+    return texts.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
 
 
 @dataclass
 class Model:
-    """What an executor needs: counts of frequent words, totals, and the recurrent weights."""
+    """What an executor needs: hashes of frequent words in order with their counts and places by frequency, totals, and the recurrent weights."""
 
-    counts: dict[bytes, int]
+    hashes: np.ndarray
+    counts: np.ndarray
+    places: np.ndarray
+    ends: int
     total: int
     distinct: int
-    words: list[bytes]
     shape: gru.Shape
     weights: gru.Weights
 
@@ -95,17 +99,39 @@ class Model:
 
     def other_mass(self) -> float:
         """The base's probability of all words outside the vocabulary."""
-        inside = sum(self.counts.get(w, 0) + 0.5 for w in [b"", *self.words]) / self.scale
-        return max(1 - inside, 0.5 / self.scale)
+        inside = self.counts[self.places < self.shape.vocabulary]
+        return max(1 - (float(inside.sum()) + self.ends + 0.5 * (len(inside) + 1)) / self.scale, 0.5 / self.scale)
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Where the words are among the frequent ones; len(hashes) for all others."""
+        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        return np.where(self.hashes[at] == h, at, len(self.hashes)) if len(self.hashes) else np.zeros(len(h), np.int64)
 
-def _ids(words: list[bytes]) -> dict[bytes, int]:
-    return {w: i + 2 for i, w in enumerate(words)}
+
+def _with_ends(ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The ids of each text, with the end after each."""
+    n = len(first) - 1
+    out = np.full(len(ids) + n, gru.END, np.int32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(first))] = ids
+    ends = first + np.arange(n + 1)
+    return [out[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+
+def _vocabulary_ids(model: Model) -> np.ndarray:
+    """The recurrent model's id of each frequent word; the last is that of all others."""
+    return np.append(np.where(model.places < model.shape.vocabulary, model.places + 2, gru.OTHER), gru.OTHER).astype(np.int32)
 
 
 def _trained(texts: DataFrame, model: Model, s: Settings, shards: int) -> gru.Weights:
     """One round: every shard trains from model.weights; the mean of what they reach, weighted by tokens, by chunk."""
-    weights, shape, ids = model.weights, model.shape, _ids(model.words)
+    weights, shape, ids = model.weights, model.shape, _vocabulary_ids(model)
+    find = Model(model.hashes, model.counts, model.places, 0, 0, 0, shape, {}).find
+
+    def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches, 0):
+            found = _words(b.column(0))
+            lists = _with_ends(ids[find(found.hashes)], found.first)
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4" if shape.tokens > 1 << 15 else "<i2").tobytes() for x in lists], pa.binary())], ["ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[np.ndarray] = []
@@ -120,7 +146,7 @@ def _trained(texts: DataFrame, model: Model, s: Settings, shards: int) -> gru.We
 
         for b in batches:
             for x in b.column(0):
-                docs.append(np.array([*[ids.get(w, gru.OTHER) for w in tokens(x.as_py())], gru.END], np.int32))
+                docs.append(np.frombuffer(x.as_py(), "<i4" if shape.tokens > 1 << 15 else "<i2").astype(np.int32))
                 held += len(docs[-1])
                 if held > 2 * s.shard_tokens:
                     learn()
@@ -133,7 +159,7 @@ def _trained(texts: DataFrame, model: Model, s: Settings, shards: int) -> gru.We
                 [pa.array(range(len(parts)), pa.int32()), pa.array([done] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], ["k", "n", "x"]
             )
 
-    sums = texts.repartition(shards).mapInArrow(run, "k int, n bigint, x array<double>")
+    sums = texts.mapInArrow(to_ids, "ids binary").repartition(shards).mapInArrow(run, "k int, n bigint, x array<double>")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, np.ndarray]] = {}
@@ -172,15 +198,20 @@ def train(df: DataFrame, learnable: Column, s: Settings = Settings(), id_col: st
     texts = df.where(learnable).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("string").alias("id"))
     table = written(count_words(texts.select("text"), s.held_words), "words")
     totals = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = _frequent(table.where(F.length("word") > 0), s.frequent)
-    counts = {bytes(r["word"]): r["c"] for r in sorted(top, key=lambda r: (-r["c"], bytes(r["word"])))}
-    words = list(counts)[: s.vocabulary]
-    ends = table.where(F.length("word") == 0).first()
-    counts[b""] = ends["c"] if ends else 0
-    shape = gru.Shape(len(words), s.embedding, s.hidden)
-    inside = [counts[b""], *[counts[w] for w in words]]
-    weights = gru.initial(shape, np.array([inside[0], totals["n"] - sum(inside), *inside[1:]], np.float64))
-    model = Model(counts, totals["n"], totals["v"], words, shape, weights)
+    end = int(END.view(np.int64))
+    top = _frequent(table.where(F.col("word") != end), s.frequent)
+    hashes, counts = np.array([r["word"] for r in top], np.int64).view(np.uint64), np.array([r["c"] for r in top], np.int64)
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order]
+    places = np.empty(len(hashes), np.int64)
+    places[np.lexsort((hashes, -counts))] = np.arange(len(hashes))
+    ends = table.where(F.col("word") == end).first()
+    ends = ends["c"] if ends else 0
+    shape = gru.Shape(min(s.vocabulary, len(hashes)), s.embedding, s.hidden)
+    inside = np.empty(shape.vocabulary)
+    inside[places[places < shape.vocabulary]] = counts[places < shape.vocabulary]
+    weights = gru.initial(shape, np.array([ends, totals["n"] - ends - inside.sum(), *inside], np.float64))
+    model = Model(hashes, counts, places, ends, totals["n"], totals["v"], shape, weights)
     if totals["n"]:
         share = min(1.0, max(s.train_share, s.least_tokens / totals["n"]))
         shards = max(1, round(share * totals["n"] / s.shard_tokens / s.rounds))
@@ -191,59 +222,59 @@ def train(df: DataFrame, learnable: Column, s: Settings = Settings(), id_col: st
     return model, table
 
 
-_ROW = "uid bigint, word binary, n bigint, is_doc boolean, {id}, n_tokens bigint, known bigint, base double, score double, others bigint"
+_ROW = "uid bigint, word bigint, n bigint, is_doc boolean, {id}, n_tokens bigint, known bigint, base double, score double, others bigint"
 
 
 def score(df: DataFrame, model: Model, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10 probabilities.
 
-    Null and empty texts hold the end only. Words seen in no learnable document have count zero. Repeated rows
-    and ids stay apart. An empty table gives none; nothing learnable leaves one unknown word as the whole base.
+    Null and empty texts hold the end only. Words seen in no learnable document have count zero. Repeated rows and ids stay
+    apart, a null doc_id too. Texts may have any length; the state runs through the whole of each. Words of one count are
+    ordered by hash where the vocabulary ends. Other columns are not read, so their names may clash. An empty table gives
+    none; nothing learnable leaves one unknown word as the whole base.
     """
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = _ROW.format(id=f"doc_id {kind}")
-    counts, shape, weights, n_words, scale = model.counts, model.shape, model.weights, len(model.words), model.scale
-    end_base, end_known = model.base(counts.get(b"", 0)), int(counts.get(b"", 0) > 0)
-    # the vocabulary comes first; words that are not here have the last place, where nothing is added
-    frequent = [w for w in counts if w]
-    log_of = np.array([*[model.base(counts[w]) for w in frequent], 0.0])
+    shape, weights, scale, n_frequent = model.shape, model.weights, model.scale, len(model.hashes)
+    ids, find = _vocabulary_ids(model), Model(model.hashes, model.counts, model.places, 0, 0, 0, shape, {}).find
+    end_base, end_known = model.base(model.ends), int(model.ends > 0)
+    # words that are not here have the last place, where nothing is added
+    log_of = np.append(np.log10((model.counts + 0.5) / scale), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
-        index = {w: i for i, w in enumerate(frequent)}.get
-        missing = len(frequent)
         for b in portions(batches, 1):
-            texts = [tokens(x) for x in b.column(1).to_pylist()]
-            at = [np.fromiter((index(w, missing) for w in t), np.int64, len(t)) for t in texts]
-            logs = gru.log_probabilities(weights, shape, [np.append(np.where(i < n_words, i + 2, gru.OTHER), gru.END) for i in at])
-            size = len(texts)
-            rare_of, rare, times = [], [], []
-            base, known, others = np.empty(size), np.empty(size, np.int64), np.empty(size, np.int64)
-            outside = np.zeros(size)
-            for i, (t, k) in enumerate(zip(texts, at, strict=True)):
-                found = log_of[k]
-                base[i], known[i] = found.sum() + end_base, (k < missing).sum() + end_known
-                others[i], outside[i] = (k >= n_words).sum(), found[k >= n_words].sum()
-                for w, n in Counter(compress(t, k == missing)).items():
-                    rare_of.append(i)
-                    rare.append(w)
-                    times.append(n)
+            found = _words(b.column(1))
+            size, of = b.num_rows, found.text_of()
+            at = find(found.hashes)
+            token = ids[at]
+            logs = gru.log_probabilities(weights, shape, _with_ends(token, found.first))
+            sums = lambda x: np.bincount(of, x, size)  # noqa: E731, B023
+            here, other, one = at < n_frequent, token == gru.OTHER, log_of[at]
+            base, known, others, outside = sums(one) + end_base, sums(here) + end_known, sums(other), sums(one * other)
+            # rare words by text: equal neighbours once sorted are one row
+            rare, rare_of = found.hashes[~here], of[~here]
+            order = np.lexsort((rare, rare_of))
+            rare, rare_of = rare[order], rare_of[order]
+            new = np.ones(len(rare), bool)
+            new[1:] = (rare[1:] != rare[:-1]) | (rare_of[1:] != rare_of[:-1])
+            starts = np.flatnonzero(new)
             uids = np.arange(uid, uid + size)
             uid += size
-            # a document's own row meets no count: no word has a space
+            # a document's own row is dealt by its number; it counts no word
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(uids), pa.array([b" " + int(u).to_bytes(8, "big") for u in uids], pa.binary()), pa.array(np.zeros(size, np.int64)), pa.array([True] * size), b.column(0),
-                    pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(known), pa.array(base), pa.array(logs / math.log(10) + outside), pa.array(others),
+                    pa.array(uids), pa.array(mix(uids.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(size, np.int64)), pa.array([True] * size), b.column(0),
+                    pa.array(np.diff(found.first) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(logs / math.log(10) + outside), pa.array(others.astype(np.int64)),
                 ], names)
-            m = len(rare)
-            if m:
+            if m := len(starts):
                 nulls = [pa.nulls(m, t) for t in (b.column(0).type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(uids[rare_of]), pa.array(rare, pa.binary()), pa.array(times, pa.int64()), pa.array([False] * m), *nulls], names)
+                times = np.diff(np.append(starts, len(rare)))
+                yield pa.RecordBatch.from_arrays([pa.array(uids[rare_of[starts]]), pa.array(rare[starts].view(np.int64)), pa.array(times), pa.array([False] * m), *nulls], names)
 
     names = [part.split()[0] for part in schema.split(", ")]
-    rows = source.mapInArrow(run, schema).join(table.where(F.length("word") > 0), "word", "left")
+    rows = source.mapInArrow(run, schema).join(table, "word", "left")
     rare_log = F.when(F.col("is_doc"), 0.0).otherwise(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(scale)))
     per = rows.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"),
