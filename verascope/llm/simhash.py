@@ -4,7 +4,8 @@ Fingerprints are dealt into tiles by population counts: of the whole, and of `pa
 A differing bit changes one part's count by one, so fingerprints within the radius lie in tiles whose counts
 differ by the radius at most, summed over the parts; all other tile pairs are skipped. Each fingerprint stays
 in its own tile and visits the later tiles in reach; there numpy takes exclusive-or and bit counts of
-blocks. A tile pair reports a spanning forest of its links, so large groups give few edges.
+blocks. A tile pair reports a spanning forest of its links, so large groups give few edges. A tile of more than
+TILE_ROWS fingerprints is dealt over several tasks by hash, which all its visitors visit.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from verascope.llm.graph import components
 SEED, BITS = 42, 64
 #: Fingerprints of a block: bounds the matrix of a comparison.
 BLOCK = 1024
+#: Fingerprints that one task holds of a tile, and parts that a tile may be dealt over.
+TILE_ROWS, MOST_SPLITS = 1 << 16, 1 << 15
+#: Fingerprints from which on tiles are cut by eight parts of the bits instead of four: more, smaller tiles, more visits.
+FINE = 20_000_000
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -106,12 +111,21 @@ def _compare(left: np.ndarray, right: np.ndarray, radius: int, same: bool, fores
                 forest.link(x, y)
 
 
-def links(distinct: DataFrame, radius: int = 2, parts: int = 4) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Edges (u, v) among distinct fingerprints (fp) that connect all pairs within the radius, transitively."""
-    steps = F.array(*[F.lit(s).cast("long") for s in _steps(parts, radius)])
+    own = distinct.select("fp", _tile(F.col("fp"), parts).alias("own"))
+    # one row for each TILE_ROWS fingerprints at most
+    crowded = own.groupBy(F.col("own").alias("tile")).count().where(F.col("count") > tile_rows)
+    crowded = crowded.select("tile", F.least(F.ceil(F.col("count") / tile_rows), F.lit(MOST_SPLITS)).alias("splits"))
+    reached = own.withColumn("step", F.explode(F.array(*[F.lit(s).cast("long") for s in _steps(parts, radius)]))).withColumn("tile", F.col("own") + F.col("step"))
+    splits = F.coalesce("splits", F.lit(1))
+    home = F.pmod(F.xxhash64("fp"), splits)
+    # at home it meets the parts before its own as a visitor
+    last = F.when(F.col("step") == 0, home).otherwise(splits - 1)
     dealt = (
-        distinct.select("fp", _tile(F.col("fp"), parts).alias("own"), F.explode(steps).alias("step"))
-        .select((F.col("own") + F.col("step")).alias("tile"), (F.col("step") != 0).alias("visits"), "fp")
+        reached.join(F.broadcast(crowded), "tile", "left")
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .select((F.col("tile") * MOST_SPLITS + F.col("part")).alias("tile"), ((F.col("step") != 0) | (F.col("part") != home)).alias("visits"), "fp")
         .repartition("tile")
         .sortWithinPartitions("tile", "visits")
     )
@@ -151,16 +165,19 @@ def links(distinct: DataFrame, radius: int = 2, parts: int = 4) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, parts: int = 4, words_per_shingle: int = 3
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, parts: int | None = None, words_per_shingle: int = 3
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
     fingerprint: 16 lower-case hex digits. component_id: the least doc_id that links of radius or fewer differing
     bits reach, its own included. Wordless texts share the fingerprint zero and link like any other. A null doc_id
-    never becomes a component_id unless its component has no other. Repeated rows stay. An empty table gives none.
+    never becomes a component_id unless its component has no other. Repeated rows stay. Texts may have any length. parts:
+    of the bits that tiles are cut by (a divisor of 64; by the number of fingerprints unless given); no result depends on
+    it. Other columns are not read, so their names may clash. An empty table gives none.
     """
     marked = written(fingerprints(df, id_col, text_col, words_per_shingle), "simhash")
     firsts = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    parts = parts or (4 if firsts.count() < FINE else 8)
     found = components(links(firsts.select("fp"), radius, parts))
     tagged = firsts.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = tagged.groupBy("component").agg(F.min("first").alias("component_id"))
