@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -89,8 +90,8 @@ def test_op1_equals_brute_force(spark, sf, texts):
     assert all(r.fingerprint == f"{fps[r.doc_id]:016x}" and r.component_id == want[r.doc_id] for r in got)
 
 
-@pytest.mark.parametrize("parts", [1, 2, 4, 8])
-def test_tiles_lose_no_link(spark, parts):
+@pytest.mark.parametrize(("parts", "rows"), [(1, 1 << 16), (2, 1 << 16), (4, 1 << 16), (8, 1 << 16), (1, 7), (2, 2), (4, 1)])
+def test_tiles_lose_no_link(spark, parts, rows):
     r = random.Random(parts)
     fps = set()
     for _ in range(60):
@@ -102,7 +103,7 @@ def test_tiles_lose_no_link(spark, parts):
     fps |= {0, 1, 3, (1 << 64) - 1, (1 << 64) - 2}
     signed = {x - (1 << 64) if x >> 63 else x: x for x in fps}
     d = spark.createDataFrame([(s,) for s in signed], "fp bigint")
-    found = graph.components(simhash.links(d, 2, parts))
+    found = graph.components(simhash.links(d, 2, parts, rows))
     label = {r.node: r.component for r in found.collect()}
     want = py_components({s: x for s, x in signed.items()})
     assert all(label.get(s, s) == want[s] for s in signed)
@@ -153,7 +154,43 @@ def test_op2_leaves_boilerplate(spark):
     assert html_text.extract(d.where("false")).count() == 0
 
 
-def test_cuts_are_least():
+def test_op2_awkward_markup():
+    first = "<p>One long paragraph of the article, that says much. Really it does.</p>"
+    second = "The second paragraph of the article, quite long as well, says more things. And so on it goes."
+    text = lambda html: html_text.main_text(html)
+    assert text(f"<head><title>a</title>{first}") == first[3:-4]
+    for name in ("story-search", "article-share", "search"):
+        assert second in text(f"<article><h1>T</h1>{first}<div class='{name}'><p>{second}</p></div>{first}</article>")
+    assert second not in text(f"<article><h1>T</h1>{first}<div class='comments'><p>{second}</p></div></article>")
+    assert text("<p>" + "word " * 200_000 + ".</p>") == "word " * 200_000 + "."
+    assert text("") == text(None) == text("<div hidden><p>Not shown at all. Never.</p></div>") == ""
+    began = time.process_time()
+    text("<b>" * 20 + "<div>" + "<i>x" * 30_000 + "</b>" * 30_000)
+    text("<p>x</i>" * 20_000 + "<b>y</u>" * 20_000)
+    assert time.process_time() - began < 20
+
+
+def test_op2_flow_decides_blocks():
+    costs, changed, right, total = html_text.fitted(), 0, 0, 0
+    for page in html_text.labelled_pages(200, seed=99):
+        found, around = html_text.blocks(page)
+        own = [html_text.leaning(b, costs) for b in found]
+        cut = html_text.min_cut(own, html_text.edges(found, around, costs))
+        changed += sum(k != (u > 0) for k, u in zip(cut, own, strict=True))
+        right += sum(k == bool(re.search(r"\bc\d", b.text)) for k, b in zip(cut, found, strict=True))
+        total += len(found)
+    assert changed > 5 and right / total > 0.99
+
+
+def test_op2_ties_come_from_the_tree():
+    found, around = html_text.blocks("<div><p>a</p><p>b</p><section><p>c</p></section></div><ul><li>d</li></ul>")
+    ties = {(i, j): w for i, j, w in html_text.edges(found, around, html_text.Costs((), 1.0, 0.5, 0.0)) if w}
+    assert ties == {(0, 1): 1.0, (1, 2): 0.5, (2, 3): 0.125}
+
+
+@pytest.mark.parametrize("many", [1000, 0])
+def test_cuts_are_least(many, monkeypatch):
+    monkeypatch.setattr(html_text, "MANY", many)
     r = random.Random(1)
     for _ in range(200):
         n = r.randint(1, 8)
@@ -315,6 +352,64 @@ def test_op4_recall_of_short_edited_passages_is_whole():
         assert set(w.keys[w.text[w.centre] == 0].tolist()) & set(w.keys[w.text[w.centre] == 1].tolist())
 
 
+def test_op4_recall_by_brute_force(spark):
+    # pairs with one word, or a phrase of 4 to 10 words, replaced; and groups of variants that differ from one another
+    r = random.Random(21)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+    def edited(words, size):
+        k = r.randrange(5, len(words) - size - 5)
+        return words[:k] + fresh(size) + words[k + size :]
+
+    families = []
+    for size in [1] * 30 + list(range(4, 11)) * 5:
+        base = fresh(r.randrange(60, 90) if size == 1 else r.randrange(25 * size, 40 * size))
+        families.append([base, edited(base, size)])
+    for _ in range(3):
+        base = fresh(300)
+        families.append([edited(edited(base, 1), r.choice((1, 2))) for _ in range(25)])
+    near, bodies = [], []
+    for family in families:
+        ids = range(len(bodies), len(bodies) + len(family))
+        near += [(ids[i], ids[j]) for i in range(len(family)) for j in range(i) if py_jaccard(family[i], family[j]) >= 0.8]
+        bodies += [fresh(r.randrange(60)) + x + fresh(r.randrange(60)) for x in family]
+    clean = range(len(bodies), len(bodies) + 50)
+    bodies += [fresh(150) for _ in clean]
+    d = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bodies)], "doc_id bigint, text string")
+    got = passages.repeated_passages(d).collect()
+    label = {i: i for i in range(len(bodies))}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for x in got:
+        label[find(x.doc_id)] = find(x.source_id)
+    found = sum(find(i) == find(j) for i, j in near)
+    assert len(near) > 200 and found >= 0.99 * len(near)
+    assert not {x.doc_id for x in got} & set(clean)
+
+
+def test_op4_windows_agree_as_by_brute_force():
+    r = np.random.default_rng(3)
+    for _ in range(40):
+        values = [r.integers(0, 1 << 40, 120).astype(np.uint64) for _ in range(3)]
+        rows = sorted(((c, a, b, f) for f, v in enumerate(values) for a, c, b in zip(*windows.compact_windows(v, 20), strict=True) if r.random() < 0.6), key=lambda x: x[0])
+        c, a, b, f = (np.array(x) for x in zip(*rows, strict=True))
+        for enough in (1, 2, 3):
+            # a range of 20 positions or more that both windows stand for
+            want = []
+            for i in range(len(rows)):
+                met = {int(f[i])}
+                for j in range(len(rows)):
+                    ranges = ((s, e) for s in range(max(a[i], a[j]), min(c[i], c[j]) + 1) for e in range(max(c[i], c[j]) + 1, min(b[i], b[j]) + 1) if e - s >= 20)
+                    if next(ranges, None):
+                        met.add(int(f[j]))
+                want.append(len(met) >= enough)
+            assert passages.interval_join(a, c, b, f, 20, enough).tolist() == want
+
+
 def test_op4_regroups_what_differs_from_the_first(spark):
     # all share a run too short to count; two of them share more
     r = random.Random(6)
@@ -553,6 +648,30 @@ def test_op8_awkward(awkward, empty):
     assert quality_rules.judged(empty).count() == 0
 
 
+def test_op8_repeats_in_short_and_long_texts(spark):
+    r = random.Random(8)
+    texts = ["", "a", "a a a", "a a a a", "a b c a b c", "a b c d a b c"] + [" ".join(r.choice("abcdefgh") * r.randint(1, 2) for _ in range(n)) for n in (10, 40, 300)]
+    texts += [" ".join([f"w{k}" for k in range(70_000)] + ["x", "y", "z"] * 2), " ".join(f"w{k % 65_000}" for k in range(65_530))]
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.base_counts(d).collect()}
+    assert got == {i: py_base(t)[4] for i, t in enumerate(texts)}
+
+
+def test_op8_every_language_has_a_profile(spark):
+    # 70 languages of words of their own letters; one has too little text for a profile, and its texts are not judged by the others
+    r = random.Random(4)
+    rows = []
+    for k in range(70):
+        words = ["".join(chr(0x4E00 + 12 * k + r.randrange(12)) for _ in range(5)) for _ in range(60)]
+        for _ in range(90 if k else 3):
+            rows.append((len(rows), " ".join(r.choices(words, [1 / (i + 1) for i in range(60)], k=300)), f"l{k}"))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = quality_rules.judged(d).collect()
+    assert {p.lang for p in quality_rules.profiles(d)} == {f"l{k}" for k in range(1, 70)}
+    assert all(x.word_distance is None and x.class_distance is None for x in got if x.doc_id < 3)
+    assert all(x.kept for x in got if not x.base_failed)
+
+
 def test_op8_plan_has_no_python(docs):
     assert not re.search("Python|Pandas|ArrowEval", quality_rules.judged(docs)._jdf.queryExecution().executedPlan().toString())
 

@@ -2,7 +2,8 @@
 
 A text's histogram over character classes and its histogram over a language's common words (with one bin for
 all other words) are compared with the profile of every language; the closest counts. Texts under a minimum
-length are not judged by a distance: short histograms say little. Profiles come from all rows of the table.
+length are not judged by a distance: short histograms say little. Profiles come from all rows of the table; every
+language with enough text has one, and texts of a language without one are not judged by a distance either.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from verascope.llm.common import SPACE_CLASS
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: Word buckets of a language that are ranked apart.
 RANK_BUCKETS = 64
+#: Bits for a window's place in a text of fewer words; longer texts keep hashes and places apart.
+PLACE_BITS = 16
 CLASSES = ("lower", "space", "upper", "digit", "symbol", "other")
 
 
@@ -27,8 +30,7 @@ class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
     common_words: int = 40
-    min_profile_share: float = 0.001
-    max_profiles: int = 64
+    profile_min_chars: int = 20_000
     class_min_chars: int = 200
     word_min_words: int = 80
     max_class_distance: float = 0.24
@@ -55,20 +57,26 @@ def _class_counts(df: DataFrame, text: str) -> DataFrame:
 
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more, first included."""
+    low = F.lit((1 << PLACE_BITS) - 1).cast("long")
+    digest = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    every = lambda w: F.sequence(F.lit(0), F.size(w) - 3)
+    # places in order: a window adds the words up to the next one, three at most
+    total = lambda p: F.aggregate(F.transform(p, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - i, F.lit(3)))), F.lit(0), lambda n, x: n + x)
 
-    def covered(w: Column) -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-        )
-
-        def twice(s: Column) -> Column:
-            found = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
-            return _then(F.transform(found, lambda x: x["i"]), lambda p: F.size(F.array_distinct(F.concat(p, F.transform(p, lambda i: i + 1), F.transform(p, lambda i: i + 2)))))
+    def short(w: Column) -> Column:
+        # a window is one number, most of its hash above its place: those sort much faster than structs; words decide
+        word = lambda x, k: F.get(w, x.bitwiseAND(low).cast("int") + k)
+        same = lambda x, y: (F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS)) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
+        twice = lambda s: F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
+        windows = F.transform(every(w), lambda i: F.shiftleft(digest(w, i), PLACE_BITS).bitwiseOR(i.cast("long")))
+        return _then(_then(F.sort_array(windows), lambda s: F.sort_array(F.transform(twice(s), lambda x: x.bitwiseAND(low).cast("int")))), total)
 
-        return F.when(F.size(w) >= 4, _then(F.sort_array(windows), twice)).otherwise(0)
+    def long(w: Column) -> Column:
+        windows = F.transform(every(w), lambda i: F.struct(digest(w, i).alias("h"), i.alias("i")))
+        twice = lambda s: F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
+        return _then(_then(F.sort_array(windows), lambda s: F.sort_array(F.transform(twice(s), lambda x: x["i"]))), total)
 
-    return _then(words, covered)
+    return _then(words, lambda w: F.when(F.size(w) < 4, 0).when(F.size(w) < 1 << PLACE_BITS, short(w)).otherwise(long(w)))
 
 
 def base_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -98,16 +106,14 @@ class Profile:
 
 
 def profiles(df: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> list[Profile]:
-    """The class shares and the common words of every language with min_profile_share of the rows, from all rows.
+    """The class shares and the common words of every language with profile_min_chars characters of words, from all rows.
 
-    What reaches the driver is bounded: max_profiles languages of RANK_BUCKETS times common_words rows. Words are
-    ranked within buckets first, so no task sorts all words of a language.
+    RANK_BUCKETS times common_words rows of a language reach the driver. Words are ranked within buckets first, so no task
+    sorts all words of a language.
     """
     d = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     sums = _class_counts(d, "text").groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(f"c_{c}").alias(c) for c in CLASSES])
-    found = sums.orderBy(F.desc("n"), "lang").limit(rules.max_profiles).collect()
-    total = sum(r["n"] for r in found)
-    found = [r for r in found if r["n"] >= rules.min_profile_share * total and any(r[c] for c in CLASSES)]
+    found = sums.where(sum((F.col(c) for c in CLASSES if c != "space"), F.lit(0)) >= rules.profile_min_chars).collect()
     if not found:
         return []
     counts = (
@@ -138,22 +144,22 @@ def _half(p: Column, q: Column) -> Column:
     return (part(p, q) + part(q, p)) / 2
 
 
-def _class_distance(profile: Profile, total: Column) -> Column:
-    bins = [_half(F.lit(float(p)), F.col(f"c_{c}") / total) for c, p in zip(CLASSES, profile.classes, strict=True)]
+def _class_distance(profile: Column, total: Column) -> Column:
+    """profile: the shares of CLASSES."""
+    bins = [_half(profile[i], F.col(f"c_{c}") / total) for i, c in enumerate(CLASSES)]
     return F.sqrt(F.greatest(sum(bins[1:], bins[0]), F.lit(0.0)))
 
 
-def _word_distance(profile: Profile, runs: Column, n_words: Column) -> Column:
-    """runs: (w, n) of common words of any language in the text; bins absent from it are summed beforehand."""
-    shares = F.create_map(*[F.lit(x) for w, p in profile.words.items() for x in (w, float(p))])
-    known = sum(profile.words.values())
+def _word_distance(profile: Column, runs: Column, n_words: Column) -> Column:
+    """profile: (known, shares); runs: (w, n) of common words of any language in the text; bins absent from it are summed beforehand."""
+    known, shares = profile["known"], profile["shares"]
 
     def of(own: Column) -> Column:
         sums = F.aggregate(
             own,
-            F.struct(F.lit(known / 2).alias("js"), F.lit(0.0).alias("q")),
+            F.struct((known / 2).alias("js"), F.lit(0.0).alias("q")),
             lambda a, x: F.struct((a["js"] + _half(x["p"], x["q"]) - x["p"] / 2).alias("js"), (a["q"] + x["q"]).alias("q")),
-            lambda a: a["js"] + _half(F.lit(max(0.0, 1 - known)), F.greatest(1 - a["q"], F.lit(0.0))),
+            lambda a: a["js"] + _half(F.greatest(1 - known, F.lit(0.0)), F.greatest(1 - a["q"], F.lit(0.0))),
         )
         return F.sqrt(F.greatest(sums, F.lit(0.0)))
 
@@ -175,8 +181,10 @@ def judged(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_c
     """Base counts, distances and verdict of every row of df.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
-    word_distance (null where a guard holds or no language has a profile), kept. Null text: no words, so base_failed.
-    A null lang gives no profile but is judged by all. Repeated rows stay; an empty table gives none.
+    word_distance (null where a guard holds, no language has a profile or the text's own language has none), kept. Null and
+    empty texts have no words, so base_failed. A null lang gives no profile but is judged by all. Words of one count are
+    ordered by themselves where a profile's list ends. Texts may have any length. Repeated rows and ids stay, a null doc_id
+    too; other columns are not read, so their names may clash. An empty table gives none.
     """
     known = profiles(df, rules, text_col, lang_col)
     base = base_counts(df, id_col, text_col, lang_col)
@@ -184,12 +192,16 @@ def judged(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_c
     none = F.lit(None).cast("double")
     by_class, by_word = none, none
     common = sorted({w for p in known for w in p.words})
+    double = lambda x: F.lit(float(x))
+    own_profile = F.col("lang").isNull() | F.col("lang").isin([p.lang for p in known])
     if known:
-        by_class = F.when(total >= rules.class_min_chars, F.array_min(F.array(*[_class_distance(p, total) for p in known])))
+        shares = F.array(*[F.array(*map(double, p.classes)) for p in known])
+        by_class = F.when(own_profile & (total >= rules.class_min_chars), F.array_min(F.transform(shares, lambda p: _class_distance(p, total))))
     if common:
         own = F.filter(F.transform("words", F.lower), lambda w: w.isin(common))
-        distances = lambda r: F.array_min(F.array(*[_word_distance(p, r, F.col("n_words")) for p in known if p.words]))
-        by_word = F.when(F.col("n_words") >= rules.word_min_words, _then(_runs(own), distances))
+        lists = F.array(*[F.struct(double(sum(p.words.values())).alias("known"), F.create_map(*[x for w, v in p.words.items() for x in (F.lit(w), double(v))]).alias("shares")) for p in known if p.words])
+        distances = lambda r: F.array_min(F.transform(lists, lambda p: _word_distance(p, r, F.col("n_words"))))
+        by_word = F.when(own_profile & (F.col("n_words") >= rules.word_min_words), _then(_runs(own), distances))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     far = (F.coalesce("class_distance", F.lit(0.0)) > rules.max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > rules.max_word_distance)
     return base.select(

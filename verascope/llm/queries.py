@@ -88,16 +88,15 @@ WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, text IS NOT NULL AS
  tri AS (SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM c WHERE len(w) >= 3)),
  twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, t) AS n FROM tri) WHERE n > 1),
  rep AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY k),
- langs AS (SELECT lang, count(*) AS n, sum(total) AS chars FROM c WHERE lang IS NOT NULL AND there GROUP BY lang ORDER BY n DESC, lang LIMIT {r.max_profiles}),
- chosen AS (SELECT lang FROM langs WHERE n >= {r.min_profile_share} * (SELECT sum(n) FROM langs) AND chars > 0),
+ chosen AS (SELECT lang FROM c WHERE lang IS NOT NULL AND there GROUP BY lang HAVING sum(total - c_space) >= {r.profile_min_chars}),
  pc AS (SELECT lang, {means} FROM c JOIN chosen USING (lang) WHERE there GROUP BY lang),
  wl AS (SELECT k, lang, lower(unnest(w)) AS word FROM c), wc AS (SELECT lang, word, count(*) AS n FROM wl JOIN chosen USING (lang) GROUP BY 1, 2),
  pw AS (SELECT lang, word, CAST(n AS DOUBLE) / total AS p FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM wc) WHERE rank <= {r.common_words}),
  dw AS (SELECT k, word, count(*) AS n FROM wl WHERE word IN (SELECT word FROM pw) GROUP BY 1, 2),
  known AS (SELECT lang, sum(p) AS known FROM pw GROUP BY lang),
  js AS (SELECT k, lang, sum({half} - p / 2) AS js, sum(q) AS q FROM (SELECT dw.k, pw.lang, pw.p, CAST(dw.n AS DOUBLE) / c.n_words AS q FROM dw JOIN pw USING (word) JOIN c USING (k)) GROUP BY 1, 2),
- far AS (SELECT c.k, min(sqrt(greatest(0.0, known / 2 + coalesce(js, 0) + (SELECT {half} FROM (SELECT greatest(0.0, 1 - known) AS p, greatest(0.0, 1 - coalesce(js.q, 0)) AS q))))) AS word_distance FROM c CROSS JOIN known LEFT JOIN js ON js.k = c.k AND js.lang = known.lang WHERE c.n_words >= {r.word_min_words} GROUP BY c.k),
- qc AS (SELECT k, {shares} FROM c WHERE total >= {r.class_min_chars}),
+ far AS (SELECT c.k, min(sqrt(greatest(0.0, known / 2 + coalesce(js, 0) + (SELECT {half} FROM (SELECT greatest(0.0, 1 - known) AS p, greatest(0.0, 1 - coalesce(js.q, 0)) AS q))))) AS word_distance FROM c CROSS JOIN known LEFT JOIN js ON js.k = c.k AND js.lang = known.lang WHERE c.n_words >= {r.word_min_words} AND (c.lang IS NULL OR c.lang IN (FROM chosen)) GROUP BY c.k),
+ qc AS (SELECT k, {shares} FROM c WHERE total >= {r.class_min_chars} AND (lang IS NULL OR lang IN (FROM chosen))),
  fc AS (SELECT k, min(sqrt(greatest(0.0, {by_class}))) AS class_distance FROM qc CROSS JOIN pc GROUP BY k)
 SELECT c.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(total - c_space AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
  n_words < {r.min_words} OR 100 * coalesce(rep.n, 0) > {r.max_repeat_percent} * n_words AS base_failed,
