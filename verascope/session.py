@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,15 +43,34 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    On one machine, where that is unset, a temporary folder serves. Elsewhere an unset folder is an error: other machines
+    would not see what one wrote.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = "file://" + tempfile.mkdtemp(prefix="verascope-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def reachable(spark: SparkSession) -> SparkSession:
-    """spark, with this package's folder on the path of Python workers that start from now on, and Arrow batches of a few MB.
+    """spark, with this package's folder on the path of Python workers that start from now on, one numeric thread in each, and
+    Arrow batches of a few MB.
 
     The path serves machines which see the folder; elsewhere ship the package with --py-files. Without a limit in bytes a
-    batch holds ten thousand texts, tens of MB in the JVM and as much in the worker; a limit that is set stays.
+    batch holds ten thousand texts, tens of MB in the JVM and as much in the worker. What is set already stays.
     """
     if spark.conf.get(BATCH_BYTES, None) is None:
         spark.conf.set(BATCH_BYTES, str(4 << 20))
     root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    # tasks share the cores already; more threads only wait for one another on small matrices
+    env.setdefault("OMP_NUM_THREADS", "1")
     known = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if root not in known:
         env["PYTHONPATH"] = ":".join([root, *known])
