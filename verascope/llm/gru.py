@@ -8,7 +8,6 @@ vocabulary's words follow by falling frequency. Tokens 0 and 1 are classes of th
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np

@@ -132,7 +132,10 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def train(df: DataFrame, learnable: Column, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from rows that are learnable and have a text and a lang; nothing else of them is used."""
+    """Learns from rows that are learnable and have a text and a lang; nothing else of them is used.
+
+    Repeated rows count as often as they occur. No learnable row gives a model without languages.
+    """
     d = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), learnable.alias("ok"))
     d = d.where("ok and text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -171,7 +174,12 @@ def train(df: DataFrame, learnable: Column, s: Settings = Settings(), id_col: st
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row. Null texts and texts without a letter: 'und', 0. Repeated rows stay."""
+    """(doc_id, lang_pred, score) of every row.
+
+    Null and empty texts and texts without a letter: 'und', 0; so all texts of a model without languages. Of equally likely
+    languages the first by name. Texts may have any length: their counts take a fixed size. Repeated rows and ids stay, a null doc_id
+    too. Other columns are not read, so their names may clash. An empty table gives none.
+    """
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
@@ -184,7 +192,10 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def accepted(df: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
-    """The rows of df, whole, whose language is determined with min_score or more; null and letterless texts go."""
+    """The rows of df, whole, whose language is determined with min_score or more; null, empty and letterless texts go.
+
+    Repeated rows, null ids and columns of any name stay as they are; an empty table stays empty.
+    """
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,7 +129,8 @@ def train(
     """Learns from rows of labels that are learnable (an expression over its columns) and have a 0/1 label and a document.
 
     More than max_rows are thinned by a hash of the id. The labels are joined to the documents; only texts of the
-    sample are shuffled.
+    sample are shuffled. Null labels, and ids that are null or on one side only, teach nothing; repeated rows count as
+    often as they meet. Nothing to learn from gives a model that scores all texts near one half.
     """
     known = labels.where(learnable & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     total = known.count()
@@ -153,7 +154,11 @@ def train(
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """(doc_id, score, predicted) of every row; null text scores as empty. Repeated rows stay."""
+    """(doc_id, score, predicted) of every row; a null text scores as an empty one.
+
+    A score at the threshold is predicted 1. Texts may have any length. Repeated rows and ids stay, a null doc_id too. Other
+    columns are not read, so their names may clash. An empty table gives none.
+    """
     source = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 

@@ -180,8 +180,10 @@ def kind(value: Column, before: Column) -> Column:
 def findings(df: DataFrame, forest: list[Tree], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_id, nth, kind, value_sha256, n_chars, probability): a row per candidate that the forest calls a secret.
 
-    nth counts the text's candidates from 0; the value itself is not returned. Clean documents give no row; rows
-    that repeat a doc_id give theirs each. An empty table gives none.
+    nth counts the text's candidates from 0; the value itself is not returned. Null, empty and clean texts give no row; rows
+    that repeat a doc_id give theirs each, a null doc_id too; a value that occurs twice in a text gives two rows. A
+    probability at the threshold counts. Texts may have any length. Other columns are not read, so their names may clash.
+    An empty table gives none.
     """
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     x = scan(source, forest).select("row.doc_id", F.explode(F.filter("found", lambda f: f["p"] >= threshold)).alias("f"))
@@ -196,9 +198,9 @@ def findings(df: DataFrame, forest: list[Tree], id_col: str = "doc_id", text_col
 
 
 def redacted(df: DataFrame, forest: list[Tree], text_col: str = "text", length_col: str | None = None, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """df with every secret in text_col replaced by the mark; all rows and columns stay, null text stays null.
+    """df with every secret in text_col replaced by the mark; all rows and columns stay, null and clean texts as they are.
 
-    length_col, if given, changes by as many characters as the text does.
+    length_col, if given, changes by as many characters as the text does. Columns may have any name; repeated rows stay.
     """
     pieces = F.zip_with("between", "found", lambda b, f: F.concat(b, F.when(f.isNull(), "").when(f["p"] >= threshold, mark).otherwise(f["value"])))
     row = lambda name: F.col("row").getField(name)
