@@ -1,7 +1,7 @@
 """Corpus pipeline: language ID, near-dedup, decontamination, secret redaction, tokenization.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return
-the columns of documents.
+the columns that docs has, whatever their names, and an empty table for an empty table. Texts may have any length.
 """
 
 from __future__ import annotations
@@ -19,29 +19,32 @@ from verascope.session import reachable
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determined language go: null or letterless text, or a score under one half."""
+    """Documents without a determined language go: null, empty or letterless text, or a score under one half."""
     return langid.accepted(docs, langid.train(docs, fold("doc_id", 4) != 2))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document of least doc_id stays. Rows of a null doc_id stay."""
+    """Of each group of linked fingerprints, the document of least doc_id stays, with all rows that repeat it.
+
+    Null and wordless texts are one group. Rows of a null doc_id stay.
+    """
     gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none; an empty benchmark takes nothing away."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows. No document goes."""
+    """Secrets are replaced by a mark; n_chars follows. No document goes; null texts stay null."""
     forest = secrets.train(secrets.built_in_findings(spark))
     return secrets.redacted(docs, forest, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what stayed."""
+    """Token counts and digests of what stayed; a null text counts as empty, repeated rows each."""
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
 
 
