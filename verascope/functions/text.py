@@ -1,6 +1,7 @@
-"""Text signals as column expressions: each document is scored inside its row, without a shuffle.
+"""Text signals: each document is scored inside its row, without a shuffle.
 
-A token is a maximal run of letters, digits and underscores that consists of two or more ASCII letters.
+features() takes all signals in one Arrow pass (`verascope.functions.signals`); here each of them, but for the running
+ratio, is also an expression of built-in functions. A token is a maximal run of letters, digits and underscores that consists of two or more ASCII letters.
 """
 
 from __future__ import annotations
@@ -9,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verascope.functions.arrays import clamp01, let, mean, stddev_pop, total, value_counts
+from verascope.functions.signals import MTLD_THRESHOLD, TTR_WINDOW, ZIPF_RANKS, mtld_of, signals
 
 TOKEN = r"(?<![\p{L}\p{N}_])[a-z]{2,}+(?![\p{L}\p{N}_])"
-SENTENCE = r"[^.!?]++[.!?]++"
+#: Starts only where a sentence can: elsewhere a text without terminators would be read to its end from every character.
+SENTENCE = r"(?<![^.!?])[^.!?]++[.!?]++"
 #: Weights of the sub-scores; the reduced ones leave room for the language model's.
 WEIGHTS = {"ttr": 0.18, "mtld": 0.12, "entropy": 0.15, "sentence_variance": 0.15, "repetition": 0.15, "zipf_deviation": 0.15, "burstiness": 0.10}
 PERPLEXITY_WEIGHT, PERPLEXITY_SHARE = 0.15, 0.85
-MTLD_THRESHOLD, TTR_WINDOW, ZIPF_RANKS = 0.72, 200, 50
 
 
 def tokens(text: Column) -> Column:
@@ -31,30 +33,9 @@ def type_token_ratio(t: Column, window: int = TTR_WINDOW) -> Column:
     return F.when(F.size(t) > 0, F.size(F.array_distinct(F.slice(t, 1, window))) / F.least(F.size(t), F.lit(window))).otherwise(0.0)
 
 
-def _factors(t: Column, threshold: float) -> Column:
-    """Tokens per factor in one direction: a factor ends where the running ratio falls to the threshold."""
-    start = F.struct(F.lit(0.0).alias("f"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n"))
-
-    def step(a: Column, x: Column) -> Column:
-        seen = F.when(F.array_contains(a["seen"], x), a["seen"]).otherwise(F.array_append(a["seen"], x))
-        return let(
-            F.struct(seen.alias("seen"), (a["n"] + 1).alias("n")),
-            lambda s: F.when(
-                F.size(s["seen"]) / s["n"] <= threshold,
-                F.struct((a["f"] + 1).alias("f"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n")),
-            ).otherwise(F.struct(a["f"].alias("f"), s["seen"].alias("seen"), s["n"].alias("n"))),
-        )
-
-    def end(a: Column) -> Column:
-        rest = F.when(a["n"] > 0, (1 - F.size(a["seen"]) / a["n"]) / (1 - threshold)).otherwise(0.0)
-        return a["f"] + rest
-
-    return let(F.aggregate(t, start, step, end), lambda f: F.when(f > 0, F.size(t) / f).otherwise(F.size(t).cast("double")))
-
-
 def mtld(t: Column, threshold: float = MTLD_THRESHOLD) -> Column:
-    """Mean of both directions; fewer than ten tokens: 0."""
-    return F.when(F.size(t) < 10, 0.0).otherwise((_factors(t, threshold) + _factors(F.reverse(t), threshold)) / 2)
+    """Mean tokens per factor of both directions; fewer than ten tokens: 0."""
+    return mtld_of(t, threshold)
 
 
 def entropy(t: Column) -> Column:
@@ -102,26 +83,16 @@ def average_word_length(t: Column) -> Column:
     return F.when(F.size(t) > 0, F.length(F.array_join(t, "")) / F.size(t)).otherwise(0.0)
 
 
-SIGNALS = {
-    "ttr": lambda t, text: type_token_ratio(t),
-    "mtld": lambda t, text: mtld(t),
-    "entropy": lambda t, text: entropy(t),
-    "sentence_variance": lambda t, text: sentence_variation(text),
-    "repetition": lambda t, text: repetition(t),
-    "zipf_deviation": lambda t, text: zipf_alignment(t),
-    "avg_word_length": lambda t, text: average_word_length(t),
-}
+SIGNALS = ("ttr", "mtld", "entropy", "sentence_variance", "repetition", "zipf_deviation", "avg_word_length")
 
 
 def features(df: DataFrame, text_col: str = "text", burstiness: Column | None = None) -> DataFrame:
     """df with feat_ columns. Without event times burstiness is the neutral 0.5."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumn("_tokens", tokens(text))
-    found = {f"feat_{k}": f(F.col("_tokens"), text) for k, f in SIGNALS.items()}
+    df = df.withColumn("_signals", signals(F.col(text_col).cast("string")))
+    found = {f"feat_{k}": F.col("_signals")[k] for k in SIGNALS}
     found["feat_burstiness"] = burstiness if burstiness is not None else F.lit(0.5)
-    found["feat_token_count"] = F.size("_tokens").cast("long")
-    found["feat_sentence_count"] = F.size(sentences(text)).cast("long")
-    return df.withColumns(found).drop("_tokens")
+    found |= {f"feat_{k}": F.col("_signals")[k] for k in ("token_count", "sentence_count")}
+    return df.withColumns(found).drop("_signals")
 
 
 def sub_scores(prefix: str = "feat_") -> dict[str, Column]:
@@ -149,12 +120,19 @@ def composite(scores: dict[str, Column], by: dict[str, float]) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), sum(parts[1:], parts[0]) * 100))
 
 
-def score_documents(df: DataFrame, text_col: str = "text", by: dict[str, float] | None = None, perplexity: Column | None = None, round_to: int | None = 2) -> DataFrame:
-    """df with feat_ and score_ columns and aliveness_score, 0 to 100. perplexity: an optional column of its sub-score."""
+def score_documents(df: DataFrame, text_col: str = "text", by: dict[str, float] | None = None, perplexity: Column | None = None, round_to: int | None = 2, where: Column | None = None) -> DataFrame:
+    """df with feat_ and score_ columns and aliveness_score, 0 to 100.
+
+    perplexity: an optional column of its sub-score. where: the rows that have it; the others get null and the weights
+    without it, as some sources are too large for the model.
+    """
     df = features(df, text_col)
     scores = sub_scores()
     if perplexity is not None:
-        scores["perplexity"] = clamp01(perplexity)
+        scores["perplexity"] = clamp01(perplexity) if where is None else F.when(where, clamp01(perplexity))
     df = df.withColumns({f"score_{k}": v for k, v in scores.items()})
-    whole = composite({k: F.col(f"score_{k}") for k in scores}, by or weights(perplexity is not None))
+    found = {k: F.col(f"score_{k}") for k in scores}
+    whole = composite(found, by or weights(perplexity is not None))
+    if perplexity is not None and where is not None:
+        whole = F.when(where, whole).otherwise(composite(found, by or weights()))
     return df.withColumn("aliveness_score", F.round(whole, round_to) if round_to is not None else whole)

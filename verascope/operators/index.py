@@ -1,7 +1,7 @@
 """Daily, domain and composite indices, and their incremental merges.
 
-Rows of scored documents are reduced by partial aggregation on (date, source, category); scores have two decimals,
-so the exact median's state is bounded. The composite has one row a day: its windows run in one task by design.
+Rows of scored documents are reduced by partial aggregation on (date, source, category); the median is that of scores of
+two decimals, so its state is bounded. The composite has one row a day: its windows run in one task by design.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ def _digits(c: Column, n: int | None) -> Column:
     return c if n is None else F.round(c, n)
 
 
+#: Decimals of the scores that the median sees: a group's state holds one count for each, 10,001 at most.
+MEDIAN_DIGITS = 2
+
+
 def daily_index(scored: DataFrame, score_col: str = "aliveness_score", digits: int | None = None) -> DataFrame:
     """(date, source, category) -> counts and moments. Counts include unscored rows; keys with a null and groups without a score are left out."""
     s = F.col(score_col)
@@ -30,7 +34,7 @@ def daily_index(scored: DataFrame, score_col: str = "aliveness_score", digits: i
     out = known.groupBy(*KEYS).agg(
         F.count("*").alias("n_docs"),
         F.avg(s).alias("mean_score"),
-        F.median(s).alias("median_score"),
+        F.median(F.round(s, MEDIAN_DIGITS)).alias("median_score"),
         F.stddev_samp(s).alias("std_score"),
         (F.avg(F.when(s < 50, 1.0).when(s.isNotNull(), 0.0)) * 100).alias("pct_below_50"),
         F.count(s).alias("_scored"),
