@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from verascope.functions import perplexity, text
 from verascope.plans import ingest
-from verascope.sources import demo
+from verascope.sources import demo, sinks
 
 
 def test_runs_twice_add_nothing_and_new_files_add_their_own(spark, tmp_path):
@@ -33,6 +33,74 @@ def test_runs_twice_add_nothing_and_new_files_add_their_own(spark, tmp_path):
     assert capped["gold"].count() == 5
 
 
+def test_a_run_that_fails_anywhere_changes_nothing(spark, tmp_path, monkeypatch):
+    words = "Plain words of a story that goes on. It has sentences. They end here."
+    (tmp_path / "bronze/steam").mkdir(parents=True)
+    write = lambda p, ids: (tmp_path / "bronze" / p).write_text("\n".join(json.dumps({"review_id": str(i), "text": f"Review {words} {i}", "timestamp_created": 1704412800}) for i in ids))
+    write("steam/a.jsonl", range(12))
+    s = ingest.Settings(date(2024, 2, 1), ("steam",), smooth=3)
+    bronze, out = str(tmp_path / "bronze"), str(tmp_path / "out")
+    plain_write, plain_commit = sinks.RunStore.write, sinks.RunStore.commit
+
+    class Crash(Exception):
+        pass
+
+    def run_failing_at(step):
+        calls = []
+
+        def failing(f, after):
+            def call(self, *args):
+                calls.append(args[0])
+                if len(calls) - 1 == step and not after:
+                    raise Crash
+                found = f(self, *args)
+                if len(calls) - 1 == step:
+                    raise Crash
+                return found
+
+            return call
+
+        # a write fails once its files are there, a commit before it is made
+        monkeypatch.setattr(sinks.RunStore, "write", failing(plain_write, True))
+        monkeypatch.setattr(sinks.RunStore, "commit", failing(plain_commit, False))
+        try:
+            return ingest.run(spark, bronze, out, s)
+        finally:
+            monkeypatch.setattr(sinks.RunStore, "write", plain_write)
+            monkeypatch.setattr(sinks.RunStore, "commit", plain_commit)
+
+    steps = 7
+    for n, ids in ((12, range(12)), (17, range(12, 17))):
+        write(f"steam/{n}.jsonl", ids)
+        before = sinks.RunStore(spark, out).last()
+        for step in range(steps):
+            with pytest.raises(Crash):
+                run_failing_at(step)
+            assert sinks.RunStore(spark, out).last() == before
+        found = run_failing_at(steps)
+        assert found["gold"].count() == found["registry"].count() == n
+        assert found["daily"].agg(F.sum("n_docs")).first()[0] == n and found["domains"].agg(F.sum("n_docs")).first()[0] == n
+    # state that is gone is an error, not a beginning
+    import shutil
+
+    shutil.rmtree(tmp_path / "out/registry")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        ingest.run(spark, bronze, out, s)
+
+
+def test_sources_without_the_model(spark, tmp_path):
+    (tmp_path / "bronze/steam").mkdir(parents=True)
+    (tmp_path / "bronze/common_crawl").mkdir()
+    text = "Some words of a text. It goes on."
+    (tmp_path / "bronze/steam/a.jsonl").write_text(json.dumps({"review_id": "1", "text": text}))
+    (tmp_path / "bronze/common_crawl/a.jsonl").write_text(json.dumps({"url": "u", "text": text, "domain": "d"}))
+    model = perplexity.scorer(lambda: lambda t: 2.0)
+    out = ingest.run(spark, str(tmp_path / "bronze"), str(tmp_path / "out"), ingest.Settings(date(2024, 2, 1), ("steam", "common_crawl"), perplexity=model))
+    got = {r.source: r.score_perplexity for r in out["gold"].collect()}
+    assert got == {"steam": pytest.approx(perplexity.normalised(2.0)), "common_crawl": None}
+    assert out["gold"].where("aliveness_score is null").count() == 0
+
+
 def test_model_plug(spark):
     def load():
         def loss(t):

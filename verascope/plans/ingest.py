@@ -1,20 +1,24 @@
 """The whole path: bronze files to silver, new documents scored into gold, the daily and composite indices renewed.
 
-A run is idempotent: documents in the registry are not scored again, so repeating it adds none.
+A run is idempotent: documents in the registry are not scored again, so repeating it adds none. All that a run writes
+counts with its commit, the last step: a run that fails anywhere before has changed nothing. Gold and the registry only
+grow by the run's own rows; the indices, a row a day and group, are written anew.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verascope.functions.scalars import day_or
 from verascope.functions.text import score_documents
 from verascope.operators import dedup, index, normalise, summary
 from verascope.sources.bronze import read_bronze
-from verascope.sources.sinks import VersionedTable
+from verascope.sources.sinks import RunStore
 
 
 @dataclass(frozen=True)
@@ -27,6 +31,9 @@ class Settings:
     smooth: int = 21
     min_docs: int = 10
     weights: dict[str, float] | None = field(default=None, hash=False)
+    #: The optional model: a function from text to its sub-score (perplexity.scorer), and sources that go without.
+    perplexity: Callable[[Column], Column] | None = field(default=None, hash=False)
+    without_model: tuple[str, ...] = ("common_crawl",)
 
 
 def silver(spark: SparkSession, bronze: str, sources: tuple[str, ...]) -> DataFrame:
@@ -40,31 +47,33 @@ def silver(spark: SparkSession, bronze: str, sources: tuple[str, ...]) -> DataFr
     return normalise.silver(parts)
 
 
+REPLACED = ("silver", "daily", "domains", "composite")
+
+
 def run(spark: SparkSession, bronze: str, out: str, s: Settings) -> dict[str, DataFrame]:
-    """Tables under out: silver, gold, registry, daily, domains, composite. The registry changes last."""
-    t = {n: VersionedTable(spark, f"{out}/{n}") for n in ("silver", "gold", "registry", "daily", "domains", "composite")}
-    documents = t["silver"].replace(silver(spark, bronze, s.sources))
-    known = t["registry"].read()
+    """Tables under out: silver, gold, registry, daily, domains, composite."""
+    store = RunStore(spark, out)
+    n = store.last() + 1
+    known, daily, domains = store.whole("registry"), store.current("daily"), store.current("domains")
+    documents = store.write("silver", n, silver(spark, bronze, s.sources))
     fresh = documents if known is None else dedup.new_rows(documents, known)
     fresh = dedup.keep_last(fresh, "doc_id", ["ingested_at", "content_hash"])
     if s.cap is not None:
         fresh = dedup.newest(fresh, s.cap)
-    scored = score_documents(fresh)
-    old = t["gold"].read()
-    gold = t["gold"].replace(scored if old is None else old.unionByName(dedup.new_rows(scored, old), allowMissingColumns=True))
-    batch = gold if old is None else dedup.new_rows(gold, known if known is not None else old)
-    rows = batch.withColumn("date", F.coalesce(F.to_date("created_dt"), F.lit(s.as_of)))
-    for name, new, merge in (("daily", index.daily_index(rows, digits=3), index.merge_delta), ("domains", index.domain_index(rows, "doc_id"), index.merge_domain_delta)):
-        before = t[name].read()
-        t[name].replace(new if before is None else merge(before, new))
-    composite = index.with_anomalies(index.smoothed(index.composite(t["daily"].read(), s.weights, s.min_docs), width=s.smooth))
-    ids = gold.select("doc_id")
-    return {
-        "silver": documents,
-        "gold": gold,
-        "daily": t["daily"].read(),
-        "domains": t["domains"].read(),
-        "composite": t["composite"].replace(composite),
-        "registry": t["registry"].replace((ids if known is None else ids.unionByName(known)).distinct()),
-        "summary": summary.corpus_summary(gold),
-    }
+    if s.perplexity is None:
+        scored = score_documents(fresh)
+    else:
+        # the model never sees the texts of sources that go without
+        judged = ~F.col("source").isin(list(s.without_model))
+        scored = score_documents(fresh, perplexity=s.perplexity(F.when(judged, F.col("text"))), where=judged)
+    batch = store.write("gold", n, scored)
+    rows = batch.withColumn("date", day_or(F.col("created_dt"), F.lit(s.as_of)))
+    new = index.daily_index(rows, digits=3)
+    daily = store.write("daily", n, new if daily is None else index.merge_delta(daily, new))
+    new = index.domain_index(rows, "doc_id")
+    store.write("domains", n, new if domains is None else index.merge_domain_delta(domains, new))
+    store.write("composite", n, index.with_anomalies(index.smoothed(index.composite(daily, s.weights, s.min_docs), width=s.smooth)))
+    store.write("registry", n, batch.select("doc_id").distinct())
+    store.commit(n, REPLACED)
+    found = {name: store.current(name) for name in REPLACED} | {name: store.whole(name) for name in ("gold", "registry")}
+    return found | {"summary": summary.corpus_summary(found["gold"])}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from verascope.operators.dedup import keep_last
@@ -16,6 +16,21 @@ def write_bronze(df: DataFrame, root: str, source: str, collector: str, at: str
     df.withColumns({"_ingested_at": stamp, "_source": F.lit(source), "_minion": F.lit(collector)}).write.mode("append").json(f"{root}/{source}")
 
 
+def stream_bronze(df: DataFrame, root: str, source: str, collector: str, checkpoint: str):
+    """A stream of records as JSON lines under root/source, each record once however often the query restarts; returns the query."""
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    stamped = df.withColumns({"_ingested_at": stamp, "_source": F.lit(source), "_minion": F.lit(collector)})
+    return stamped.writeStream.format("json").option("path", f"{root}/{source}").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def counted(df: DataFrame, skipped: Column, failed: Column, name: str = "run") -> tuple[DataFrame, Observation]:
+    """df and its counters fetched, processed, skipped and errors, taken while df is computed for something else."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    is_skipped, is_failed = F.coalesce(skipped, F.lit(False)), F.coalesce(failed, F.lit(False))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return df.observe(seen, F.count(F.lit(1)).alias("fetched"), n(~is_skipped & ~is_failed).alias("processed"), n(is_failed).alias("errors"), n(is_skipped & ~is_failed).alias("skipped")), seen
+
+
 def write_silver(df: DataFrame, root: str, source: str) -> str:
     """One source's documents, overwriting; returns the path."""
     path = f"{root}/{source.replace('/', '_')}.parquet"
@@ -28,30 +43,56 @@ def write_registry(ids: DataFrame, path: str, key: str = "doc_id") -> None:
     ids.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).write.mode("overwrite").parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+def marks(spark: SparkSession, path: str) -> list[int]:
+    """The numbers that mark() has left under path, rising."""
+    fs, p = file_system(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def mark(spark: SparkSession, path: str, n: int) -> None:
+    """An empty file of that number: it is there or not, so a reader sees the whole step or nothing of it."""
+    fs, p = file_system(spark, f"{path}/{n}")
+    fs.mkdirs(p.getParent())
+    fs.create(p, True).close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
+
+
 class VersionedTable:
-    """A Parquet table whose every state is a directory; a pointer names the current one, so readers see whole states.
+    """A Parquet table whose every state is a numbered directory; the newest one whose mark was left afterwards counts.
 
-    The pointer is a one-row table, replaced after the new state is written.
+    States and marks are only added, so a reader, or a run after a crash, always finds a whole state. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def read(self) -> DataFrame | None:
-        try:
-            version = self.spark.read.parquet(f"{self.path}/_current").first()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return self.spark.read.parquet(f"{self.path}/{version[0]}")
+        """The newest state; None before the first. A state whose mark is there but whose files are gone is an error."""
+        done = marks(self.spark, f"{self.path}/_done")
+        return self.spark.read.parquet(f"{self.path}/{done[-1]}") if done else None
 
     def replace(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        version = uuid.uuid4().hex
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_current")
-        return self.spark.read.parquet(f"{self.path}/{version}")
+        n = max(marks(self.spark, f"{self.path}/_done"), default=0) + 1
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{n}")
+        mark(self.spark, f"{self.path}/_done", n)
+        return self.spark.read.parquet(f"{self.path}/{n}")
 
     def append_latest(self, new: DataFrame, key: str, order: str) -> DataFrame:
         """Old and new rows, of equal keys the one of largest order; columns that only one side has are null in the other."""
@@ -60,6 +101,42 @@ class VersionedTable:
         return self.replace(keep_last(both, key, [order]))
 
 
+class RunStore:
+    """Tables that change together, run by run: what a run wrote counts once the run is committed, and not before.
+
+    A table is either appended to (each run's rows stay) or replaced (the last run's rows are the table). A run that failed
+    left no commit; the next one has its number and overwrites what it wrote.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def last(self) -> int:
+        """The last committed run; 0 before the first."""
+        return max(marks(self.spark, f"{self.path}/_commits"), default=0)
+
+    def write(self, name: str, run: int, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{name}/run={run}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def current(self, name: str) -> DataFrame | None:
+        """A replaced table; None before the first run. Missing files of a committed run are an error."""
+        n = self.last()
+        return self.spark.read.parquet(f"{self.path}/{name}/run={n}") if n else None
+
+    def whole(self, name: str) -> DataFrame | None:
+        """An appended table, columns that a run did not have being null; None before the first run."""
+        n = self.last()
+        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{name}").where(F.col("run") <= n).drop("run") if n else None
+
+    def commit(self, run: int, replaced: tuple[str, ...] = ()) -> None:
+        """From here on the run counts. Of replaced tables the states before the last two go: a reader may still hold the one before."""
+        mark(self.spark, f"{self.path}/_commits", run)
+        for name in replaced:
+            remove(self.spark, f"{self.path}/{name}/run={run - 2}")
+
+
 def insert_new(existing: DataFrame, rows: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(all rows, rows that were really inserted): of rows, those of a new, non-null key, each key once."""
     fresh = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).join(existing.select(key), key, "left_anti")

@@ -6,56 +6,63 @@ are applied once by number: a batch that runs again finds its version written an
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verascope.operators.index import daily_index, merge_delta
+from verascope.session import shared_dir
+from verascope.sources.sinks import exists, mark, marks, remove
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+#: Batches after which the ids of all before are gathered in one table, so that a reader opens few.
+GATHER = 64
 
 
 class DailyIndexSink:
-    """Versions of the daily index and of the registry of known ids under one path, a directory per batch.
+    """Versions of the daily index and the known ids under one path, a directory per batch.
 
-    A version is complete when its last part, `done`, exists; readers take the newest complete one.
+    A version counts once the batch's mark is left; readers take the newest one. A batch adds its own ids; every GATHER
+    batches all ids before are gathered.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
-    def _last(self, below: int) -> int | None:
-        return next((n for n in range(below - 1, -1, -1) if _exists(self.spark, f"{self.path}/{n}/done")), None)
+    def _done(self, below: int | None = None) -> list[int]:
+        return [n for n in marks(self.spark, f"{self.path}/_done") if below is None or n < below]
 
     def read(self, part: str = "daily", below: int | None = None) -> DataFrame | None:
-        n = self._last(below if below is not None else self._count())
-        return None if n is None else self.spark.read.parquet(f"{self.path}/{n}/{part}")
-
-    def _count(self) -> int:
-        n = 0
-        while _exists(self.spark, f"{self.path}/{n}"):
-            n += 1
-        return n
+        """The newest `daily`, or the `registry` of all ids; None before the first batch. Files that are gone are an error."""
+        done = self._done(below)
+        if not done:
+            return None
+        if part != "registry":
+            return self.spark.read.parquet(f"{self.path}/{done[-1]}/{part}")
+        whole = next((n for n in reversed(done) if exists(self.spark, f"{self.path}/{n}/all")), None)
+        parts = [f"{self.path}/{n}/registry" for n in done if whole is None or n > whole]
+        return self.spark.read.parquet(*([f"{self.path}/{whole}/all"] if whole is not None else []), *parts)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         """Merge what is new in a batch of scored rows: key, date, source, category, aliveness_score."""
-        if _exists(self.spark, f"{self.path}/{number}/done"):
+        if number in self._done():
             return
         here, registry, old = f"{self.path}/{number}", self.read("registry", number), self.read("daily", number)
+        remove(self.spark, here)
         fresh = batch.where(F.col(self.key).isNotNull()).dropDuplicates([self.key])
         if registry is not None:
             fresh = fresh.join(registry, self.key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{here}/rows")
+        fresh.write.parquet(f"{here}/rows")
         rows = self.spark.read.schema(fresh.schema).parquet(f"{here}/rows")
         new = daily_index(rows)
         ids = rows.select(self.key)
-        (ids if registry is None else registry.unionByName(ids)).write.mode("overwrite").parquet(f"{here}/registry")
-        (new if old is None else merge_delta(old, new)).write.mode("overwrite").parquet(f"{here}/daily")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{here}/done")
+        ids.write.parquet(f"{here}/registry")
+        if registry is not None and number % GATHER == GATHER - 1:
+            registry.unionByName(ids).write.parquet(f"{here}/all")
+        (new if old is None else merge_delta(old, new)).write.parquet(f"{here}/daily")
+        mark(self.spark, f"{self.path}/_done", number)
 
 
 def run_available(source: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -77,11 +84,7 @@ def live_counts(source: DataFrame, time: str, by: str, width: str = "1 day", lat
 
 def events_by_batches(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
     """The daily index of events, read as a stream of files in several batches. The mean and counts equal those of one batch."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="verascope-")
-    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     e = spark.read.parquet(f"{sf}/events.parquet")
     rows = e.select(
         F.col("event_id").cast("string").alias("doc_id"), F.to_date("ts").alias("date"), F.col("event_type").alias("source"), F.concat(F.lit("c"), (F.col("user_id") % 2).cast("string")).alias("category"),
