@@ -2,11 +2,17 @@
 
 import base64
 import json
-from datetime import datetime
+import shutil
+import sqlite3
+import time
+from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from verascope.sources import payloads, sinks
+from verascope.functions import dom
+from verascope.sources import payloads, sinks, stores
+from verascope.streaming import incremental
 
 
 def bodies(spark, *values, **columns):
@@ -134,3 +140,49 @@ def test_writers(spark, tmp_path):
     docs = spark.createDataFrame([("a", None, None), ("b", None, datetime(2021, 1, 1)), ("c", None, None), (None, None, None)], "doc_id string, scored_at timestamp, ingested_at timestamp")
     got = {r.doc_id: r.scored_at.year for r in sinks.slim_registry(docs, old, datetime(2024, 1, 1)).collect()}
     assert got == {"a": 2020, "b": 2021, "c": 2024}
+
+
+def test_versions_survive_a_crash(spark, tmp_path, monkeypatch):
+    t = sinks.VersionedTable(spark, str(tmp_path / "t"))
+    t.replace(spark.range(3))
+    monkeypatch.setattr(sinks, "mark", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError, match="stopped"):
+        t.replace(spark.range(9))
+    monkeypatch.undo()
+    assert t.read().count() == 3
+    t.replace(spark.range(5))
+    assert t.read().count() == 5
+    shutil.rmtree(tmp_path / "t/2")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        t.read()
+
+
+def test_stream_gathers_its_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "GATHER", 3)
+    sink = incremental.DailyIndexSink(spark, str(tmp_path / "index"))
+    rows = lambda ids: spark.createDataFrame([(str(i), date(2024, 1, 1), "s", "c", float(i)) for i in ids], "doc_id string, date date, source string, category string, aliveness_score double")
+    for n in range(8):
+        for _ in range(2):
+            sink(rows([n, n + 1, n]), n)
+    assert sorted(int(r.doc_id) for r in sink.read("registry").collect()) == list(range(9))
+    assert (tmp_path / "index/5/all").exists() and sink.read().first().n_docs == 9
+
+
+def test_snapshots_and_progress(spark, tmp_path):
+    con = sqlite3.connect(tmp_path / "x.db")
+    con.execute("CREATE TABLE d (a)")
+    con.executemany("INSERT INTO d VALUES (?)", [(i,) for i in range(5)])
+    con.commit()
+    path = stores.snapshot_path((tmp_path / "x.db").read_bytes(), "r1", str(tmp_path))
+    assert stores.snapshot_query(spark, path, "SELECT a FROM d WHERE a > ?", "a bigint", (2,)).count() == 2
+    with pytest.raises(ValueError, match="over 3"):
+        stores.snapshot_query(spark, path, "SELECT a FROM d", "a bigint", most=3)
+    with pytest.raises(sqlite3.OperationalError):
+        stores.snapshot_query(spark, path, "DELETE FROM d RETURNING a", "a bigint")
+
+
+def test_deep_pages_drop_in_linear_time():
+    began = time.process_time()
+    root = dom.parse("<div>" + "<aside>x</aside><p>y</p>" * 30_000)
+    root.drop("aside")
+    assert root.text() == "y" * 30_000 and time.process_time() - began < 20

@@ -60,9 +60,9 @@ class Node:
         return next((n for n in self.walk() if any(n.matches(s) for s in selectors)), None)
 
     def drop(self, *selectors: str) -> None:
-        for n in [n for n in self.walk() if any(n.matches(s) for s in selectors)]:
-            if n.up and n in n.up.children:
-                n.up.children.remove(n)
+        gone = {id(n): n for n in self.walk() if any(n.matches(s) for s in selectors)}
+        for up in {id(n.up): n.up for n in gone.values() if n.up}.values():
+            up.children = [c for c in up.children if id(c) not in gone]
 
 
 class _Builder(HTMLParser):

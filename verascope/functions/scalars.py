@@ -120,8 +120,8 @@ def titled(title: Column, body: Column) -> Column:
 
 
 def decoded(c: Column) -> Column:
-    """Text of base64."""
-    return F.decode(F.unbase64(F.regexp_replace(c, r"\s+", "")), "UTF-8")
+    """Text of base64; bytes that are no UTF-8 become replacement characters, what is no base64 null."""
+    return F.make_valid_utf8(F.try_to_binary(F.regexp_replace(c, r"\s+", ""), F.lit("base64")).cast("string"))
 
 
 def score_label(score: Column) -> Column:
@@ -147,5 +147,11 @@ def short_count(n: Column) -> Column:
     return F.when(n.isNull(), "Unavailable").when(n >= 1_000_000, F.format_string("%.2fM", n / 1e6)).otherwise(F.format_number(n, 0))
 
 
+def delta_text(score: Column, past: Column, days: int = 30) -> Column:
+    """How a score moved, as the dashboard says it; no past score: empty."""
+    d = score - past
+    return F.coalesce(F.concat(F.when(d > 0, "↑").otherwise("↓"), F.lit(" "), F.format_string("%.1f", F.abs(d)), F.lit(f" vs {days} days prior")), F.lit(""))
+
+
 def display_name(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verascope.functions import html
-from verascope.functions.scalars import content_hash, decoded, host, short_sha1, strip, text_or_empty, titled, unix_time, word_count
+from verascope.functions.scalars import ARCHIVE_CATEGORIES, archive_time, content_hash, decoded, host, host_category, short_sha1, strip, text_or_empty, titled, unix_time, word_count
 from verascope.operators.dedup import head_per_group
 
 #: Texts that stand for removed ones.
@@ -94,15 +94,54 @@ def hackernews_stories(df: DataFrame) -> DataFrame:
     )
 
 
+def _comment_text(raw: Column) -> tuple[Column, Column]:
+    """(text, whether it counts): 15 characters and more as sent; tags go where there are any."""
+    sent = strip(text_or_empty(raw))
+    return F.when(F.contains(sent, F.lit("<")), html.strip_tags(sent)).otherwise(sent), F.length(sent) >= 15
+
+
 def hackernews_comments(df: DataFrame, per_story: int = 20) -> DataFrame:
     """Search pages of comments (story_id, body): 15 characters and more, tags gone, cut at 2000."""
     schema = "hits array<struct<objectID: string, comment_text: string, author: string, points: bigint, created_at_i: bigint>>"
-    d = _items(df.select("story_id", "body"), schema, "hits").select("story_id", "pos", "x.*").withColumn("text", html.strip_tags(F.coalesce("comment_text", F.lit("")))).where(F.length("text") >= 15)
-    return head_per_group(d, ["story_id"], ["pos"], per_story).select(
+    d = _items(df.select("story_id", "body"), schema, "hits").select("story_id", "pos", "x.*")
+    text, counts = _comment_text(F.col("comment_text"))
+    d = head_per_group(d.withColumn("text", text).where(counts), ["story_id"], ["pos"], per_story)
+    return d.select(
         "story_id", F.col("objectID").alias("id"), F.substring("text", 1, 2000).alias("text"), "author", F.coalesce("points", F.lit(0)).alias("score"), F.col("created_at_i").cast("double").alias("created_utc"), unix_time(F.col("created_at_i")).alias("created_dt"), content_hash(F.col("text")).alias("content_hash")
     )
 
 
+def hackernews_items(df: DataFrame, per_story: int = 20) -> DataFrame:
+    """Single comments of the item service (story_id, position, body), the first asked for of each story; deleted and dead ones go."""
+    schema = "id bigint, by string, text string, time bigint, score bigint, deleted boolean, dead boolean"
+    d = head_per_group(df, ["story_id"], ["position"], per_story).select("story_id", F.from_json("body", schema).alias("x")).select("story_id", "x.*")
+    text, counts = _comment_text(F.col("text"))
+    d = d.where(~F.coalesce("deleted", F.lit(False)) & ~F.coalesce("dead", F.lit(False))).withColumns({"_text": text, "_counts": counts}).where("_counts")
+    return d.select(
+        "story_id", F.col("id").cast("string").alias("id"), F.substring("_text", 1, 2000).alias("text"), text_or_empty(F.col("by")).alias("author"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("time", F.lit(0)).cast("double").alias("created_utc"),
+        unix_time(F.when(F.col("time") > 0, F.col("time"))).alias("created_dt"), content_hash(F.col("_text")).alias("content_hash"),
+    )
+
+
+def random_titles(df: DataFrame, count: int) -> DataFrame:
+    """Pages of drawn articles (page, body) to their first `count` titles, in order."""
+    d = _items(df, "query struct<random: array<struct<id: bigint, title: string>>>", "query.random")
+    return d.orderBy("page", "pos").limit(count).select("x.title")
+
+
+def wiki_articles(df: DataFrame, min_chars: int = 80, max_chars: int = 5000) -> DataFrame:
+    """Article answers (body) with text of min_chars and more, cut at max_chars; hash and length are those of the whole text."""
+    revision = "struct<revid: bigint, user: string, timestamp: string, size: bigint, tags: array<string>>"
+    schema = f"query struct<pages: array<struct<pageid: bigint, title: string, missing: boolean, canonicalurl: string, extract: string, revisions: array<{revision}>>>>"
+    d = df.select(F.get(F.from_json("body", schema)["query"]["pages"], F.lit(0)).alias("x")).select("x.*").where("pageid is not null and not coalesce(missing, false)")
+    d = d.withColumn("_text", strip(text_or_empty(F.col("extract")))).where(F.length("_text") >= min_chars)
+    last = lambda k: text_or_empty(F.get("revisions", F.lit(0))[k])
+    return d.select(
+        text_or_empty(F.col("title")).alias("title"), "pageid", text_or_empty(F.col("canonicalurl")).alias("url"), F.substring("_text", 1, max_chars).alias("text"), F.length("_text").cast("long").alias("text_length"), F.lit("wiki").alias("category"), F.lit("en.wikipedia.org").alias("domain"),
+        F.coalesce("revisions", F.array().cast(f"array<{revision}>")).alias("revisions"), last("user").alias("last_editor"), last("timestamp").alias("last_edit_ts"), content_hash(F.col("_text")).alias("content_hash"),
+    )
+
+
 def recent_changes(df: DataFrame, cap: int = 10_000) -> DataFrame:
     """Pages of changes (page, body) up to the page with which the cap is reached."""
     schema = "query struct<recentchanges: array<struct<title: string, user: string, timestamp: string, comment: string, tags: array<string>, bot: boolean, anon: boolean, oldlen: bigint, newlen: bigint>>>"
@@ -120,6 +159,16 @@ def archive_snapshots(df: DataFrame, years: tuple[int, int], per_year: int = 3)
     return head_per_group(first, ["url", "_year"], ["timestamp"], per_year).drop("_day", "_year")
 
 
+def archived_pages(df: DataFrame, min_chars: int = 80, max_chars: int = 5000, root: str = "https://web.archive.org/web") -> DataFrame:
+    """Snapshots (url, timestamp, status, content_type, html) that came back as pages with a body of min_chars and more."""
+    d = df.where("status = 200 and (content_type like '%html%' or content_type like '%text%')").withColumn("_text", html.archived_body("html")).where(F.length("_text") >= min_chars)
+    at = archive_time(F.col("timestamp"))
+    return d.select(
+        F.col("url").alias("sentinel_url"), F.concat(F.lit(f"{root}/"), "timestamp", F.lit("/"), "url").alias("wayback_url"), "timestamp", F.try_to_timestamp(F.substring("timestamp", 1, 14), F.lit("yyyyMMddHHmmss")).alias("snapshot_date"), F.year(at).alias("snapshot_year"),
+        host(F.col("url"), lower=False).alias("domain"), host_category(host(F.col("url"), lower=False), ARCHIVE_CATEGORIES).alias("category"), F.substring("_text", 1, max_chars).alias("text"), F.length("_text").cast("long").alias("text_length"), content_hash(F.col("_text")).alias("content_hash"),
+    )
+
+
 def bluesky_posts(df: DataFrame, cap: int = 500) -> DataFrame:
     """Search pages (category, body) to distinct posts, cap a run."""
     schema = "posts array<struct<uri: string, cid: string, author: struct<did: string, handle: string>, record: struct<text: string, createdAt: string, langs: array<string>>, likeCount: bigint, repostCount: bigint, replyCount: bigint>>"
