@@ -104,5 +104,19 @@ def upsert_meta(old: DataFrame, new: DataFrame, keep_old: bool = False) -> DataF
     return first.unionByName(second.join(first.select("key"), "key", "left_anti"))
 
 
+#: What any reader may see; of meta only the rows of public_meta(). All else is for the pipeline.
+PUBLIC_TABLES = ("composite_index", "daily_index", "domain_scores", "latest_source_scores", "weekly_index", "yearly_source_scores", "meta")
+
+
+def public_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Of named tables those that any reader may see, and of meta its public rows."""
+    return {n: public_meta(t) if n == "meta" else t for n, t in tables.items() if n in PUBLIC_TABLES}
+
+
+def positive(scored: DataFrame, score: str = "aliveness_score") -> DataFrame:
+    """Rows with a score above zero: the others are not drawn."""
+    return scored.where(F.col(score) > 0)
+
+
 def public_meta(meta: DataFrame, keys: tuple[str, ...] = ("total_scored_count", "last_scored_at", "last_updated_at")) -> DataFrame:
     return meta.where(F.col("key").isin(list(keys)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verascope.functions import html, scalars, text
 from verascope.operators import bots, dedup, index, summary, timeseries
-from verascope.plans import bronze_queries
+from verascope.plans import bronze_queries, payload_queries, store_queries
 from verascope.plans.standins import ACTIVITY, DAILY, SCORED, SERIES, SILVER, TOKENS, activity, daily, daily_sql, scored, series, silver, table
 from verascope.streaming import incremental
 
@@ -142,7 +142,7 @@ def _weights(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "flagship_daily_index",
     _FEATURES_SQL + f""", rows AS (SELECT CAST(DATE '2024-01-01' + CAST(d.doc_id % 60 AS INTEGER) AS DATE) AS date, source, lang AS category, {_COMPOSITE} AS s FROM sb JOIN documents d USING (doc_id))
- SELECT date, source, category, count(*) AS n_docs, {r('avg(s)', 'mean_score', 4)}, {r('quantile_cont(s, 0.5)', 'median_score', 4)}, {r('100.0 * count(CASE WHEN s < 50 THEN 1 END) / count(*)', 'pct_below_50', 4)} FROM rows GROUP BY date, source, category""",
+ SELECT date, source, category, count(*) AS n_docs, {r('avg(s)', 'mean_score', 4)}, {r('quantile_cont(round(s, 2), 0.5)', 'median_score', 4)}, {r('100.0 * count(CASE WHEN s < 50 THEN 1 END) / count(*)', 'pct_below_50', 4)} FROM rows GROUP BY date, source, category""",
 )
 def _flagship(spark: SparkSession, sf: str) -> DataFrame:
     rows = text.score_documents(silver(spark, sf).select("date", "source", "category", "text"), round_to=None)
@@ -351,9 +351,10 @@ def _bar(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).where(s.isNotNull()).select("doc_id", scalars.bar_band(s).alias("band"), F.floor(s / 10).alias("lit"), F.round(total, 3).alias("total_opacity"))
 
 
-@query("display_names", "SELECT source, n, CASE WHEN n >= 1000000 THEN printf('%.2fM', n / 1e6) ELSE CAST(n AS VARCHAR) END AS shown FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) WHERE n < 1000")
+@query("display_names", "SELECT source, n, CASE WHEN n >= 1000000 THEN printf('%.2fM', n / 1e6) ELSE format('{:,}', n) END AS shown FROM (SELECT source, count(*) * 977 AS n FROM documents GROUP BY source UNION ALL SELECT 'all', count(*) * 9770 FROM documents)")
 def _names(spark: SparkSession, sf: str) -> DataFrame:
-    d = _DOCS(spark, sf).groupBy("source").agg(F.count("*").alias("n")).where("n < 1000")
+    docs = _DOCS(spark, sf)
+    d = docs.groupBy("source").agg((F.count("*") * 977).alias("n")).unionByName(docs.agg(F.lit("all").alias("source"), (F.count("*") * 9770).alias("n")))
     return d.select("source", "n", scalars.short_count(F.col("n")).alias("shown"))
 
 
@@ -373,18 +374,18 @@ def _edits(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("total_edits", *[F.round(c, 4).alias(c) for c in ("bot_edit_ratio", "revert_ratio")], F.round("avg_edit_size_bytes", 1).alias("avg_edit_size_bytes"), "unique_human_editors", F.round("anon_editor_ratio", 4).alias("anon_editor_ratio"), hours.alias("hours"))
 
 
-_META_SQL = "(SELECT 'k' || CAST(item_id AS VARCHAR) AS key, substr(text, 1, 10) AS value, item_id FROM benchmark)"
+_META_SQL = "(SELECT 'k' || CAST(item_id AS VARCHAR) AS key, text AS value, item_id FROM benchmark)"
 
 
 @query("meta_upsert", f"WITH m AS {_META_SQL}, o AS (SELECT key, value FROM m WHERE item_id % 2 = 0), n AS (SELECT key, 'new' AS value FROM m WHERE item_id % 3 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE key NOT IN (SELECT key FROM n)")
 def _meta(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "benchmark").select(F.concat(F.lit("k"), F.col("item_id").cast("string")).alias("key"), F.substring("text", 1, 10).alias("value"), "item_id")
+    m = table(spark, sf, "benchmark").select(F.concat(F.lit("k"), F.col("item_id").cast("string")).alias("key"), F.col("text").alias("value"), "item_id")
     return summary.upsert_meta(m.where("item_id % 2 = 0").select("key", "value"), m.where("item_id % 3 = 0").select("key", F.lit("new").alias("value")))
 
 
 @query("public_meta", f"WITH m AS {_META_SQL} SELECT key, value FROM m WHERE key IN ('k1', 'k2')")
 def _public(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "benchmark").select(F.concat(F.lit("k"), F.col("item_id").cast("string")).alias("key"), F.substring("text", 1, 10).alias("value"))
+    m = table(spark, sf, "benchmark").select(F.concat(F.lit("k"), F.col("item_id").cast("string")).alias("key"), F.col("text").alias("value"))
     return summary.public_meta(m, ("k1", "k2"))
 
 
@@ -680,12 +681,8 @@ def _title(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
-@query("html_body")
-def _body(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", html.article_body("html").alias("body"))
-
-
-QUERIES |= bronze_queries.QUERIES
-ORACLES |= bronze_queries.ORACLES
+for _module in (bronze_queries, payload_queries, store_queries):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
 QUERIES["stream_incremental"] = incremental.events_by_batches
 ORACLES["stream_incremental"] = "WITH " + DAILY + " SELECT date, source, category, n_docs, round(mean_score, 8) AS mean_score FROM daily"
