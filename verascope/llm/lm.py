@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from verascope.llm import gru
 from verascope.llm.common import written
-from verascope.llm.tokens import NOT_SPACE, Words, mix, portions, words
+from verascope.llm.tokens import NOT_SPACE, Words, gathered, mix, portions, words
 
 #: Stands for the end of a text among the hashes.
 END = np.uint64(0x2545F4914F6CDD1D)
+#: Bytes of text that are scored at a time.
+SIDE_BY_SIDE = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -244,7 +246,8 @@ def score(df: DataFrame, model: Model, table: DataFrame, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
-        for b in portions(batches, 1):
+        # rows of few long texts leave the others waiting, so many texts are scored side by side
+        for b in gathered(batches, 1, SIDE_BY_SIDE):
             found = _words(b.column(1))
             size, of = b.num_rows, found.text_of()
             at = find(found.hashes)

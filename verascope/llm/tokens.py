@@ -93,6 +93,24 @@ def words(texts: list[bytes], table: np.ndarray = NOT_SPACE) -> Words:
     return Words(data, hashes, np.searchsorted(start, bounds), start, end)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of about limit bytes of one text column, of several batches where these are smaller."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for part in portions(batches, column, limit):
+        held.append(part)
+        size += pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+        if size >= limit:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
+
+
 def portions(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Batches in parts of about limit bytes of one text column, a row at least each."""
     for batch in batches:
