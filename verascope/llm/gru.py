@@ -61,7 +61,9 @@ def initial(shape: Shape, token_counts: np.ndarray, seed: int = 3) -> Weights:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    y = np.exp(-x)
+    y += 1
+    return np.reciprocal(y, out=y)
 
 
 def streams(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,14 +244,23 @@ def train(w: Weights, shape: Shape, texts: list[np.ndarray], rate: float = 0.01,
         if not real.any():
             break
         _, grads, h = window_gradients(w, shape, h, before[part], kept[part], token[part], real)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         clip = min(1.0, 1.0 / (norm + 1e-9))
         step = rate * (1 - 0.9 * k / total) * np.sqrt(1 - 0.999**k) / (1 - 0.9**k)
         for name, g in grads.items():
-            g = g * clip
-            m[name] += 0.1 * (g - m[name])
-            v[name] += 0.001 * (g * g - v[name])
-            w[name] -= (step * m[name] / (np.sqrt(v[name]) + 1e-8)).astype(np.float32)
+            # in place, as the arrays are far larger than what a window adds to them
+            g *= clip
+            m[name] *= 0.9
+            m[name] += 0.1 * g
+            g *= g
+            g *= 0.001
+            v[name] *= 0.999
+            v[name] += g
+            np.sqrt(v[name], out=g)
+            g += 1e-8
+            np.divide(m[name], g, out=g)
+            g *= step
+            w[name] -= g
     return w
 
 

@@ -25,6 +25,9 @@ from verascope.llm.tokens import NOT_SPACE, Words, gathered, mix, portions, word
 
 #: Stands for the end of a text among the hashes.
 END = np.uint64(0x2545F4914F6CDD1D)
+#: Upper bits of a hash by which frequent words are found.
+SLOT_BITS = 20
+SHIFT = np.uint64(64 - SLOT_BITS)
 #: Bytes of text that are scored at a time.
 SIDE_BY_SIDE = 10_000_000
 
@@ -91,6 +94,8 @@ class Model:
     distinct: int
     shape: gru.Shape
     weights: gru.Weights
+    slots: np.ndarray | None = None
+    crowded: np.ndarray | None = None
 
     @property
     def scale(self) -> float:
@@ -106,8 +111,22 @@ class Model:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Where the words are among the frequent ones; len(hashes) for all others."""
-        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
-        return np.where(self.hashes[at] == h, at, len(self.hashes)) if len(self.hashes) else np.zeros(len(h), np.int64)
+        n = len(self.hashes)
+        if not n:
+            return np.zeros(len(h), np.int64)
+        if self.slots is None:
+            # by the upper bits of a hash: one of the words that have them, and whether there are more
+            upper = (self.hashes >> SHIFT).astype(np.int64)
+            self.slots, self.crowded = np.full(1 << SLOT_BITS, -1, np.int32), np.bincount(upper, minlength=1 << SLOT_BITS) > 1
+            self.slots[upper] = np.arange(n)
+        upper = (h >> SHIFT).astype(np.int64)
+        at = self.slots[upper]
+        hit = self.hashes[at] == h
+        at[~hit] = n
+        more = np.flatnonzero(~hit & self.crowded[upper])
+        near = np.minimum(np.searchsorted(self.hashes, h[more]), n - 1)
+        at[more] = np.where(self.hashes[near] == h[more], near, n)
+        return at
 
 
 def _with_ends(ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
