@@ -718,6 +718,7 @@ def test_op9_long_pieces_take_the_same_ids(tokenizer, monkeypatch):
             want = tokenizer.encode_ordinary(s)
             assert np.frombuffer(c.contract_long(s.encode()), "<u4").tolist() == want
             assert np.frombuffer(c.encode([s])[0], "<u4").tolist() == want
+            assert np.frombuffer(c.contract_by_heap(s.encode()), "<u4").tolist() == want
             if n <= 256:
                 assert np.frombuffer(c.contract([s.encode()])[0], "<u4").tolist() == want
     # few steps a query

@@ -7,12 +7,14 @@ no piece has a pair left. Ordered aggregation of a document's ids, joined with t
 
 A piece of over LONG_PIECE bytes goes alone: all its pairs of least rank are contracted in one step, from the left, which
 gives the same ids unless the new token has pairs of less rank than its own (of such, one pair a step), and the query stops
-after some steps and is asked again, so that its rows stay few.
+after some steps and is asked again, so that its rows stay few. A piece of over HUGE_PIECE bytes may need as many steps as
+bytes, over as many rows, if it repeats a pair of the second kind; a heap contracts those by the same rule.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import duckdb
@@ -23,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG_PIECE = 256
+LONG_PIECE, HUGE_PIECE = 256, 8192
 #: Pieces that a worker remembers in each of two generations, bytes that one DuckDB query gets, bytes of text at a time.
 REMEMBERED, QUERY_BYTES, TEXT_BYTES = 200_000, 600_000, 1_500_000
 
@@ -127,6 +129,30 @@ class Coder:
             ids, ended = out.column("id").to_numpy().astype(np.int32), out.column("ended")[0].as_py()
         return ids.astype("<u4").tobytes()
 
+    def contract_by_heap(self, piece: bytes) -> bytes:
+        """The same rule by a heap of (rank, position) over a linked list."""
+        n, ids = len(piece), [int(self.byte_ids[b]) for b in piece]
+        text, after, before = [bytes([b]) for b in piece], list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[int, int, bytes]] = []
+
+        def offer(i: int) -> None:
+            if 0 <= i and text[i] and after[i] < n and (rank := self.ranks.get(both := text[i] + text[after[i]])) is not None:
+                heapq.heappush(heap, (rank, i, both))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            rank, i, both = heapq.heappop(heap)
+            j = after[i]
+            if not text[i] or j >= n or text[i] + text[j] != both:
+                continue
+            ids[i], text[i], text[j], after[i] = rank, both, b"", after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(i)
+            offer(before[i])
+        return np.array([ids[k] for k in range(n) if text[k]], "<u4").tobytes()
+
     def learn(self, pieces: set[str]) -> None:
         queued: list[str] = []
         size = 0
@@ -143,7 +169,7 @@ class Coder:
             if (rank := self.ranks.get(raw)) is not None:
                 self.known[piece] = rank.to_bytes(4, "little")
             elif len(raw) > LONG_PIECE:
-                self.known[piece] = self.contract_long(raw)
+                self.known[piece] = self.contract_long(raw) if len(raw) <= HUGE_PIECE else self.contract_by_heap(raw)
             else:
                 queued.append(piece)
                 size += len(raw)
