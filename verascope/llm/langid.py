@@ -161,9 +161,11 @@ def train(df: DataFrame, learnable: Column, s: Settings = Settings(), id_col: st
     got = sample.mapInArrow(features, "at array<int>, tf array<float>, lang string, order bigint").toPandas().sort_values("order", kind="stable")
     rows, labels = [], np.array([langs.index(x) for x in got["lang"]], np.int64)
     for at, tf in zip(got["at"], got["tf"], strict=True):
-        x = np.asarray(tf, np.float64) * idf[np.asarray(at)]
+        # an empty text comes back as an array of no type
+        at = np.asarray(at, np.int64)
+        x = np.asarray(tf, np.float64) * idf[at]
         norm = np.sqrt((x * x).sum())
-        rows.append((np.asarray(at), (x / norm if norm else x).astype(np.float32)))
+        rows.append((at, (x / norm if norm else x).astype(np.float32)))
     del got
     kept_back = np.arange(len(rows)) % 5 == 4
     fit = np.flatnonzero(~kept_back)
