@@ -53,8 +53,8 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 def frontier(configured: DataFrame, existing: DataFrame, done: DataFrame, n: int, key: str = "id") -> DataFrame:
     """Up to n ids to do next: configured ones that exist, in their order (rank), then newer ones, newest first, less those done."""
-    first = configured.join(existing.select(key), key, "left_semi").select(key, F.lit(0).alias("_g"), F.col("rank").cast("long").alias("_r"))
+    first = configured.join(existing.select(key), key, "left_semi").select(key, F.col("rank").cast("long").alias("_r"))
     top = configured.agg(F.max(key).alias("_top"))
-    more = existing.select(key).distinct().crossJoin(F.broadcast(top)).where(F.col("_top").isNull() | (F.col(key) > F.col("_top"))).select(key, F.lit(1).alias("_g"))  # top is one row
-    more = more.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(key))).cast("long"))
-    return first.unionByName(more).join(done.select(key), key, "left_anti").orderBy("_g", "_r").limit(n).select(key)
+    more = existing.select(key).distinct().crossJoin(F.broadcast(top)).where(F.col("_top").isNull() | (F.col(key) > F.col("_top"))).select(key, F.lit(None).cast("long").alias("_r"))  # top is one row
+    # each task keeps the n it would give, so the newer ids need no numbers
+    return first.unionByName(more).join(done.select(key), key, "left_anti").orderBy(F.col("_r").asc_nulls_last(), F.desc(key)).limit(n).select(key)
