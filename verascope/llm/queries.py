@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verascope.llm import bpe, decontaminate, html_text, langid, lm, passages, quality_fm, quality_rules, secrets, simhash
+from verascope.llm import bpe, decontaminate, html_text, langid, lm, negatives, passages, quality_fm, quality_rules, secrets, simhash
 from verascope.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -67,8 +68,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), lambda i: i % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_html_extraction": op2_html_extraction, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_quality_classifier": op5_quality_classifier, "op6_lm_score": op6_lm_score, "op7_secret_scan": op7_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_bpe": op9_bpe, "op10_decontamination": op10_decontamination}
+    return {"op1_simhash": op1_simhash, "op2_html_extraction": op2_html_extraction, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_quality_classifier": op5_quality_classifier, "op6_lm_score": op6_lm_score, "op7_secret_scan": op7_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_bpe": op9_bpe, "op10_decontamination": op10_decontamination, "op13_hard_negatives": op13_hard_negatives}
 
 
 def _op8_sql(r: quality_rules.Rules = quality_rules.Rules()) -> str:
@@ -104,6 +111,17 @@ SELECT c.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(total - c_space AS BIG
 FROM c JOIN lines USING (k) LEFT JOIN rep USING (k) LEFT JOIN far USING (k) LEFT JOIN fc USING (k)"""
 
 
+#: Brute force: every anchor against every row.
+_OP13_SQL = """
+WITH raw AS (SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+ fit AS (SELECT id, min({'label': label, 'v': list_transform(e, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))}) AS r FROM raw WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY id),
+ rows AS (SELECT id, r.label AS label, r.v AS v FROM fit),
+ s AS (SELECT a.id AS anchor_id, b.id AS other, a.label = b.label AS same, CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: coalesce(z[1] * z[2], 0))), 0) AS BIGINT) AS score FROM rows a JOIN rows b ON a.id <> b.id WHERE a.id % 100 = 0),
+ p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others are held against brute force in tests/llm."""
-    return {"op8_quality_rules": _op8_sql()}
+    return {"op8_quality_rules": _op8_sql(), "op13_hard_negatives": _OP13_SQL}
