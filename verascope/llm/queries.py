@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verascope.llm import bpe, decontaminate, html_text, langid, lm, negatives, passages, quality_fm, quality_rules, secrets, simhash
+from verascope.llm import bpe, decontaminate, html_text, langid, lm, negatives, passages, personal, phrases, quality_fm, quality_rules, secrets, simhash
 from verascope.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -68,6 +68,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(personal.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -75,7 +83,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_html_extraction": op2_html_extraction, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_quality_classifier": op5_quality_classifier, "op6_lm_score": op6_lm_score, "op7_secret_scan": op7_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_bpe": op9_bpe, "op10_decontamination": op10_decontamination, "op13_hard_negatives": op13_hard_negatives}
+    return {"op1_simhash": op1_simhash, "op2_html_extraction": op2_html_extraction, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_quality_classifier": op5_quality_classifier, "op6_lm_score": op6_lm_score, "op7_secret_scan": op7_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_bpe": op9_bpe, "op10_decontamination": op10_decontamination, "op11_collocations": op11_collocations, "op12_personal_data": op12_personal_data, "op13_hard_negatives": op13_hard_negatives}
 
 
 def _op8_sql(r: quality_rules.Rules = quality_rules.Rules()) -> str:
@@ -111,6 +119,21 @@ SELECT c.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(total - c_space AS BIG
 FROM c JOIN lines USING (k) LEFT JOIN rep USING (k) LEFT JOIN far USING (k) LEFT JOIN fc USING (k)"""
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Every phrase of one to five words, every cut, every longer phrase.
+_OP11_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+ total AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+ f AS MATERIALIZED ({" UNION ALL ".join(f"SELECT lang, {k} AS k, phrase, CAST(count(*) AS HUGEINT) AS f FROM (SELECT lang, array_to_string(w[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM w)) GROUP BY lang, phrase HAVING count(*) >= 100" for k in range(1, 6))}),
+ c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+ cuts AS (SELECT lang, k, phrase, f, cut, array_to_string(w[1:cut], ' ') AS a_part, array_to_string(w[cut + 1:], ' ') AS b_part FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+ s AS (SELECT cuts.lang, cuts.phrase, cuts.f AS a, x.f AS l, y.f AS r, n, 1000 * cuts.f * n // (x.f * y.f) AS score FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = a_part JOIN f y ON y.lang = cuts.lang AND y.phrase = b_part JOIN total ON total.lang = cuts.lang
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, cut) = 1),
+ gone AS (SELECT DISTINCT lang, phrase FROM (SELECT o.lang, o.f AS longer, array_to_string(o.w[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) o) JOIN c USING (lang, phrase) WHERE 100 * longer >= 100 * c.f)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM s ANTI JOIN gone USING (lang, phrase) QUALIFY rank <= 2000"""
+
 #: Brute force: every anchor against every row.
 _OP13_SQL = """
 WITH raw AS (SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
@@ -124,4 +147,4 @@ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 *
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others are held against brute force in tests/llm."""
-    return {"op8_quality_rules": _op8_sql(), "op13_hard_negatives": _OP13_SQL}
+    return {"op8_quality_rules": _op8_sql(), "op11_collocations": _OP11_SQL, "op13_hard_negatives": _OP13_SQL}
