@@ -9,6 +9,7 @@ chain gives the states; no loop over words is needed, and transitions, which onl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,20 +24,38 @@ class Level:
     suffix: np.ndarray
 
 
+def levels(words: np.ndarray, run: np.ndarray, depth: int) -> Iterator[Level]:
+    """The substrings of one word, of two, and so on; a level needs only the one before.
+
+    words: numbers of all words in order; run: for each word, how many words up to it, itself included, hang together.
+    """
+    size = int(words.max()) + 1 if len(words) else 1
+    node = np.zeros(len(words), np.int32)
+    ends = np.arange(len(words), dtype=np.int32)
+    for k in range(1, depth + 1):
+        ends = ends[run[ends] >= k]
+        key = node[ends].astype(np.int64)
+        below = node[ends]
+        key *= size
+        key += words[ends - k + 1]
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new).astype(np.int32)
+        del key
+        node[ends[order]] = np.cumsum(new, dtype=np.int32) - 1
+        count = np.diff(first, append=np.int32(len(order)))
+        first = order[first]
+        del order, new
+        yield Level(count, ends[first], below[first])
+
+
 class SuffixAutomaton:
-    """words: numbers of all words in order; run: for each word, how many words up to it, itself included, hang together."""
+    """All levels at once, and the states that they make."""
 
     def __init__(self, words: np.ndarray, run: np.ndarray, depth: int) -> None:
-        self.levels: list[Level] = []
-        size = int(words.max()) + 1 if len(words) else 1
-        node = np.zeros(len(words), np.int64)
-        ends = np.arange(len(words))
-        for k in range(1, depth + 1):
-            ends = ends[run[ends] >= k]
-            below = node[ends]
-            _, first, inverse, count = np.unique(below * size + words[ends - k + 1], return_index=True, return_inverse=True, return_counts=True)
-            self.levels.append(Level(count, ends[first], below[first]))
-            node[ends] = inverse
+        self.levels = list(levels(words, run, depth))
 
     def states(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each level: whether a substring is its state's longest, and the length of the state that its suffix link leads to.

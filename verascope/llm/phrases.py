@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verascope.llm.automaton import SuffixAutomaton
+from verascope.llm.automaton import levels
 from verascope.llm.bloom import bloom, passes
 from verascope.llm.common import written
 from verascope.llm.tokens import Words, gathered, mix, words
@@ -28,8 +28,8 @@ BREAKERS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _BYTE = np.arange(256)
 _BREAKS = np.isin(_BYTE, list(BREAKERS))
 _INSIDE = ~np.isin(_BYTE, list(BREAKERS + BLANKS))
-#: Bytes of text of a shard. Python holds about twelve times as much.
-SHARD = 8 << 20
+#: Bytes of text of a shard. Python holds about twenty times as much.
+SHARD = 4 << 20
 #: Parts that a language's phrases are dealt over before its first ones are chosen: these parts' first ones meet in one task.
 SALTS = 128
 
@@ -42,7 +42,7 @@ class Shard:
         self.found: Words = words(texts, _INSIDE)
         langs = pc.fill_null(batch.column(1), "und").dictionary_encode()
         self.langs = langs.dictionary.to_pylist()
-        self.lang = langs.indices.to_numpy()[self.found.text_of()] if len(self.found.hashes) else np.empty(0, np.int64)
+        self.lang = langs.indices.to_numpy()[self.found.text_of()] if len(self.found.hashes) else np.empty(0, np.int32)
         f = self.found
         breaks = np.zeros(len(f.data) + 1, np.int32)
         np.cumsum(_BREAKS[f.data], out=breaks[1:])
@@ -116,14 +116,16 @@ def counts(df: DataFrame, least: int = 100, most_words: int = 5, lang_col: str =
             h, pairs = shard.hashes()
             known, held = passes(table, h), shard.joined & passes(table, pairs)
             # words in a row whose pairs can all be frequent; a rare word hangs on nothing and is left out
-            at = np.arange(len(h))
+            at = np.arange(len(h), dtype=np.int32)
             run_length = at - np.maximum.accumulate(np.where(held, 0, at)) + 1
             run_length[~known] = 0
-            del h, pairs, held
-            for k, level in enumerate(SuffixAutomaton(shard.numbers(), run_length, most_words).levels, 1):
+            del h, pairs, held, known, at
+            shard.found.hashes = np.empty(0, np.uint64)
+            numbers = shard.numbers()
+            for k, level in enumerate(levels(numbers, run_length, most_words), 1):
                 for x in range(0, len(level.place), 1 << 17):
                     places = level.place[x : x + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(shard.lang[places])), pa.array(np.full(len(places), k, np.int32)), shard.phrases(places, k), pa.array(level.count[x : x + (1 << 17)])], names)
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(shard.lang[places])), pa.array(np.full(len(places), k, np.int32)), shard.phrases(places, k), pa.array(level.count[x : x + (1 << 17)].astype(np.int64))], names)
 
     found = source.mapInArrow(run, "lang string, k int, phrase string, f long")
     return found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("k") == 0))
