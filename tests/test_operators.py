@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verascope.functions import dom, html
-from verascope.operators import bots, dedup, index, normalise, summary, timeseries
+from verascope.operators import bots, dedup, index, normalise, ranges, summary, timeseries
 from verascope.plans.standins import scored
 from verascope.sources import bronze
 from verascope.streaming import incremental
@@ -98,7 +98,7 @@ def test_ties_at_the_cut_stay(spark):
 def test_asof(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9), (3, 4)], "k int, t int")
     right = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (2, 10, "c"), (3, 3, None)], "k int, rt int, v string")
-    got = {(r.k, r.t): r.v for r in timeseries.asof_join(left, right, ["k"], "t", "rt", ["v"]).collect()}
+    got = {(r.k, r.t): r.v for r in ranges.asof_join(left, right, ["k"], "t", "rt", ["v"]).collect()}
     assert got == {(1, 5): "b", (1, 1): None, (2, 9): None, (3, 4): None}
 
 

@@ -1,4 +1,4 @@
-"""Automation signals of accounts, by one aggregation per account and lag windows inside accounts."""
+"""Automation signals of accounts: moments of gaps by ranges of times, one aggregation per account, pairs by an index."""
 
 from __future__ import annotations
 
@@ -6,31 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verascope.functions.arrays import total
-
-
-def gaps(events: DataFrame, account: str, ts: str) -> DataFrame:
-    """(account, gap): positive differences of one account's successive times, in the unit of ts."""
-    w = Window.partitionBy(account).orderBy(ts)
-    return events.select(account, (F.col(ts) - F.lag(ts).over(w)).alias("gap")).where("gap > 0")
-
-
-def _gap_moments(events: DataFrame, account: str, ts: str) -> DataFrame:
-    g = gaps(events.where(F.col(ts).isNotNull()), account, ts).groupBy(account).agg(F.count("*").alias("n_gaps"), F.avg("gap").alias("mu"), F.stddev_pop("gap").alias("sd"))
-    return events.groupBy(account).agg(F.count(ts).alias("n_ts")).join(g, account, "left").fillna({"n_gaps": 0})
+from verascope.operators import similarity
+from verascope.operators.ranges import gap_moments
+from verascope.session import written
 
 
 def burstiness(events: DataFrame, account: str = "account", ts: str = "ts") -> DataFrame:
     """((sd - mu) / (sd + mu) + 1) / 2 of the gaps; under three times or two gaps: 0.5."""
     b = (F.try_divide(F.col("sd") - F.col("mu"), F.col("sd") + F.col("mu")) + 1) / 2
     few = (F.col("n_ts") < 3) | (F.col("n_gaps") < 2)
-    return _gap_moments(events, account, ts).select(account, F.when(few, 0.5).otherwise(F.coalesce(b, F.lit(0.5))).alias("burstiness"))
+    return gap_moments(events, account, ts).select(account, F.when(few, 0.5).otherwise(F.coalesce(b, F.lit(0.5))).alias("burstiness"))
 
 
 def regularity(events: DataFrame, account: str = "account", ts: str = "ts") -> DataFrame:
     """1 - cv / 1.5 of the gaps, 0 at least; under four times or two gaps: 0."""
     few = (F.col("n_ts") < 4) | (F.col("n_gaps") < 2)
     r = F.greatest(F.lit(0.0), 1 - F.col("sd") / F.col("mu") / 1.5)
-    return _gap_moments(events, account, ts).select(account, "n_ts", F.when(few, 0.0).otherwise(r).alias("regularity"))
+    return gap_moments(events, account, ts).select(account, "n_ts", F.when(few, 0.0).otherwise(r).alias("regularity"))
 
 
 def engagement(events: DataFrame, account: str = "account", score: str = "score", limit: float = 3.0) -> DataFrame:
@@ -87,6 +79,34 @@ def cloning(texts: DataFrame, account: str = "account", text: str = "text", orde
     return sizes.join(rates, account, "left").select(account, F.col("n").alias("n_texts"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), F.coalesce("cloning", F.lit(0.0)).alias("cloning"))
 
 
+def cloning_of_all(texts: DataFrame, account: str = "account", text: str = "text", limit: float = 0.85) -> DataFrame:
+    """(account, n_texts, n_pairs, cloning): as cloning(), of all pairs of an account's texts, none drawn and none made in vain.
+
+    Copies are counted, not paired; other pairs over the limit are found by similarity.similar_pairs(). Texts without a
+    word are like none. Rows of a null account count for none.
+    """
+    known = texts.where(F.col(account).isNotNull())
+    sizes = known.groupBy(account).agg(F.count("*").alias("n_texts"))
+    sets = written(similarity.by_rarity(similarity.word_sets(known, account, text)), "word-sets")
+    equal = sets.select(account, (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("copies"))
+    alike = equal.unionByName(similarity.similar_pairs(sets, account, limit).select(account, "copies"))
+    found = sizes.join(alike.groupBy(account).agg(F.sum("copies").alias("alike")), account, "left")
+    pairs = (F.col("n_texts") * (F.col("n_texts") - 1) / 2).cast("long")
+    return found.select(account, "n_texts", pairs.alias("n_pairs"), F.coalesce(F.try_divide(F.coalesce("alike", F.lit(0)).cast("double"), pairs), F.lit(0.0)).alias("cloning"))
+
+
+def account_scores(events: DataFrame, texts: DataFrame, account: str = "account", limit: float = 0.85) -> DataFrame:
+    """(account, regularity, cloning, engagement, bot_score) of accounts with events or texts; a signal without enough data is null.
+
+    events: account, ts, score; texts: account, text. Regularity needs four times, cloning two texts, engagement five scores.
+    """
+    signals = regularity(events, account).join(engagement(events, account), account, "full").join(cloning_of_all(texts, account, limit=limit), account, "full")
+    known = signals.select(
+        account, F.when(F.col("n_ts") >= 4, F.col("regularity")).alias("regularity"), F.when(F.col("n_texts") >= 2, F.col("cloning")).alias("cloning"), F.when(F.col("n_scores") >= 5, F.col("engagement")).alias("engagement")
+    )
+    return known.withColumn("bot_score", bot_score([F.col("regularity"), F.col("cloning"), F.col("engagement")]))
+
+
 def bot_score(signals: list[Column]) -> Column:
     """Mean of the signals that are not null, within 0 to 1; none: 0."""
     known = F.array_compact(F.array(*signals))

@@ -99,17 +99,3 @@ def as_of(series: DataFrame, value: str, days: int, order: str = "date") -> Data
     newest = series.agg(F.max(order).alias("_last"))
     old = series.crossJoin(F.broadcast(newest)).where(F.col(order) <= F.date_sub("_last", days))  # one row
     return old.agg(F.max(order).alias("as_of"), F.max_by(value, order).alias(value)).where("as_of is not null")
-
-
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
-    """left with the values of right's last row at or before left_time in the same key, null if none.
-
-    Both sides are merged by one window per key: no row pairs are made. A key that holds very many rows of both
-    sides is sorted, spilling to disk, by one task; add a coarse time bucket to `on` where that is too much.
-    """
-    l = left.select(*left.columns, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values], F.lit(None).cast("boolean").alias("_hit"))
-    r = right.select(*on, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), *[F.col(v).alias(f"_{v}") for v in values], F.lit(True).alias("_hit"))
-    w = Window.partitionBy(*on).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    kept = F.last(F.when(F.col("_hit"), F.struct(*[f"_{v}" for v in values])), ignorenulls=True).over(w)
-    out = l.unionByName(r, allowMissingColumns=True).withColumn("_found", kept).where("_side = 1")
-    return out.select(*left.columns, *[F.col(f"_found._{v}").alias(v) for v in values])

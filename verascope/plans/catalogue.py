@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verascope.functions import html, scalars, text
-from verascope.operators import bots, dedup, index, summary, timeseries
+from verascope.operators import bots, dedup, index, ranges, summary, timeseries
 from verascope.plans import bronze_queries, payload_queries, store_queries
 from verascope.plans.standins import ACTIVITY, DAILY, SCORED, SERIES, SILVER, TOKENS, activity, daily, daily_sql, scored, series, silver, table
 from verascope.streaming import incremental
@@ -467,7 +467,7 @@ def _platforms(spark: SparkSession, sf: str) -> DataFrame:
 def _asof(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", "user_id", (F.col("ts").cast("timestamp") - F.expr("interval 8000 days")).alias("at"))
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp").alias("ordered")).agg(F.max("o_orderkey").alias("o_orderkey"))
-    return timeseries.asof_join(e, o, ["user_id"], "at", "ordered", ["o_orderkey"]).select("event_id", "o_orderkey")
+    return ranges.asof_join(e, o, ["user_id"], "at", "ordered", ["o_orderkey"]).select("event_id", "o_orderkey")
 
 
 # ── keys, joins, sets ──
@@ -668,6 +668,33 @@ def _cloning_sampled(spark: SparkSession, sf: str) -> DataFrame:
     return bots.cloning(_DOCS(spark, sf).select(F.col("source").alias("account"), F.col("doc_id").alias("id"), "text"))
 
 
+_ALIKE = """t AS (SELECT source AS account, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')) AS w FROM documents WHERE source IS NOT NULL),
+ nt AS (SELECT account, count(*) AS n_texts FROM t GROUP BY 1),
+ j AS (SELECT a.account, count(*) AS alike FROM t a JOIN t b ON a.account = b.account AND a.doc_id < b.doc_id AND least(len(a.w), len(b.w)) > 0.85 * greatest(len(a.w), len(b.w)) - 1e-6
+  AND CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) > 0.85 GROUP BY 1),
+ cl AS (SELECT account, n_texts, n_texts * (n_texts - 1) // 2 AS n_pairs, CASE WHEN n_texts > 1 THEN CAST(coalesce(alike, 0) AS DOUBLE) / (n_texts * (n_texts - 1) // 2) ELSE 0.0 END AS cloning FROM nt LEFT JOIN j USING (account))"""
+
+
+@query("bot_cloning_all_pairs", f"WITH {_ALIKE} SELECT account, n_texts, CAST(n_pairs AS BIGINT) AS n_pairs, {r('cloning', 'cloning', 10)} FROM cl")
+def _cloning_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(bots.cloning_of_all(_DOCS(spark, sf).select(F.col("source").alias("account"), "text")), 10)
+
+
+_BY_SOURCE = _GAPS.replace("user_id AS account", "'src' || CAST(user_id % 12 AS VARCHAR) AS account")
+
+
+@query(
+    "bot_score_all_signals",
+    _BY_SOURCE + f""", {_ENGAGEMENT}, {_ALIKE},
+ s AS (SELECT coalesce(x.account, cl.account) AS account, CASE WHEN nt >= 4 THEN {_REGULARITY} END AS regularity, CASE WHEN n_texts >= 2 THEN cloning END AS cloning, CASE WHEN ns >= 5 THEN engagement END AS engagement FROM x JOIN en USING (account) FULL JOIN cl ON cl.account = x.account)
+ SELECT account, round(regularity, 6) AS regularity, round(cloning, 8) AS cloning, round(engagement, 6) AS engagement, round(coalesce(list_avg(list_filter([regularity, cloning, engagement], lambda v: v IS NOT NULL)), 0.0), 4) AS bot_score FROM s""",
+)
+def _bot_score_all(spark: SparkSession, sf: str) -> DataFrame:
+    a = activity(spark, sf).withColumn("account", F.concat(F.lit("src"), (F.col("account") % 12).cast("string")))
+    s = bots.account_scores(a, _DOCS(spark, sf).select(F.col("source").alias("account"), "text"))
+    return s.select("account", F.round("regularity", 6).alias("regularity"), F.round("cloning", 8).alias("cloning"), F.round("engagement", 6).alias("engagement"), F.round("bot_score", 4).alias("bot_score"))
+
+
 # ── HTML ──
 
 
