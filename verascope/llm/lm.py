@@ -15,13 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verascope.llm import gru
 from verascope.llm.common import written
-from verascope.llm.tokens import NOT_SPACE, Words, gathered, mix, portions, words
+from verascope.llm.tokens import NOT_SPACE, Words, gathered, portions, words
 
 #: Stands for the end of a text among the hashes.
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -36,16 +36,13 @@ SIDE_BY_SIDE = 10_000_000
 class Settings:
     """Sizes of the model, of the frequent words on executors, and of training.
 
-    Every learnable document trains the recurrent model, in one of the rounds, unless a caller sets a smaller train_share
-    (of the tokens, or about least_tokens if that is more); a shard has about shard_tokens.
+    Every learnable document trains the recurrent model, in one of the rounds; a shard has about shard_tokens.
     """
 
     vocabulary: int = 2046
     frequent: int = 1 << 17
     embedding: int = 16
     hidden: int = 24
-    train_share: float = 1.0
-    least_tokens: int = 1_200_000
     shard_tokens: int = 2_400_000
     rounds: int = 2
     rate: float = 0.01
@@ -144,19 +141,22 @@ def _vocabulary_ids(model: Model) -> np.ndarray:
 
 
 def _trained(texts: DataFrame, model: Model, s: Settings, shards: int) -> gru.Weights:
-    """One round: every shard trains from model.weights; the mean of what they reach, weighted by tokens, by chunk."""
+    """One round: every shard of texts (shard, at, text) trains from model.weights; the mean of what they reach, weighted by tokens, by chunk.
+
+    A shard takes its texts in order of at, then of their ids, and sums run over shards in order: how rows are dealt changes nothing.
+    """
     weights, shape, ids = model.weights, model.shape, _vocabulary_ids(model)
     find = Model(model.hashes, model.counts, model.places, 0, 0, 0, shape, {}).find
 
     def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches, 0):
-            found = _words(b.column(0))
+        for b in portions(batches, 2):
+            found = _words(b.column(2))
             lists = _with_ends(ids[find(found.hashes)], found.first)
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4" if shape.tokens > 1 << 15 else "<i2").tobytes() for x in lists], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype("<i4" if shape.tokens > 1 << 15 else "<i2").tobytes() for x in lists], pa.binary())], ["shard", "at", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[np.ndarray] = []
-        held, done, now = 0, 0, weights
+        held, done, now, shard = 0, 0, weights, None
 
         def learn() -> None:
             nonlocal now, held, done
@@ -165,27 +165,36 @@ def _trained(texts: DataFrame, model: Model, s: Settings, shards: int) -> gru.We
             docs.clear()
             held = 0
 
+        def reached() -> Iterator[pa.RecordBatch]:
+            nonlocal now, done
+            if docs:
+                learn()
+            if done:
+                flat = gru.packed(now).astype(np.float64) * done
+                parts = [flat[i : i + s.chunk] for i in range(0, len(flat), s.chunk)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([done] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], ["shard", "k", "n", "x"]
+                )
+            now, done = weights, 0
+
         for b in batches:
-            for x in b.column(0):
+            for of, x in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                if of != shard:
+                    yield from reached()
+                    shard = of
                 docs.append(np.frombuffer(x.as_py(), "<i4" if shape.tokens > 1 << 15 else "<i2").astype(np.int32))
                 held += len(docs[-1])
                 if held > 2 * s.shard_tokens:
                     learn()
-        if docs:
-            learn()
-        if done:
-            flat = gru.packed(now).astype(np.float64) * done
-            parts = [flat[i : i + s.chunk] for i in range(0, len(flat), s.chunk)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(parts)), pa.int32()), pa.array([done] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], ["k", "n", "x"]
-            )
+        yield from reached()
 
-    sums = texts.mapInArrow(to_ids, "ids binary").repartition(shards).mapInArrow(run, "k int, n bigint, x array<double>")
+    listed = texts.select("shard", "at", "text").mapInArrow(to_ids, "shard bigint, at bigint, ids binary")
+    sums = listed.repartition(shards, "shard").sortWithinPartitions("shard", "at", "ids").mapInArrow(run, "shard bigint, k int, n bigint, x array<double>")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, np.ndarray]] = {}
         for b in batches:
-            for k, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for k, n, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 before = held.get(k, (0, 0.0))
                 held[k] = before[0] + n, before[1] + x.values.to_numpy()
         if held:
@@ -194,7 +203,7 @@ def _trained(texts: DataFrame, model: Model, s: Settings, shards: int) -> gru.We
             )
 
     # a task holds one sum for each of its chunks, however many shards there are; the model's size reaches the driver
-    one = sums.repartition("k").mapInArrow(add, "k int, n bigint, x array<double>")
+    one = sums.repartition("k").sortWithinPartitions("k", "shard").mapInArrow(add, "k int, n bigint, x array<double>")
     rows = sorted(one.collect(), key=lambda r: r["k"])
     if not rows:
         return weights
@@ -234,16 +243,15 @@ def train(df: DataFrame, learnable: Column, s: Settings = Settings(), id_col: st
     weights = gru.initial(shape, np.array([ends, totals["n"] - ends - inside.sum(), *inside], np.float64))
     model = Model(hashes, counts, places, ends, totals["n"], totals["v"], shape, weights)
     if totals["n"]:
-        share = min(1.0, max(s.train_share, s.least_tokens / totals["n"]))
-        shards = max(1, round(share * totals["n"] / s.shard_tokens / s.rounds))
-        part = F.pmod(F.xxhash64("id", F.lit(41)), F.lit(1 << 30))
+        shards = max(1, round(totals["n"] / s.shard_tokens / s.rounds))
+        drawn = F.xxhash64("id", "text", F.lit(41))
         for k in range(s.rounds):
-            lo, hi = (int((1 << 30) * share * x / s.rounds) for x in (k, k + 1))
-            model.weights = _trained(texts.where((part >= lo) & (part < hi)).select("text"), model, s, shards)
+            mine = texts.where(F.pmod(drawn, F.lit(s.rounds)) == k)
+            model.weights = _trained(mine.select(F.pmod(F.xxhash64("id", "text", F.lit(43)), F.lit(shards)).alias("shard"), drawn.alias("at"), "text"), model, s, shards)
     return model, table
 
 
-_ROW = "uid bigint, word bigint, n bigint, is_doc boolean, {id}, n_tokens bigint, known bigint, base double, score double, others bigint"
+_ROW = "uid binary, word bigint, n bigint, is_doc boolean, {id}, n_tokens bigint, known bigint, base double, score double, others bigint"
 
 
 def score(df: DataFrame, model: Model, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +272,6 @@ def score(df: DataFrame, model: Model, table: DataFrame, id_col: str = "doc_id",
     log_of = np.append(np.log10((model.counts + 0.5) / scale), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 40
         # rows of few long texts leave the others waiting, so many texts are scored side by side
         for b in gathered(batches, 1, SIDE_BY_SIDE):
             found = _words(b.column(1))
@@ -282,32 +289,38 @@ def score(df: DataFrame, model: Model, table: DataFrame, id_col: str = "doc_id",
             new = np.ones(len(rare), bool)
             new[1:] = (rare[1:] != rare[:-1]) | (rare_of[1:] != rare_of[:-1])
             starts = np.flatnonzero(new)
-            uids = np.arange(uid, uid + size)
-            uid += size
+            # a document's number is made of its id and text, so that a task that runs again gives the same; copies share it
+            uids = [xxhash.xxh3_128_digest(f"{i!r}\0{t or ''}".encode("utf-8", "replace")) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            dealt_by = np.frombuffer(b"".join(uids), np.int64)[::2]
+            uids = pa.array(uids, pa.binary())
             # a document's own row is dealt by its number; it counts no word
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(uids), pa.array(mix(uids.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(size, np.int64)), pa.array([True] * size), b.column(0),
+                    uids, pa.array(dealt_by), pa.array(np.zeros(size, np.int64)), pa.array([True] * size), b.column(0),
                     pa.array(np.diff(found.first) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(logs / math.log(10) + outside), pa.array(others.astype(np.int64)),
                 ], names)
             if m := len(starts):
                 nulls = [pa.nulls(m, t) for t in (b.column(0).type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
                 times = np.diff(np.append(starts, len(rare)))
-                yield pa.RecordBatch.from_arrays([pa.array(uids[rare_of[starts]]), pa.array(rare[starts].view(np.int64)), pa.array(times), pa.array([False] * m), *nulls], names)
+                yield pa.RecordBatch.from_arrays([uids.take(pa.array(rare_of[starts])), pa.array(rare[starts].view(np.int64)), pa.array(times), pa.array([False] * m), *nulls], names)
 
     names = [part.split()[0] for part in schema.split(", ")]
     rows = source.mapInArrow(run, schema).join(table, "word", "left")
     rare_log = F.when(F.col("is_doc"), 0.0).otherwise(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(scale)))
     per = rows.groupBy("uid").agg(
+        F.sum(F.col("is_doc").cast("long")).alias("copies"),
         F.max("doc_id").alias("doc_id"),
         F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0))).alias("n_known"),
+        F.max("known").alias("known"),
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
         F.max("base").alias("base"),
         F.max("score").alias("score"),
         F.max("others").alias("others"),
         F.sum(rare_log).alias("rare"),
     )
-    return per.select(
+    # rows of one id and text come as one, with the sums of all of them
+    per = per.withColumn("rare", F.col("rare") / F.col("copies")).withColumn("n_known", F.expr("known + rare_known div copies"))
+    return per.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(
         "doc_id",
         "n_tokens",
         "n_known",
