@@ -24,16 +24,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document of least doc_id stays, with all rows that repeat it.
+    """Of each group of linked fingerprints, the document of least doc_id stays, with all rows of it that are in the group.
 
-    Null and wordless texts are one group. Rows of a null doc_id stay.
+    Null and wordless texts are one group. Rows of a null doc_id stay. A row whose doc_id another text has, too, is judged by its own.
     """
-    gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return simhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go. Null and empty texts hold none; an empty benchmark takes nothing away."""
+    """Rows that hold a benchmark item go, others of their doc_id don't. Null and empty texts hold none; an empty benchmark takes nothing away."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 

@@ -394,6 +394,35 @@ def test_op4_recall_by_brute_force(spark, monkeypatch, small, last, least):
     assert not {x.doc_id for x in got} & set(clean)
 
 
+@pytest.mark.parametrize("groups", [8, 20])
+def test_op4_recall_of_groups_of_variants(spark, groups):
+    # 60 variants of a 60-word passage, each with a word of its own somewhere
+    r = random.Random(5)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    bodies, near = [], []
+    for _ in range(groups):
+        base = fresh(60)
+        family = []
+        for _ in range(60):
+            k = r.randrange(60)
+            family.append(base[:k] + fresh(1) + base[k + 1 :])
+        near += [(len(bodies) + i, len(bodies) + j) for i in range(60) for j in range(i) if py_jaccard(family[i], family[j]) >= 0.8]
+        bodies += [fresh(r.randrange(40)) + x + fresh(r.randrange(40)) for x in family]
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bodies)], "doc_id bigint, text string")).collect()
+    label = list(range(len(bodies)))
+
+    def find(x):
+        while label[x] != x:
+            label[x] = x = label[label[x]]
+        return x
+
+    for x in got:
+        label[find(x.doc_id)] = find(x.source_id)
+    share = sum(find(i) == find(j) for i, j in near) / len(near)
+    print(f"groups {groups}: {share:.4f} of {len(near)}")
+    assert share >= 0.95
+
+
 def test_op4_windows_agree_as_by_brute_force():
     r = np.random.default_rng(3)
     for _ in range(40):
@@ -499,9 +528,9 @@ def test_op6_base_is_exact_and_the_model_is_better(spark, sf, texts):
 
 
 def test_op6_small_sets_of_frequent_words_change_no_base(spark, docs):
-    s = lm.Settings(vocabulary=20, frequent=64, held_words=50, least_tokens=2000, rounds=1)
+    s = lm.Settings(vocabulary=20, frequent=64, held_words=50, rounds=1)
     model, table = lm.train(docs, F.lit(True), s)
-    whole, all_words = lm.train(docs, F.lit(True), lm.Settings(vocabulary=20, least_tokens=2000, rounds=1))
+    whole, all_words = lm.train(docs, F.lit(True), lm.Settings(vocabulary=20, rounds=1))
     assert len(model.counts) < len(whole.counts)
     a, b = ({r.doc_id: (r.base_score, r.n_known) for r in lm.score(docs, m, t).collect()} for m, t in ((model, table), (whole, all_words)))
     assert all(a[i] == pytest.approx(b[i]) for i in a)
@@ -515,8 +544,31 @@ def test_op6_trains_on_every_learnable_document(spark, monkeypatch):
     assert sum(n for n, _ in seen) == 2400 and all(n > 0 for n, _ in seen)
 
 
+def test_op6_rows_dealt_otherwise_change_nothing(spark, docs):
+    s = lm.Settings(vocabulary=200, shard_tokens=5000)
+    found = []
+    for n in (3, 8):
+        dealt = docs.repartition(n).unionByName(docs.limit(2))
+        model, table = lm.train(dealt, F.col("doc_id") % 5 != 1, s)
+        rows = lm.score(dealt, model, table).collect()
+        found.append((gru.packed(model.weights), sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in rows)))
+    # the weights bit for bit; what is summed per row in another order to six digits
+    assert (found[0][0] == found[1][0]).all()
+    assert all(a == pytest.approx(b, rel=1e-6) for a, b in zip(found[0][1], found[1][1], strict=True))
+    assert len(found[0][1]) == docs.count() + 2
+
+
+def test_op6_copies_of_a_row_count_each(spark, docs):
+    model, table = lm.train(docs, F.lit(True), lm.Settings(rounds=1, frequent=16, vocabulary=8))
+    rows = [(1, "one rare otherword the"), (1, "one rare otherword the"), (1, "one"), (None, "the rare"), (None, "the rare"), (2, None), (2, "")]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), model, table).collect()
+    one = {t: lm.score(spark.createDataFrame([(9, t)], "doc_id long, text string"), model, table).first() for _, t in rows}
+    want = sorted(((i, one[t].n_tokens, one[t].n_known, round(one[t].base_score, 6), round(one[t].score, 6)) for i, t in rows), key=repr)
+    assert sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got), key=repr) == want
+
+
 def test_op6_awkward(awkward, empty, docs):
-    model, table = lm.train(docs, F.lit(True), lm.Settings(least_tokens=2000, rounds=1))
+    model, table = lm.train(docs, F.lit(True), lm.Settings(rounds=1))
     got = lm.score(awkward, model, table).collect()
     assert len(got) == len(AWKWARD) and {r.doc_id: r.n_tokens for r in got}[2] == 1 and all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert lm.score(empty, model, table).count() == 0
@@ -759,7 +811,8 @@ def test_op10_bears_substitutions_and_spares_others(spark):
     got = {r.doc_id: (r.n_matches, r.first_word) for r in decontaminate.contaminated(d, b).collect()}
     assert set(got) == {1, 2, 5} and got[1] == (40, 1) and got[5] == (40, 0) and got[2][0] >= 30
     kept = decontaminate.decontaminated(d, b)
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4] and kept.columns == d.columns
+    # of the rows of document 5 the one without a text stays
+    assert sorted((r.doc_id, r.text is None) for r in kept.collect()) == [(3, False), (4, False), (5, True)] and kept.columns == d.columns
 
 
 def test_op10_short_and_long_items(spark):
@@ -797,6 +850,19 @@ def test_op10_items_that_share_a_template(spark):
     assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(d, b).collect()} == {(k, k) for k in range(60)}
 
 
+def test_op10_scripts_without_spaces(spark):
+    letters = [chr(0x4E00 + 7 * k) for k in range(41)]
+    item = "".join(letters)
+    other = "".join(chr(0x5E00 + 11 * k) for k in range(30))
+    changed = item[:20] + chr(0x9000) + item[21:]
+    docs = [(1, other + item + other), (2, other + changed + "。" + other), (3, other * 3), (4, None), (4, item), (5, "ภาษาไทย" + item)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame([(10, item), (11, "一二三")], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()) == [(1, 10), (2, 10), (4, 10), (5, 10)]
+    # of the rows of document 4 one holds the item
+    assert sorted((r.doc_id, r.text is None) for r in decontaminate.decontaminated(d, b).collect()) == [(3, False), (4, True)]
+
+
 def test_op10_awkward(spark, sf, awkward, empty):
     b = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert decontaminate.contaminated(awkward, b).count() == 0
@@ -825,6 +891,15 @@ def test_pipeline_equals_its_stages_by_hand(spark, sf, texts, tokenizer):
         assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() and got[i].n_tokens == len(tokenizer.encode_ordinary(t))
 
 
+def test_near_dedup_judges_rows(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 2), (5, b, "en", "s", 3), (7, b, "en", "s", 4), (5, b, "fr", "t", 5), (None, a, "en", "s", 6), (None, None, "en", "s", 7), (8, None, "en", "s", 8), (9, "", "en", "s", 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, d, "")
+    assert kept.columns == d.columns
+    assert sorted(r.n_chars for r in kept.collect()) == [1, 3, 5, 6, 7, 8]
+
+
 def test_stages_bear_awkward_tables(spark, sf, awkward, empty):
     plain = spark.createDataFrame(AWKWARD, SCHEMA)
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verascope.llm.common import written
+from verascope.llm.common import row_key, written
 from verascope.llm.tokens import WORDLIKE, mix, portions, words
 
 #: Token positions that count; all others up to the last are ignored.
@@ -35,13 +35,15 @@ BROADCAST_SEEDS = 1_000_000
 #: Tokens of all items that are broadcast at most (4 bytes each); beyond, the join shuffles.
 BROADCAST_TOKENS = 4_000_000
 _GENERAL_PUNCTUATION = re.compile("[ -¿ -⁯　-〿]+")
+#: Letters of scripts that put no spaces between words: each is a token. Thai to Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 _FACTORS = [np.uint64(pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64) | 1) for i in range(8)]
 
 
 def _normal(text: str | None) -> bytes:
     text = (text or "").lower()
     if not text.isascii():
-        text = _GENERAL_PUNCTUATION.sub(" ", text)
+        text = _UNSPACED.sub(r" \1 ", _GENERAL_PUNCTUATION.sub(" ", text))
     return text.encode()
 
 
@@ -205,7 +207,7 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, n_matches, n_aligned, coverage, first_word): a row per document and item found in it.
 
-    Tokens are runs of letters and digits, case ignored. A pair counts if the best run holds min_matches equal
+    Tokens are runs of letters and digits, case ignored; in scripts without spaces each letter is one. A pair counts if the best run holds min_matches equal
     tokens, or all but a fifth of a shorter item, and min_share of its positions are equal; an item of five tokens or
     fewer must occur whole. Null and empty texts, and texts without a token, hold nothing and, as items, are found
     nowhere. Documents that hold no item give no row. Rows that repeat a doc_id count as one, rows that repeat an
@@ -255,7 +257,8 @@ def contaminated(
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_matches", "b.n_aligned", "b.coverage", F.negative("b.x").alias("first_word"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, with all their columns, in which no item was found. Rows of a null id stay if no null id holds one."""
-    bad = contaminated(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, in which no item was found; of rows that share an id only those that hold one go."""
+    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    bad = contaminated(keyed, benchmark, "key", "text", **options).select(F.col("doc_id.id").alias("_id"), F.col("doc_id.digest").alias("_digest")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (row_key(id_col, text_col)["digest"] == bad["_digest"]), "left_anti")

@@ -99,10 +99,8 @@ def _likely(df: DataFrame, least: int) -> DataFrame:
     return df.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
 
 
-def counts(df: DataFrame, least: int = 100, most_words: int = 5, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, k, phrase, f) of phrases of one to most_words words that occur `least` times or more, and all words' count as k = 0."""
-    source = df.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    table = bloom(_likely(source, least))
+def _substrings(source: DataFrame, table: np.ndarray, most_words: int) -> DataFrame:
+    """(lang, k, phrase, f) of every shard's substrings that can be frequent, and of its word count as k = 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "k", "phrase", "f"]
@@ -127,7 +125,13 @@ def counts(df: DataFrame, least: int = 100, most_words: int = 5, lang_col: str =
                     places = level.place[x : x + (1 << 17)]
                     yield pa.RecordBatch.from_arrays([langs.take(pa.array(shard.lang[places])), pa.array(np.full(len(places), k, np.int32)), shard.phrases(places, k), pa.array(level.count[x : x + (1 << 17)].astype(np.int64))], names)
 
-    found = source.mapInArrow(run, "lang string, k int, phrase string, f long")
+    return source.mapInArrow(run, "lang string, k int, phrase string, f long")
+
+
+def counts(df: DataFrame, least: int = 100, most_words: int = 5, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, k, phrase, f) of phrases of one to most_words words that occur `least` times or more, and all words' count as k = 0."""
+    source = df.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
+    found = _substrings(source, bloom(_likely(source, least)), most_words)
     return found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("k") == 0))
 
 

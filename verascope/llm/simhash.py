@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verascope.llm.common import written
+from verascope.llm.common import row_key, written
 from verascope.llm.graph import components
 
 SEED, BITS = 42, 64
@@ -183,3 +183,16 @@ def near_duplicates(
     least = tagged.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = tagged.select("fp", "component").join(least, "component").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+    """The rows of df, with all their columns, of each linked group those of the least id.
+
+    Rows are judged one by one: one that shares its id with another text goes only if its own group has a lesser id. Rows that
+    repeat id and group stay together. Rows of a null id stay. Null and wordless texts are one group.
+    """
+    marked = df.select(F.when(F.col(id_col).isNotNull(), row_key(id_col, text_col)).alias("key"), F.col(text_col).alias("text"))
+    found = near_duplicates(marked, "key", "text", radius).where(F.col("doc_id.id") != F.col("component_id.id"))
+    gone = found.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.digest").alias("_digest")).distinct()
+    same = (df[id_col] == gone["_id"]) & (row_key(id_col, text_col)["digest"] == gone["_digest"])
+    return df.join(gone, same, "left_anti")
