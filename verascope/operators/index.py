@@ -45,6 +45,71 @@ def daily_index(scored: DataFrame, score_col: str = "aliveness_score", digits: i
     return out.select(*KEYS, *VALUES)
 
 
+#: Columns of a daily state: what merges exactly in any order. m2: squared deviations from the mean; histogram: how often
+#: each score of MEDIAN_DIGITS decimals occurs, 10,001 entries at most for scores from 0 to 100.
+STATE = ("n_docs", "n_scored", "mean", "m2", "below_50", "histogram")
+
+
+def daily_state(scored: DataFrame, score_col: str = "aliveness_score") -> DataFrame:
+    """(date, source, category) -> STATE. Rows without a score count in n_docs alone; keys with a null are left out."""
+    s = F.col(score_col).cast("double")
+    known = scored.where(" and ".join(f"{k} is not null" for k in KEYS))
+    per = known.groupBy(*KEYS, F.round(s, MEDIAN_DIGITS).alias("score")).agg(
+        F.count("*").alias("n"), F.count(s).alias("k"), F.avg(s).alias("mu"), (F.var_pop(s) * F.count(s)).alias("m2"), F.count(F.when(s < 50, 1)).alias("below")
+    )
+    some = F.when(F.col("k") > 0, F.struct("score", "k", "mu", "m2"))
+    out = per.groupBy(*KEYS).agg(
+        F.sum("n").alias("n_docs"), F.sum("k").alias("n_scored"), F.try_divide(F.sum(F.col("k") * F.col("mu")), F.sum("k")).alias("mean"), F.sum("below").alias("below_50"), F.array_sort(F.collect_list(some)).alias("parts")
+    )
+    m2 = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["m2"] + x["k"] * (x["mu"] - F.col("mean")) * (x["mu"] - F.col("mean")))
+    histogram = F.map_from_entries(F.transform("parts", lambda x: F.struct(x["score"], x["k"])))
+    return out.select(*KEYS, "n_docs", "n_scored", "mean", m2.alias("m2"), "below_50", histogram.alias("histogram"))
+
+
+def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both states' rows, those of one key as if their documents had come together."""
+    a, b = old.select(*KEYS, F.struct(*STATE).alias("a")), new.select(*KEYS, F.struct(*STATE).alias("b"))
+    both = a.join(b, list(KEYS), "full")
+    zero = F.lit(0).cast("long")
+    count = lambda c: F.coalesce(F.col(f"a.{c}"), zero) + F.coalesce(F.col(f"b.{c}"), zero)
+    na, nb = F.coalesce("a.n_scored", zero), F.coalesce("b.n_scored", zero)
+    ma, mb = F.coalesce("a.mean", "b.mean"), F.coalesce("b.mean", "a.mean")
+    # weighted from one side, not summed, so that a side without scores leaves the other's mean as it is
+    mean = ma + (mb - ma) * F.try_divide(nb, na + nb)
+    m2 = F.coalesce("a.m2", F.lit(0.0)) + F.coalesce("b.m2", F.lit(0.0)) + F.coalesce((mb - ma) * (mb - ma) * F.try_divide(na.cast("double") * nb, na + nb), F.lit(0.0))
+    none = F.create_map().cast("map<double,bigint>")
+    histogram = F.map_zip_with(F.coalesce("a.histogram", none), F.coalesce("b.histogram", none), lambda _, x, y: F.coalesce(x, zero) + F.coalesce(y, zero))
+    return both.select(*KEYS, count("n_docs").alias("n_docs"), count("n_scored").alias("n_scored"), mean.alias("mean"), m2.alias("m2"), count("below_50").alias("below_50"), histogram.alias("histogram"))
+
+
+def _median(histogram: Column, n: Column) -> Column:
+    """The middle score, or the mean of both middle ones."""
+    low, high = F.expr("(n_scored - 1) div 2"), F.expr("n_scored div 2")
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+
+    def step(a: Column, e: Column) -> Column:
+        seen = a["seen"] + e["value"]
+        return F.struct(seen.alias("seen"), F.when(a["x"].isNull() & (seen > low), e["key"]).otherwise(a["x"]).alias("x"), F.when(a["y"].isNull() & (seen > high), e["key"]).otherwise(a["y"]).alias("y"))
+
+    return F.aggregate(F.array_sort(F.map_entries(histogram)), start, step, lambda a: (a["x"] + a["y"]) / 2)
+
+
+def daily_of_state(state: DataFrame, digits: int | None = None) -> DataFrame:
+    """The daily index of a state: what daily_index() gives for all its documents at once."""
+    n = F.col("n_scored")
+    out = state.where("n_scored > 0").select(
+        *KEYS,
+        "n_docs",
+        _digits(F.col("mean"), digits).alias("mean_score"),
+        _digits(_median(F.col("histogram"), n), digits).alias("median_score"),
+        _digits(F.sqrt(F.try_divide("m2", F.when(n > 1, n - 1))), digits).alias("std_score"),
+        _digits(100.0 * F.col("below_50") / n, None if digits is None else 2).alias("pct_below_50"),
+        F.lit(0.0).alias("bot_fraction"),
+        _digits(F.col("mean"), digits).alias("aliveness_index"),
+    )
+    return out.select(*KEYS, *VALUES)
+
+
 def domain_index(scored: DataFrame, order_col: str, score_col: str = "aliveness_score", digits: int | None = None) -> DataFrame:
     """(date, domain) -> category of the first row by order_col, mean score, rows."""
     out = scored.where("date is not null and domain is not null").groupBy("date", "domain").agg(
@@ -54,7 +119,10 @@ def domain_index(scored: DataFrame, order_col: str, score_col: str = "aliveness_
 
 
 def merge_delta(old: DataFrame, new: DataFrame, digits: int | None = None) -> DataFrame:
-    """Daily rows of both: means weighted by counts, counts added, median and deviation those of the newer batch."""
+    """Daily rows of both: means weighted by counts, counts added, median and deviation those of the newer batch.
+
+    The rule of the data that this reproduces; merge_states() is exact instead.
+    """
     both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
     n = F.coalesce("n_docs", F.lit(0))
     weighted = lambda c: _digits(F.try_divide(F.sum(F.col(c) * n), F.sum(F.when(F.col(c).isNotNull(), n))), digits).alias(c)

@@ -2,7 +2,7 @@
 
 A run is idempotent: documents in the registry are not scored again, so repeating it adds none. All that a run writes
 counts with its commit, the last step: a run that fails anywhere before has changed nothing. Gold and the registry only
-grow by the run's own rows; the indices, a row a day and group, are written anew.
+grow by the run's own rows; of the indices only the days that the run's documents fall on are read and written.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from verascope.functions.scalars import day_or
 from verascope.functions.text import score_documents
 from verascope.operators import dedup, index, normalise, summary
 from verascope.sources.bronze import read_bronze
+from verascope.sources.segments import SegmentRegistry
 from verascope.sources.sinks import RunStore
 
 
@@ -31,6 +32,8 @@ class Settings:
     smooth: int = 21
     min_docs: int = 10
     weights: dict[str, float] | None = field(default=None, hash=False)
+    #: Medians and deviations of all of a day's documents; False has those of its last batch, as the method has it.
+    exact: bool = True
     #: The optional model: a function from text to its sub-score (perplexity.scorer), and sources that go without.
     perplexity: Callable[[Column], Column] | None = field(default=None, hash=False)
     without_model: tuple[str, ...] = ("common_crawl",)
@@ -47,16 +50,20 @@ def silver(spark: SparkSession, bronze: str, sources: tuple[str, ...]) -> DataFr
     return normalise.silver(parts)
 
 
-REPLACED = ("silver", "daily", "domains", "composite")
+REPLACED = ("silver", "composite")
+DATED = ("daily", "domains")
 
 
 def run(spark: SparkSession, bronze: str, out: str, s: Settings) -> dict[str, DataFrame]:
-    """Tables under out: silver, gold, registry, daily, domains, composite."""
+    """Tables under out: silver, gold, registry, daily, domains, composite, and the state that daily comes from."""
     store = RunStore(spark, out)
-    n = store.last() + 1
-    known, daily, domains = store.whole("registry"), store.current("daily"), store.current("domains")
+    last = store.last()
+    n = last + 1
+    registry = SegmentRegistry(spark, f"{out}/registry")
+    if last and registry.manifests.newest(last) is None:
+        raise FileNotFoundError(f"PATH_NOT_FOUND: {out}/registry has no manifest up to run {last}")
     documents = store.write("silver", n, silver(spark, bronze, s.sources))
-    fresh = documents if known is None else dedup.new_rows(documents, known)
+    fresh = registry.unseen(documents, last)
     fresh = dedup.keep_last(fresh, "doc_id", ["ingested_at", "content_hash"])
     if s.cap is not None:
         fresh = dedup.newest(fresh, s.cap)
@@ -68,12 +75,25 @@ def run(spark: SparkSession, bronze: str, out: str, s: Settings) -> dict[str, Da
         scored = score_documents(fresh, perplexity=s.perplexity(F.when(judged, F.col("text"))), where=judged)
     batch = store.write("gold", n, scored)
     rows = batch.withColumn("date", day_or(F.col("created_dt"), F.lit(s.as_of)))
-    new = index.daily_index(rows, digits=3)
-    daily = store.write("daily", n, new if daily is None else index.merge_delta(daily, new))
-    new = index.domain_index(rows, "doc_id")
-    store.write("domains", n, new if domains is None else index.merge_domain_delta(domains, new))
+    # a row a day: of the tables by date only these days are read and written
+    days = [r["date"] for r in rows.select("date").distinct().collect()]
+    merged = _merged(store, "daily_state", days, index.daily_state(rows), index.merge_states)
+    store.upsert("daily_state", n, merged)
+    if s.exact:
+        store.upsert("daily", n, index.daily_of_state(store.dated("daily_state", n, days), digits=3))
+    else:
+        store.upsert("daily", n, _merged(store, "daily", days, index.daily_index(rows, digits=3), index.merge_delta))
+    store.upsert("domains", n, _merged(store, "domains", days, index.domain_index(rows, "doc_id"), index.merge_domain_delta))
+    daily = store.dated("daily", n)
     store.write("composite", n, index.with_anomalies(index.smoothed(index.composite(daily, s.weights, s.min_docs), width=s.smooth)))
-    store.write("registry", n, batch.select("doc_id").distinct())
-    store.commit(n, REPLACED)
-    found = {name: store.current(name) for name in REPLACED} | {name: store.whole(name) for name in ("gold", "registry")}
+    registry.add(batch.select("doc_id").where("doc_id is not null").distinct(), n)
+    store.commit(n, REPLACED, ("daily_state", *DATED))
+    found = {name: store.current(name) for name in REPLACED} | {name: store.dated(name) for name in DATED}
+    found |= {"gold": store.whole("gold"), "registry": registry.read(n)}
     return found | {"summary": summary.corpus_summary(found["gold"])}
+
+
+def _merged(store: RunStore, name: str, days: list, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The rows of some days after a merge with what a dated table has for them."""
+    old = store.dated(name, only=days)
+    return new if old is None else merge(old, new).select(*new.columns)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from verascope.operators.dedup import keep_last
 
@@ -73,6 +75,43 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """A small file, whole or not there: written beside its place, then renamed."""
+    fs, p = file_system(spark, path)
+    _, aside = file_system(spark, f"{path}.writing")
+    fs.mkdirs(p.getParent())
+    out = fs.create(aside, True)
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
+    fs.delete(p, False)
+    if not fs.rename(aside, p):
+        raise OSError(f"{path} cannot be put in place")
+
+
+def read_json(spark: SparkSession, path: str):
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+class Manifests:
+    """Numbered descriptions of a table's state under path, one a run; those of runs that were not committed count for nothing."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, f"{path.rstrip('/')}/_manifest"
+
+    def newest(self, upto: int):
+        """The description of the last run up to a number; None before the first."""
+        known = [n for n in marks(self.spark, self.path) if n <= upto]
+        return read_json(self.spark, f"{self.path}/{known[-1]}") if known else None
+
+    def write(self, run: int, value) -> None:
+        write_json(self.spark, f"{self.path}/{run}", value)
+
+
 class VersionedTable:
     """A Parquet table whose every state is a numbered directory; the newest one whose mark was left afterwards counts.
 
@@ -104,8 +143,9 @@ class VersionedTable:
 class RunStore:
     """Tables that change together, run by run: what a run wrote counts once the run is committed, and not before.
 
-    A table is either appended to (each run's rows stay) or replaced (the last run's rows are the table). A run that failed
-    left no commit; the next one has its number and overwrites what it wrote.
+    A table is appended to (each run's rows stay), replaced (the last run's rows are the table), or dated (a run's rows take the
+    place of all rows of their dates; other dates' files are not touched). A run that failed left no commit; the next one has
+    its number and overwrites what it wrote.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -115,9 +155,13 @@ class RunStore:
         """The last committed run; 0 before the first."""
         return max(marks(self.spark, f"{self.path}/_commits"), default=0)
 
-    def write(self, name: str, run: int, df: DataFrame) -> DataFrame:
+    def write(self, name: str, run: int, df: DataFrame, by: str | None = None) -> DataFrame:
         path = f"{self.path}/{name}/run={run}"
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        if by:
+            # rows of a date come together, those of a large one split over tasks
+            writer = df.hint("rebalance", by).write.mode("overwrite").partitionBy(by)
+        writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def current(self, name: str) -> DataFrame | None:
@@ -130,11 +174,45 @@ class RunStore:
         n = self.last()
         return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{name}").where(F.col("run") <= n).drop("run") if n else None
 
-    def commit(self, run: int, replaced: tuple[str, ...] = ()) -> None:
-        """From here on the run counts. Of replaced tables the states before the last two go: a reader may still hold the one before."""
+    def upsert(self, name: str, run: int, df: DataFrame, by: str = "date") -> None:
+        """A dated table's rows of the dates in df: a directory for each, and a manifest that says which run has which date."""
+        path = f"{self.path}/{name}/run={run}"
+        self.write(name, run, df, by)
+        fs, p = file_system(self.spark, path)
+        written = [f.getPath().getName().split("=", 1)[1] for f in fs.listStatus(p) if f.getPath().getName().startswith(f"{by}=")]
+        manifests = Manifests(self.spark, f"{self.path}/{name}")
+        old = manifests.newest(run - 1) or {"dates": {}}
+        manifests.write(run, {"by": by, "schema": df.schema.json(), "dates": old["dates"] | {d: run for d in written}})
+
+    def dated(self, name: str, run: int | None = None, only: list | None = None) -> DataFrame | None:
+        """A dated table as of a run (the last committed one), or its rows of some dates alone; None before the first.
+
+        Only the files of these dates are listed and read.
+        """
+        run = self.last() if run is None else run
+        if not run:
+            return None
+        found = Manifests(self.spark, f"{self.path}/{name}").newest(run)
+        if found is None:
+            raise FileNotFoundError(f"PATH_NOT_FOUND: {self.path}/{name} has no manifest up to run {run}")
+        wanted = None if only is None else {str(d) for d in only}
+        schema, by = StructType.fromJson(json.loads(found["schema"])), found["by"]
+        paths = [f"{self.path}/{name}/run={n}/{by}={d}" for d, n in sorted(found["dates"].items()) if wanted is None or d in wanted]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*paths).select(*schema.names)
+
+    def commit(self, run: int, replaced: tuple[str, ...] = (), dated: tuple[str, ...] = ()) -> None:
+        """From here on the run counts. What no state but those before the last two needs goes: a reader may still hold the one before."""
         mark(self.spark, f"{self.path}/_commits", run)
         for name in replaced:
             remove(self.spark, f"{self.path}/{name}/run={run - 2}")
+        for name in dated:
+            manifests = Manifests(self.spark, f"{self.path}/{name}")
+            old, now = (manifests.newest(n) or {"dates": {}} for n in (run - 2, run - 1))
+            for d, n in old["dates"].items():
+                if now["dates"].get(d) != n:
+                    remove(self.spark, f"{self.path}/{name}/run={n}/{now['by']}={d}")
 
 
 def insert_new(existing: DataFrame, rows: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:

@@ -12,57 +12,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verascope.operators.index import daily_index, merge_delta
+from verascope.operators.index import daily_of_state, daily_state, merge_states
 from verascope.session import shared_dir
-from verascope.sources.sinks import exists, mark, marks, remove
-
-
-#: Batches after which the ids of all before are gathered in one table, so that a reader opens few.
-GATHER = 64
-
+from verascope.sources.segments import SegmentRegistry
+from verascope.sources.sinks import RunStore
 
 class DailyIndexSink:
-    """Versions of the daily index and the known ids under one path, a directory per batch.
+    """The daily index and the known ids under one path, renewed batch by batch.
 
-    A version counts once the batch's mark is left; readers take the newest one. A batch adds its own ids; every GATHER
-    batches all ids before are gathered.
+    A batch reads and writes only the days of its own new rows, looks its ids up through the registry's filters, and counts
+    once its commit is made. The state behind the index merges exactly, so any cut of the stream into batches gives the
+    same medians and deviations.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.store, self.known = RunStore(spark, self.path), SegmentRegistry(spark, f"{path.rstrip('/')}/registry", key)
 
-    def _done(self, below: int | None = None) -> list[int]:
-        return [n for n in marks(self.spark, f"{self.path}/_done") if below is None or n < below]
-
-    def read(self, part: str = "daily", below: int | None = None) -> DataFrame | None:
-        """The newest `daily`, or the `registry` of all ids; None before the first batch. Files that are gone are an error."""
-        done = self._done(below)
-        if not done:
-            return None
-        if part != "registry":
-            return self.spark.read.parquet(f"{self.path}/{done[-1]}/{part}")
-        whole = next((n for n in reversed(done) if exists(self.spark, f"{self.path}/{n}/all")), None)
-        parts = [f"{self.path}/{n}/registry" for n in done if whole is None or n > whole]
-        return self.spark.read.parquet(*([f"{self.path}/{whole}/all"] if whole is not None else []), *parts)
+    def read(self, part: str = "daily") -> DataFrame | None:
+        """The `daily` index, or the `registry` of all ids; None before the first batch. Files that are gone are an error."""
+        if part == "registry":
+            return self.known.read(self.store.last())
+        state = self.store.dated("state")
+        return None if state is None else daily_of_state(state)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         """Merge what is new in a batch of scored rows: key, date, source, category, aliveness_score."""
-        if number in self._done():
+        last, run = self.store.last(), number + 1
+        if run <= last:
             return
-        here, registry, old = f"{self.path}/{number}", self.read("registry", number), self.read("daily", number)
-        remove(self.spark, here)
         fresh = batch.where(F.col(self.key).isNotNull()).dropDuplicates([self.key])
-        if registry is not None:
-            fresh = fresh.join(registry, self.key, "left_anti")
-        fresh.write.parquet(f"{here}/rows")
-        rows = self.spark.read.schema(fresh.schema).parquet(f"{here}/rows")
-        new = daily_index(rows)
-        ids = rows.select(self.key)
-        ids.write.parquet(f"{here}/registry")
-        if registry is not None and number % GATHER == GATHER - 1:
-            registry.unionByName(ids).write.parquet(f"{here}/all")
-        (new if old is None else merge_delta(old, new)).write.parquet(f"{here}/daily")
-        mark(self.spark, f"{self.path}/_done", number)
+        rows = self.store.write("rows", run, self.known.unseen(fresh, last))
+        days = [r["date"] for r in rows.select("date").distinct().collect()]  # a row a day
+        new, old = daily_state(rows), self.store.dated("state", only=days)
+        self.store.upsert("state", run, new if old is None else merge_states(old, new).select(*new.columns))
+        self.known.add(rows.select(self.key), run)
+        self.store.commit(run, ("rows",), ("state",))
 
 
 def run_available(source: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -83,7 +68,7 @@ def live_counts(source: DataFrame, time: str, by: str, width: str = "1 day", lat
 
 
 def events_by_batches(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
-    """The daily index of events, read as a stream of files in several batches. The mean and counts equal those of one batch."""
+    """The daily index of events, read as a stream of files in several batches. It equals that of one batch."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     e = spark.read.parquet(f"{sf}/events.parquet")
     rows = e.select(
@@ -94,4 +79,5 @@ def events_by_batches(spark: SparkSession, sf: str, files: int = 4) -> DataFrame
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     sink = DailyIndexSink(spark, f"{root}/index")
     run_available(stream, sink, f"{root}/progress")
-    return sink.read().select("date", "source", "category", "n_docs", F.round("mean_score", 8).alias("mean_score"))
+    shown = [F.round(c, 8).alias(c) for c in ("mean_score", "median_score", "std_score", "pct_below_50")]
+    return sink.read().select("date", "source", "category", "n_docs", *shown)
