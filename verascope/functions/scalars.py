@@ -154,4 +154,6 @@ def delta_text(score: Column, past: Column, days: int = 30) -> Column:
 
 
 def display_name(c: Column) -> Column:
-    return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+    """Title case: a letter is a capital if none is before it, after an apostrophe or a hyphen, too."""
+    runs = F.regexp_extract_all(F.replace(c, F.lit("_"), F.lit(" ")), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")

@@ -47,8 +47,9 @@ def head_per_group(df: DataFrame, by: list[str], order: list[str], n: int) -> Da
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement, the same for the same rows and seed."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows without replacement, the same for the same rows and seed: those whose key, with the seed, has the least MD5."""
+    drawn = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    return df.orderBy(drawn, key).limit(n)
 
 
 def frontier(configured: DataFrame, existing: DataFrame, done: DataFrame, n: int, key: str = "id") -> DataFrame:

@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verascope.operators.index import MEDIAN_DIGITS
+
 
 def corpus_summary(scored: DataFrame, score: str = "aliveness_score") -> DataFrame:
-    """(level, key, n_rows, n_scored, mean, median, std, pct_below_50, pct_below_30): all, each source, each category, in one pass."""
-    s = F.col(score)
-    below = lambda x: F.avg(F.when(s < x, 100.0).when(s.isNotNull(), 0.0))
-    out = scored.groupingSets([[], ["source"], ["category"]], "source", "category").agg(
-        F.grouping_id().alias("g"), F.count("*").alias("n_rows"), F.count(s).alias("n_scored"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.stddev_samp(s).alias("std"), below(50).alias("pct_below_50"), below(30).alias("pct_below_30")
+    """(level, key, n_rows, n_scored, mean, median, std, pct_below_50, pct_below_30): all, each source, each category, in one pass.
+
+    Rows are first reduced to one for each source, category and score of MEDIAN_DIGITS decimals, so that what is expanded into
+    levels, and what a median holds, doesn't grow with the corpus. The median is that of these scores; all else is exact.
+    """
+    s = F.col(score).cast("double")
+    per = scored.groupBy("source", "category", F.round(s, MEDIAN_DIGITS).alias("x")).agg(
+        F.count("*").alias("rows"), F.count(s).alias("k"), F.avg(s).alias("mu"), (F.var_pop(s) * F.count(s)).alias("m2"), F.count(F.when(s < 50, 1)).alias("below_50"), F.count(F.when(s < 30, 1)).alias("below_30")
     )
+    n, total = F.sum("k"), F.sum(F.col("k") * F.col("mu"))
+    m2 = F.sum(F.col("m2") + F.col("k") * F.col("mu") * F.col("mu")) - total * F.try_divide(total, n)
+    share = lambda c: F.try_divide(F.sum(c) * 100.0, n)
+    out = per.groupingSets([[], ["source"], ["category"]], "source", "category").agg(
+        F.grouping_id().alias("g"), F.sum("rows").alias("n_rows"), n.alias("n_scored"), F.try_divide(total, n).alias("mean"), F.percentile("x", 0.5, F.col("k")).alias("median"),
+        F.sqrt(F.try_divide(F.greatest(m2, F.lit(0.0)), F.when(n > 1, n - 1))).alias("std"), share("below_50").alias("pct_below_50"), share("below_30").alias("pct_below_30"),
+    )
     return out.select(
         F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "source").otherwise("category").alias("level"),
         F.when(F.col("g") == 3, "").when(F.col("g") == 1, F.col("source")).otherwise(F.col("category")).alias("key"),
-        "n_rows", "n_scored", "mean", "median", "std", "pct_below_50", "pct_below_30",
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_scored", F.lit(0)).alias("n_scored"), "mean", "median", "std", "pct_below_50", "pct_below_30",
     )
 
 

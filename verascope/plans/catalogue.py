@@ -133,10 +133,16 @@ def _score(spark: SparkSession, sf: str) -> DataFrame:
     return text.score_documents(_DOCS(spark, sf).select("doc_id", "text"), round_to=4).select("doc_id", "aliveness_score")
 
 
-@query("text_weights", " UNION ALL ".join(f"SELECT '{k}' AS signal, {w}::DOUBLE AS plain, {round(w * 0.85, 4)}::DOUBLE AS with_model" for k, w in text.WEIGHTS.items()) + " UNION ALL SELECT 'perplexity', 0.0::DOUBLE, 0.15::DOUBLE")
+_JUDGED = "CAST(n_chars % 100 AS DOUBLE) / 100"
+_WITH_MODEL = " + ".join(f"{k} * {round(w * 0.85, 4)}::DOUBLE" for k, w in text.WEIGHTS.items())
+
+
+@query("text_weights", _FEATURES_SQL + f" SELECT doc_id, {r(_COMPOSITE, 'plain', 4)}, {r(f'greatest(0.0, least(100.0, 100 * ({_WITH_MODEL} + {_JUDGED} * 0.15::DOUBLE)))', 'with_model', 4)} FROM sb JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id)")
 def _weights(spark: SparkSession, sf: str) -> DataFrame:
-    plain, model = text.weights(), text.weights(True)
-    return spark.createDataFrame([(k, plain.get(k, 0.0), v) for k, v in model.items()], "signal string, plain double, with_model double")
+    d = _DOCS(spark, sf).select("doc_id", "text", (F.col("n_chars") % 100 / 100.0).alias("judged"))
+    both = text.score_documents(d, perplexity=F.col("judged"), round_to=4).withColumnRenamed("aliveness_score", "with_model")
+    plain = text.composite({k: F.col(f"score_{k}") for k in text.WEIGHTS}, text.weights())
+    return both.select("doc_id", F.round(plain, 4).alias("plain"), "with_model")
 
 
 @query(
@@ -251,10 +257,14 @@ def _composite_sql(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(_COMPOSITE_SQL, daily=daily(spark, sf))
 
 
-@query("source_weights", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in [*index.SOURCE_WEIGHTS.items(), ("elsewhere", 0.1)]) + ") t(source, weight)")
+_NAMED = [*index.SOURCE_WEIGHTS, "elsewhere"]
+
+
+@query("source_weights", f"SELECT name, round(sum(n_chars * weight) / sum(n_chars), 8) AS weight, count(*) AS n_docs FROM (SELECT {_NAMED}[CAST(doc_id % {len(_NAMED)} AS INTEGER) + 1] AS name, n_chars FROM documents) JOIN (VALUES " + ", ".join(f"('{k}', {index.SOURCE_WEIGHTS.get(k, 0.1)}::DOUBLE)" for k in _NAMED) + ") t(name, weight) USING (name) GROUP BY name")
 def _source_weights(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.createDataFrame([(k,) for k in [*index.SOURCE_WEIGHTS, "elsewhere"]], "source string")
-    return d.withColumn("weight", index.weight_of(F.col("source")))
+    d = _DOCS(spark, sf).select(F.get(F.array(*map(F.lit, _NAMED)), (F.col("doc_id") % len(_NAMED)).cast("int")).alias("name"), "n_chars")
+    w = index.weight_of(F.col("name"))
+    return d.groupBy("name").agg(F.round(F.sum(F.col("n_chars") * w) / F.sum("n_chars"), 8).alias("weight"), F.count("*").alias("n_docs"))
 
 
 # ── summaries and dashboard ──
@@ -263,7 +273,7 @@ def _source_weights(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "corpus_summary",
     f"""WITH {SCORED} SELECT CASE WHEN grouping(source, category) = 3 THEN 'all' WHEN grouping(source, category) = 1 THEN 'source' ELSE 'category' END AS level, coalesce(CASE WHEN grouping(source, category) = 1 THEN source WHEN grouping(source, category) = 2 THEN category END, '') AS key,
- count(*) AS n_rows, count(aliveness_score) AS n_scored, {r('avg(aliveness_score)', 'mean')}, {r('quantile_cont(aliveness_score, 0.5)', 'median')}, {r('stddev_samp(aliveness_score)', 'std')},
+ count(*) AS n_rows, count(aliveness_score) AS n_scored, {r('avg(aliveness_score)', 'mean')}, {r('quantile_cont(round(aliveness_score, 2), 0.5)', 'median')}, {r('stddev_samp(aliveness_score)', 'std')},
  {r('100.0 * count(CASE WHEN aliveness_score < 50 THEN 1 END) / count(aliveness_score)', 'pct_below_50')}, {r('100.0 * count(CASE WHEN aliveness_score < 30 THEN 1 END) / count(aliveness_score)', 'pct_below_30')} FROM scored GROUP BY GROUPING SETS ((), (source), (category))""",
 )
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -348,15 +358,23 @@ def _bands(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).where("aliveness_score is not null").groupBy(scalars.score_label(F.col("aliveness_score")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "health_bar",
-    f"""WITH {SCORED} SELECT doc_id, CASE WHEN aliveness_score >= 65 THEN 'forest' WHEN aliveness_score >= 45 THEN 'gold' ELSE 'burgundy' END AS band, CAST(floor(aliveness_score / 10) AS BIGINT) AS lit,
- round(list_sum(list_transform(range(0, 10), lambda i: CASE WHEN i < floor(aliveness_score / 10) THEN 1.0::DOUBLE WHEN i = floor(aliveness_score / 10) AND aliveness_score / 10 > floor(aliveness_score / 10) THEN round(0.12 + (aliveness_score / 10 - floor(aliveness_score / 10)) * 0.88, 3) ELSE 0.12::DOUBLE END)), 3) AS total_opacity FROM scored WHERE aliveness_score IS NOT NULL""",
-)
-def _bar(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.col("aliveness_score")
-    total = F.aggregate(scalars.bar_opacities(s), F.lit(0.0), lambda a, x: a + x)
-    return scored(spark, sf).where(s.isNotNull()).select("doc_id", scalars.bar_band(s).alias("band"), F.floor(s / 10).alias("lit"), F.round(total, 3).alias("total_opacity"))
+def _bar_sql(n: int) -> str:
+    x = f"(aliveness_score * {n} / 100)"
+    part = f"CASE WHEN i < floor({x}) THEN 1.0::DOUBLE WHEN i = floor({x}) AND {x} > floor({x}) THEN round(0.12 + ({x} - floor({x})) * 0.88, 3) ELSE 0.12::DOUBLE END"
+    return f"""WITH {SCORED} SELECT doc_id, CASE WHEN aliveness_score >= 65 THEN 'forest' WHEN aliveness_score >= 45 THEN 'gold' ELSE 'burgundy' END AS band, CAST(floor({x}) AS BIGINT) AS lit,
+ round(list_sum(list_transform(range(0, {n}), lambda i: {part})), 3) AS total_opacity FROM scored WHERE aliveness_score IS NOT NULL"""
+
+
+def _health_bar(name: str, n: int) -> None:
+    @query(name, _bar_sql(n))
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        s = F.col("aliveness_score")
+        total = F.aggregate(scalars.bar_opacities(s, n), F.lit(0.0), lambda a, x: a + x)
+        return scored(spark, sf).where(s.isNotNull()).select("doc_id", scalars.bar_band(s).alias("band"), F.floor(s * n / 100).alias("lit"), F.round(total, 3).alias("total_opacity"))
+
+
+_health_bar("health_bar", 10)
+_health_bar("health_bar_wide", 20)
 
 
 @query("display_names", "SELECT source, n, CASE WHEN n >= 1000000 THEN printf('%.2fM', n / 1e6) ELSE format('{:,}', n) END AS shown FROM (SELECT source, count(*) * 977 AS n FROM documents GROUP BY source UNION ALL SELECT 'all', count(*) * 9770 FROM documents)")
@@ -512,7 +530,7 @@ def _head(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.head_per_group(silver(spark, sf).select("source", "doc_id", "ord"), ["source"], ["ord"], 5).drop("ord")
 
 
-@query("hash_sample")
+@query("hash_sample", "SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || ':7'), doc_id LIMIT 100")
 def _sample(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.hash_sample(_DOCS(spark, sf).select("doc_id"), "doc_id", 100, 7)
 

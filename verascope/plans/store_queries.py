@@ -13,7 +13,7 @@ from verascope.functions import scalars
 from verascope.operators import index, summary, timeseries
 from verascope.plans.standins import DAILY, SCORED, SERIES, daily, daily_sql, scored, series, silver, table
 from verascope.session import shared_dir
-from verascope.sources import bronze, sinks, stores
+from verascope.sources import bronze, segments, sinks, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,11 +31,11 @@ def _place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_RECORDS = "SELECT CAST(doc_id AS VARCHAR) AS id, text, source AS title, 'tester' AS collector, 'stackoverflow' AS stamped FROM documents WHERE source IN ('src1', 'src2')"
+_RECORDS = "SELECT CAST(doc_id AS VARCHAR) AS id, text, source AS title, 'tester' AS collector, 'stackoverflow' AS stamped FROM documents"
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("source in ('src1', 'src2')")
+    d = table(spark, sf, "documents")
     return d.select(F.col("doc_id").cast("string").alias("question_id"), "text", F.col("source").alias("title"))
 
 
@@ -48,8 +48,9 @@ def _read_back(spark: SparkSession, root: str) -> DataFrame:
 @query("bronze_append", _RECORDS)
 def _bronze(spark: SparkSession, sf: str) -> DataFrame:
     root, d = _place(spark, "bronze"), _records(spark, sf)
-    for s in ("src1", "src2"):
-        sinks.write_bronze(d.where(F.col("title") == s), root, "stackoverflow", "tester")
+    late = F.crc32(F.col("question_id").cast("binary")) % 2 == 1
+    for batch in (d.where(~late), d.where(late)):
+        sinks.write_bronze(batch, root, "stackoverflow", "tester")
     return _read_back(spark, root)
 
 
@@ -64,13 +65,14 @@ def _bronze_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _read_back(spark, root)
 
 
-@query("silver_by_source", "SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE source IN ('src1', 'src2', 'src3') GROUP BY source")
+@query("silver_by_source", "SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE source IS NOT NULL GROUP BY source")
 def _silver(spark: SparkSession, sf: str) -> DataFrame:
-    root, d = _place(spark, "silver"), silver(spark, sf)
-    for s in ("src1", "src2", "src3"):
-        for _ in range(2):
-            path = sinks.write_silver(d.where(F.col("source") == s), root, s)
-    return spark.read.parquet(path.rsplit("/", 1)[0] + "/*.parquet").groupBy("source").agg(F.count("*").alias("n"), F.sum("text_length").alias("chars"))
+    root, d = _place(spark, "silver"), silver(spark, sf).where("source is not null")
+    # a source is a file of configuration, so there are few; the first is written twice
+    names = sorted(r["source"] for r in d.select("source").distinct().collect())
+    for s in names[:1] + names:
+        sinks.write_silver(d.where(F.col("source") == s), root, s)
+    return spark.read.parquet(f"{root}/*.parquet").groupBy("source").agg(F.count("*").alias("n"), F.sum("text_length").alias("chars"))
 
 
 @query("registry_sorted", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc_id FROM documents WHERE doc_id % 3 = 0)")
@@ -190,33 +192,69 @@ def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return stores.snapshot_query(spark, path, "SELECT source, count(*) FROM d WHERE doc_id >= ? GROUP BY source", "source string, n bigint", (10,))
 
 
-@query("crawl_progress", "SELECT * FROM (VALUES (1, 'a,b,c'), (2, 'c'), (3, 'a,b,c')) t(step, remaining)")
+_FINISHED = "SELECT source, count(*) % 3 = 0 AS early FROM documents WHERE source IS NOT NULL GROUP BY source"
+
+
+@query("crawl_progress", f"WITH s AS ({_FINISHED}) SELECT 1 AS step, source AS remaining FROM s UNION ALL SELECT 2, source FROM s WHERE NOT early UNION ALL SELECT 3, source FROM s")
 def _progress(spark: SparkSession, sf: str) -> DataFrame:
-    p, names, rows = stores.Progress(spark, _place(spark, "progress")), ["a", "b", "c"], []
-    for step, done in ((1, ("a", "b")), (2, ("c",)), (3, ())):
-        rows.append((step, ",".join(p.remaining(names))))
-        for x in done:
-            p.finish(x)
+    """Sources as the ids of a crawl: all, those left after the early ones, and all again once none is left."""
+    found = table(spark, sf, "documents").where("source is not null").groupBy("source").agg((F.count("*") % 3 == 0).alias("early")).orderBy("source").collect()
+    p, rows = stores.Progress(spark, _place(spark, "progress")), []
+    for step, early in ((1, True), (2, False), (3, None)):
+        rows += [(step, x) for x in p.remaining([r["source"] for r in found])]
+        for r in found:
+            if r["early"] == early:
+                p.finish(r["source"])
     return spark.createDataFrame(rows, "step int, remaining string")
 
 
-@query("state_restore", "SELECT * FROM (VALUES ('daily'), ('registry')) t(name)")
+@query("state_restore", f"WITH {DAILY} SELECT 'daily' AS name, count(*) AS n, CAST(sum(n_docs) AS BIGINT) AS total FROM daily UNION ALL SELECT 'registry', count(*), CAST(sum(doc_id) AS BIGINT) FROM documents")
 def _restore(spark: SparkSession, sf: str) -> DataFrame:
     origin, root = _place(spark, "origin"), _place(spark, "root")
-    for n in ("daily", "registry"):
-        spark.range(3).write.parquet(f"{origin}/{n}")
+    daily(spark, sf).write.parquet(f"{origin}/daily")
+    table(spark, sf, "documents").select("doc_id").write.parquet(f"{origin}/registry")
     found = stores.restore(spark, origin, root, ("daily", "composite", "registry"))
-    assert all(spark.read.parquet(f"{root}/{n}").count() == 3 for n in found)
-    return spark.createDataFrame([(n,) for n in found], "name string")
+    total = {"daily": "n_docs", "registry": "doc_id"}
+    parts = [spark.read.parquet(f"{root}/{n}").agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.sum(total[n]).alias("total")) for n in found]
+    return parts[0].unionByName(parts[1])
 
 
-@query("readable_tables", "SELECT * FROM (VALUES ('composite_index'), ('daily_index'), ('domain_scores'), ('latest_source_scores'), ('meta'), ('weekly_index'), ('yearly_source_scores')) t(name)")
+@query(
+    "readable_tables",
+    f"""WITH {SERIES}, {DAILY} SELECT 'composite_index' AS name, count(*) AS n FROM series UNION ALL SELECT 'daily_index', count(*) FROM daily UNION ALL SELECT 'latest_source_scores', count(DISTINCT source) FROM daily
+ UNION ALL SELECT 'meta', count(*) FROM (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'total_scored_count' ELSE 'secret' || CAST(doc_id AS VARCHAR) END AS key FROM documents) WHERE key = 'total_scored_count'""",
+)
 def _readable(spark: SparkSession, sf: str) -> DataFrame:
-    one = spark.range(1)
-    meta = spark.createDataFrame([("total_scored_count", "5"), ("secret", "x")], "key string, value string")
-    seen = summary.public_tables(dict.fromkeys(("documents", "doc_registry", "composite_index", "daily_index", "domain_scores", "latest_source_scores", "weekly_index", "yearly_source_scores"), one) | {"meta": meta})
-    assert [r.key for r in seen["meta"].collect()] == ["total_scored_count"]
-    return spark.createDataFrame([(n,) for n in seen], "name string")
+    docs, by_day = table(spark, sf, "documents"), daily(spark, sf)
+    meta = docs.select(F.when(F.col("doc_id") % 2 == 0, "total_scored_count").otherwise(F.concat(F.lit("secret"), F.col("doc_id").cast("string"))).alias("key")).distinct()
+    tables = {"documents": docs, "doc_registry": docs.select("doc_id"), "composite_index": series(spark, sf), "daily_index": by_day, "latest_source_scores": summary.latest_by_source(by_day), "meta": meta}
+    parts = [t.agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, t in summary.public_tables(tables).items()]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@query("registry_segments", "SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents WHERE doc_id % 7 >= 5")
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents come in five runs, whose segments merge; of all documents then those of no run are new."""
+    reg, d = segments.SegmentRegistry(spark, _place(spark, "segments")), silver(spark, sf).select("doc_id", "ord")
+    for run in range(1, 6):
+        reg.add(d.where(F.col("ord") % 7 == run - 1).select("doc_id").distinct(), run)
+    return reg.unseen(d, 5).select("doc_id")
+
+
+_DAYS = "date, source, category, n_docs, round(mean_score, 8) AS mean_score"
+
+
+@query("index_upsert_dates", f"WITH {SCORED}, old AS ({daily_sql('(SELECT * FROM scored WHERE ord % 3 < 2)')}), new AS ({daily_sql('scored')}) SELECT {_DAYS} FROM old WHERE day(date) % 4 <> 1 UNION ALL SELECT {_DAYS} FROM new WHERE day(date) % 4 = 1")
+def _upsert_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """The second run has some days anew; the first one's files of all others stay."""
+    store, s = sinks.RunStore(spark, _place(spark, "dated")), scored(spark, sf)
+    for run, rows in ((1, index.daily_index(s.where("ord % 3 < 2"))), (2, index.daily_index(s).where("day(date) % 4 = 1"))):
+        store.upsert("daily", run, rows)
+        store.commit(run, (), ("daily",))
+    return store.dated("daily").select("date", "source", "category", "n_docs", F.round("mean_score", 8).alias("mean_score"))
 
 
 @query("positive_scores", f"WITH {SCORED} SELECT doc_id, aliveness_score FROM scored WHERE aliveness_score > 0")
