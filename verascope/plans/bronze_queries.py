@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verascope.operators import dedup, normalise
-from verascope.sources import bronze
+from verascope.plans.standins import table
+from verascope.session import shared_dir
+from verascope.sources import archives, bronze
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,16 +134,30 @@ ORACLES["silver_union"] = (
 )
 
 
-def archive_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Web-archive blocks made of the documents, parsed."""
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
     kind = "CASE WHEN doc_id % 4 = 0 THEN 'warcinfo' ELSE 'conversion' END"
     block = F.expr(rf"concat('WARC-Type: ', {kind}, '\r\nWARC-Target-URI: ', {_URL}, '\r\nWARC-Date: ', {_AT}, '\r\nContent-Length: 9\r\n\r\n', text, '\r\n\r\n')")
-    blocks = d.select(block.alias("block"), F.lit("f").alias("file"), F.col("doc_id").alias("at"))
-    return bronze.parse_archive_blocks(blocks, per_file=None).select("url", "domain", "category", "date", "text_length", "content_hash", F.length("text").cast("long").alias("kept"))
+    return d.select(block.alias("block"), F.lit("f").alias("file"), F.col("doc_id").alias("at"))
+
+
+def _parsed(blocks: DataFrame, per_file: int | None) -> DataFrame:
+    return bronze.parse_archive_blocks(blocks, per_file=per_file).select("url", "domain", "category", "date", "text_length", "content_hash", F.length("text").cast("long").alias("kept"))
+
+
+def archive_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Web-archive blocks made of the documents, parsed."""
+    return _parsed(_blocks(spark, sf), None)
+
+
+def archive_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The same blocks written as archives and read in splits of 200 kB, several tasks for a file."""
+    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    archives.write_archives(_blocks(spark, sf), path)
+    return _parsed(archives.read_archives(spark, path, split_bytes=200_000), None)
 
 
-QUERIES["archive_records"] = archive_records
+QUERIES |= {"archive_records": archive_records, "archive_files": archive_files}
 
 
 def _archive_sql() -> str:
@@ -152,4 +169,4 @@ def _archive_sql() -> str:
  FROM documents WHERE doc_id % 4 <> 0 AND length({text}) >= 80 AND len(list_intersect(list_distinct(regexp_split_to_array(lower(substr({text}, 1, 600)), '\s+')), [{listed}])) >= 4"""
 
 
-ORACLES["archive_records"] = _archive_sql()
+ORACLES["archive_records"] = ORACLES["archive_files"] = _archive_sql()

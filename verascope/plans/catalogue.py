@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from verascope.functions import html, scalars, text
 from verascope.operators import bots, dedup, index, ranges, summary, timeseries
 from verascope.plans import bronze_queries, payload_queries, store_queries
 from verascope.plans.standins import ACTIVITY, DAILY, SCORED, SERIES, SILVER, TOKENS, activity, daily, daily_sql, scored, series, silver, table
-from verascope.streaming import incremental
+from verascope.session import shared_dir
+from verascope.streaming import changepoints, incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -737,5 +739,34 @@ def _title(spark: SparkSession, sf: str) -> DataFrame:
 for _module in (bronze_queries, payload_queries, store_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
+_HOURS = """s AS (SELECT event_type AS source, CAST(epoch_us(ts) // 3600000000 AS BIGINT) AS hour, round(avg(value), 6) AS value FROM events GROUP BY 1, 2),
+ m AS (SELECT source, round(avg(value), 6) AS mu, round(stddev_pop(value), 6) AS sd FROM s GROUP BY 1),
+ x AS (SELECT source, hour, value, (value - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END AS d, row_number() OVER (PARTITION BY source ORDER BY hour) AS i FROM s JOIN m USING (source))"""
+
+
+@query(
+    "stream_change_points",
+    f"""WITH RECURSIVE {_HOURS}, f AS (SELECT source, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS p, 0.0::DOUBLE AS n, false AS hit FROM m
+  UNION ALL SELECT source, i, CASE WHEN hit THEN 0.0::DOUBLE ELSE p END, CASE WHEN hit THEN 0.0::DOUBLE ELSE n END, hit FROM (SELECT *, p > 4 OR n > 4 AS hit
+   FROM (SELECT f.source, x.i, greatest(0.0::DOUBLE, f.p + x.d - 0.5::DOUBLE) AS p, greatest(0.0::DOUBLE, f.n - x.d - 0.5::DOUBLE) AS n FROM f JOIN x ON x.source = f.source AND x.i = f.i + 1)))
+ SELECT source, hour, value, 'alarm' AS kind FROM f JOIN x USING (source, i) WHERE hit""",
+)
+def _stream_change_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly means of each event type, read as a stream in four parts, measured against the whole."""
+    root = f"{shared_dir(spark)}/change-points-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").select(F.col("event_type").alias("source"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("hour"), "value")
+    s = e.groupBy("source", "hour").agg(F.round(F.avg("value"), 6).alias("value"))
+    reference = s.groupBy("source").agg(F.round(F.avg("value"), 6).alias("mu"), F.round(F.stddev_pop("value"), 6).alias("sd"))
+    low, high = s.agg(F.min("hour"), F.max("hour")).first()
+    for k in range(4):
+        # the parts come one after the other, as the source takes files by age
+        part = F.least(F.lit(3), F.floor((F.col("hour") - F.lit(low)) * 4 / F.lit(max(1, high - low)))) if low is not None else F.lit(0)
+        s.where(part == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    found = changepoints.alarm_stream(stream, reference, "source", "hour", "value")
+    incremental.run_available(found, lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/progress")
+    return spark.read.schema("source string, hour bigint, value double, kind string").parquet(f"{root}/out").select("source", "hour", "value", "kind")
+
+
 QUERIES["stream_incremental"] = incremental.events_by_batches
 ORACLES["stream_incremental"] = "WITH " + DAILY + " SELECT date, source, category, n_docs, " + ", ".join(r(c, c) for c in ("mean_score", "median_score", "std_score", "pct_below_50")) + " FROM daily"
