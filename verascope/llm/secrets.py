@@ -8,17 +8,22 @@ or the built-in ones, which a rule makes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_KEYS = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key"
-#: A private key block, its end line lost or not; a value assigned to a telling name, up to white space or a quote, less
-#: the punctuation at its end; a password in a URL; a long run with a digit.
+_KEYS = "password|passwd|passphrase|passcode|(?<![A-Za-z])pass|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key"
+#: A private key block, its end line lost or not; a quoted value of several words, or any value up to white space or a quote,
+#: less the punctuation at its end, assigned to a telling name; what such a name is said to be; a password in a URL; a long run
+#: with a digit.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,24}PRIVATE KEY-----|\z)|(?:\s{1,4}[A-Za-z0-9+/=]{16,}+)++)"
+    rf"|(?<=(?i:{_KEYS})[\"' ]{{0,2}}[:=] ?\")[^\s\"]{{1,40}}(?: [^\s\"]{{1,40}}){{1,9}}(?=\")|(?<=(?i:{_KEYS})[\"' ]{{0,2}}[:=] ?')[^\s']{{1,40}}(?: [^\s']{{1,40}}){{1,9}}(?=')"
     rf"|(?<=(?i:{_KEYS})[\"' ]{{0,2}}[:=][\"' ]{{0,2}})[^\s\"']{{3,}}[^\s\"',;.]"
+    rf"|(?<=(?i:{_KEYS}) is [\"']?)[^\s\"']{{6,}}[^\s\"',;.]"
     r"|(?<=://[^\s/:@]{1,64}:)[^\s/@\"']++(?=@)"
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{16})[A-Za-z_+/-]*+[0-9][A-Za-z0-9_+/-]*+={0,2}"
 )
@@ -32,7 +37,14 @@ DICTIONARY = (
     "response result review rule schema script search section secret select server service session setting sha site source start state static status storage story string style "
     "system table target task template test text theme thread time title token total type union update upload user util value version video view web widget window word work your"
 ).split()
-FEATURES = ("length", "class_changes", "vowel_changes", "distinct", "digits", "upper", "letters_only_hex", "dictionary", "repeated", "parts", "path_before", "path_after", "key_word", "plain_word", "known_prefix", "url_login")
+#: Passwords that are chosen most often, less those that are digits only.
+WEAK = (
+    "qwerty password letmein dragon iloveyou monkey abc123 football baseball welcome shadow sunshine master princess qwertyuiop trustno1 superman qazwsx michael ninja mustang access "
+    "batman starwars passw0rd hunter2 charlie donald jordan harley ranger thomas robert soccer hockey killer george andrew tigger pepper ginger cheese summer winter secret1 admin123 root123 changeme1 whatever computer"
+).split()
+#: Words of sentences about passwords.
+PROSE = "the a an your must be is not at least please enter of this and with for to in or if it should can has have only when will".split()
+FEATURES = ("length", "class_changes", "vowel_changes", "distinct", "digits", "upper", "letters_only_hex", "dictionary", "repeated", "parts", "path_before", "path_after", "key_word", "plain_word", "known_prefix", "url_login", "assigned", "words", "weak", "code", "prose")
 
 
 def features(before: Column, value: Column, after: Column) -> list[Column]:
@@ -62,10 +74,17 @@ def features(before: Column, value: Column, after: Column) -> list[Column]:
         flag(near.rlike(r"(?i)\b(?:commit|revision|checksum|md5|sha\d*|digest|hash|uuid|guid|etag|build|version|isbn|invoice|order|phone|card|serial|integrity|id)\W{0,3}$")),
         flag(value.rlike(r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|eyJ|SG\.|-----BEGIN)")),
         flag(word.rlike("://[^/:@]{1,64}:$") & after.startswith("@")),
+        # by a sign without a blank, or between quotes: as programs and settings do it
+        flag(near.rlike(r"(?:=|[:=] ?[\"'])$")),
+        size - F.length(F.regexp_replace(value, " ", "")),
+        flag(lower.isin(WEAK)),
+        # a call, a placeholder, a path of names
+        flag(value.rlike(r"^[$%<{\[]|[(\[{][^)\]}]*[)\]}]?$|^[A-Za-z_]+(?:(?:\.|::|->)[A-Za-z_]+)+$")),
+        (size - F.length(F.regexp_replace(lower, rf"\b(?:{'|'.join(PROSE)})\b", ""))) / size,
     ]
 
 
-def built_in_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
+def built_in_findings(spark: SparkSession, n: int = 5000) -> DataFrame:
     """(before, value, after, label): findings of the common true and false kinds, made from digests of their number."""
     d = spark.range(n).select("id", F.sha2(F.concat(F.lit("a"), F.col("id")), 256).alias("h"), F.sha2(F.concat(F.lit("b"), F.col("id")), 256).alias("g"))
     mixed = F.translate(F.base64(F.unhex("h")), "+/=", "xYz")
@@ -79,7 +98,37 @@ def built_in_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     slug = F.concat_ws("-", word(6), word(7), word(8), F.substring(digits, 1, 4))
     symbol = lambda salt: pick(("!", "@", "#", "$", "&", "%", "*", "^"), salt)
     login = F.concat(plain, pick(("https://", "postgres://", "mysql://", "amqp://", "ftp://"), 31), word(32), F.lit(":"))
+    # letters as digests give them: like no word that programs are made of
+    letters = F.translate("h", "0123456789abcdef", "etaoinshrdlucmwy")
+    assigned = F.concat(pick(("password", "passwd", "pwd", "DB_PASS", "secret", "pass", "passphrase", "PASSWORD", "token", "auth"), 34), pick(("=", '="', "='", ' = "', ': "', ":'"), 35))
+    opened = F.concat(pick(("password", "passwd", "passphrase", "secret", "pwd"), 36), pick(('="', ' = "', ': "'), 37))
+    said = F.concat(plain, pick(("password is ", "Password is ", "token is ", "passphrase is ", "secret is ", "pwd is "), 38))
+    common = lambda salt: pick(PROSE, salt)
     kinds = [
+        (assigned, cut(letters, 5, 12), 1),
+        (assigned, F.concat(cut(letters, 4, 8), F.substring(digits, 1, 1)), 1),
+        (assigned, F.concat(cut(letters, 3, 7), F.substring(digits, 1, 4)), 1),
+        (opened, F.concat_ws(" ", word(39), word(40), F.concat(F.substring(letters, 1, 5), F.substring(digits, 1, 1))), 1),
+        (opened, F.concat_ws(" ", F.substring(letters, 1, 6), word(41), F.substring(letters, 8, 4), F.substring(letters, 14, 5)), 1),
+        (opened, F.concat_ws(" ", F.substring(letters, 2, 3), F.substring(letters, 6, 5), F.concat(word(70), F.substring(digits, 1, 1))), 1),
+        (opened, F.concat_ws(" ", word(71), F.substring(letters, 3, 4), word(72), F.substring(digits, 2, 2)), 1),
+        (said, cut(mixed, 9, 12), 1),
+        (said, F.concat(F.initcap(F.translate(word(42), "aeo", "430")), symbol(43), F.substring(digits, 1, 3)), 1),
+        (opened, F.concat_ws(" ", common(44), word(45), common(46), common(47), word(48)), 0),
+        (opened, F.concat_ws(" ", common(49), common(50), word(51)), 0),
+        (opened, F.concat_ws(" ", common(61), common(62), F.substring(digits, 1, 1), word(63)), 0),
+        (opened, F.concat_ws(" ", common(64), common(65), common(66), F.substring(digits, 1, 2), word(67)), 0),
+        (assigned, pick(WEAK, 68), 1),
+        (assigned, pick(WEAK, 69), 1),
+        (said, F.concat(word(52), word(53)), 0),
+        (said, cut(letters, 7, 8), 0),
+        (said, pick(("required", "incorrect", "invalid", "missing", "expired", "optional", "wrong,", "correct", "encrypted", "changed"), 54), 0),
+        (assigned, F.concat(word(55), pick(("(", "()", ".get(", "[", "_", "."), 56), word(57), pick((")", "]", "", "()"), 58)), 0),
+        (assigned, F.concat(word(59), word(60)), 0),
+        (assigned, F.concat(word(73), F.lit("."), word(74)), 0),
+        (assigned, F.concat(pick(("get", "set", "read", "load", "new", "make"), 75), F.initcap(word(76)), F.lit("()")), 0),
+        (assigned, F.concat(F.lit("${"), F.upper(F.concat_ws("_", word(77), word(78))), F.lit("}")), 0),
+        (assigned, F.concat(pick(("self.", "this.", "os.", "env.", "args.", "ctx->", "req::"), 79), F.concat_ws("_", word(80), word(81))), 0),
         (keyed, F.substring("h", 1, 40), 1),
         (keyed, cut(F.col("h"), 12, 36), 1),
         (keyed, cut(mixed, 14, 28), 1),
@@ -107,13 +156,17 @@ def built_in_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (keyed, pick(("xxxxxxxxxxxxxxxx", "00000000000000000000", "your-token-here", "EXAMPLEKEY000000", "changeme-changeme", "placeholder_value_1"), 16), 0),
         (plain, F.concat(F.substring("g", 1, 8), F.lit("-"), F.substring("g", 9, 4), F.lit("-"), F.substring("g", 13, 4), F.lit("-"), F.substring("g", 17, 4), F.lit("-"), F.substring("g", 21, 12)), 0),
     ]
-    in_url = F.lit(False)
-    value, before, label = [F.when(F.lit(False), None)] * 3
-    for k, (b, v, y) in enumerate(kinds):
-        here = F.col("id") % len(kinds) == k
-        in_url = in_url | (here & F.lit(b is login))
-        before, value, label = before.when(here, b), value.when(here, v), label.when(here, F.lit(y))
-    return d.select(before.alias("before"), value.alias("value"), F.when(in_url, "@db.example/").otherwise(pick((" and", ".", '"', "\n", "&&& of", ", "), 17)).alias("after"), label.cast("double").alias("label"))
+    ends = pick((" and", ".", '"', "\n", "&&& of", ", "), 17)
+    parts = []
+    # a few kinds at a time: all at once are more than one compiled method can hold
+    for first in range(0, len(kinds), 8):
+        value, before, label, after = [F.when(F.lit(False), None)] * 4
+        for k, (b, v, y) in enumerate(kinds[first : first + 8], first):
+            here = F.col("id") % len(kinds) == k
+            value, before, label, after = value.when(here, v), before.when(here, b), label.when(here, F.lit(float(y))), after.when(here, F.lit("@db.example/") if b is login else ends)
+        mine = d.where((F.col("id") % len(kinds)).between(first, first + 7))
+        parts.append(mine.select(before.alias("before"), value.alias("value"), after.alias("after"), label.alias("label")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 Tree = tuple | float
@@ -130,13 +183,24 @@ def _tree(node) -> Tree:
 
 def train(findings: DataFrame, trees: int = 20, depth: int = 6, max_rows: int = 20_000) -> list[Tree]:
     """A random forest on labelled findings (before, value, after, label), at most about max_rows of them by hash."""
+    rows = _vectors(findings, max_rows).cache()
+    try:
+        return [_tree(t.rootNode()) for t in _fit(rows, trees, depth)._java_obj.trees()]
+    finally:
+        rows.unpersist()
+
+
+def _vectors(findings: DataFrame, max_rows: int) -> DataFrame:
+    """(label, x) of findings, at most about max_rows of them by hash."""
     total = findings.count()
     if total > max_rows:
         findings = findings.where(F.pmod(F.xxhash64("before", "value"), F.lit(total)) < max_rows)
     columns = [c.alias(name) for name, c in zip(FEATURES, features(F.col("before"), F.col("value"), F.col("after")), strict=True)]
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(findings.select("label", *columns)).select("label", "x").coalesce(1)
-    model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=5).fit(rows)
-    return [_tree(t.rootNode()) for t in model._java_obj.trees()]
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(findings.select("label", *columns)).select("label", "x").coalesce(1)
+
+
+def _fit(rows: DataFrame, trees: int, depth: int):
+    return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=5).fit(rows)
 
 
 def _score(tree: Tree, x: Column) -> Column:
