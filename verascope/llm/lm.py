@@ -140,6 +140,29 @@ def _vocabulary_ids(model: Model) -> np.ndarray:
     return np.append(np.where(model.places < model.shape.vocabulary, model.places + 2, gru.OTHER), gru.OTHER).astype(np.int32)
 
 
+def _hash_long(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of 64-bit integers, by which it deals rows to partitions."""
+    rotated = lambda v, n: v << np.uint32(n) | v >> np.uint32(32 - n)
+    h = np.full(len(x), 42, np.uint32)
+    for part in (x & 0xFFFFFFFF, x >> 32):
+        k = part.astype(np.uint32) * np.uint32(0xCC9E2D51)
+        h = rotated(h ^ rotated(k, 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).view(np.int32)
+
+
+def partition_keys(n: int) -> np.ndarray:
+    """For each of n partitions the least whole number that is dealt to it."""
+    m = 32 * n
+    while True:
+        place, first = np.unique(_hash_long(np.arange(m)).astype(np.int64) % n, return_index=True)
+        if len(place) == n:
+            return first
+        m *= 2
+
+
 def _trained(texts: DataFrame, model: Model, s: Settings, shards: int) -> gru.Weights:
     """One round: every shard of texts (shard, at, text) trains from model.weights; the mean of what they reach, weighted by tokens, by chunk.
 
@@ -149,10 +172,12 @@ def _trained(texts: DataFrame, model: Model, s: Settings, shards: int) -> gru.We
     find = Model(model.hashes, model.counts, model.places, 0, 0, 0, shape, {}).find
 
     def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = partition_keys(shards)
         for b in portions(batches, 2):
             found = _words(b.column(2))
             lists = _with_ends(ids[find(found.hashes)], found.first)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype("<i4" if shape.tokens > 1 << 15 else "<i2").tobytes() for x in lists], pa.binary())], ["shard", "at", "ids"])
+            # each shard by the number that Spark deals to a partition of its own
+            yield pa.RecordBatch.from_arrays([pa.array(keys[b.column(0).to_numpy()]), b.column(1), pa.array([x.astype("<i4" if shape.tokens > 1 << 15 else "<i2").tobytes() for x in lists], pa.binary())], ["shard", "at", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[np.ndarray] = []
