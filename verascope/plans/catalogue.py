@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verascope.functions import html, scalars, text
-from verascope.operators import bots, dedup, index, ranges, summary, timeseries
+from verascope.operators import bots, dedup, index, ngrams, ranges, summary, timeseries
 from verascope.plans import bronze_queries, payload_queries, store_queries
 from verascope.plans.standins import ACTIVITY, DAILY, SCORED, SERIES, SILVER, TOKENS, activity, daily, daily_sql, scored, series, silver, table
 from verascope.session import shared_dir
@@ -641,6 +641,29 @@ def _json(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+# ── the language model ──
+
+_PAIR = "CASE WHEN i > 1 THEN t[i - 1] ELSE '<s>' END"
+_NGRAMS = f"""g AS (SELECT doc_id, source, i, CASE WHEN i > 2 THEN t[i - 2] ELSE '<s>' END AS u, {_PAIR} AS v, t[i] AS w FROM (SELECT doc_id, source, t, unnest(range(1, len(t) + 1)) AS i FROM tok JOIN (SELECT doc_id, source FROM documents) USING (doc_id))),
+ three AS (SELECT u, v, w, count(*) AS c FROM g WHERE source <> 'src1' GROUP BY 1, 2, 3), two AS (SELECT v, w, count(*) AS c FROM three GROUP BY 1, 2), one AS (SELECT w, count(*) AS c FROM two GROUP BY 1),
+ a3 AS (SELECT u, v, sum(c) AS total, count(*) AS types FROM three GROUP BY 1, 2), a2 AS (SELECT v, sum(c) AS total, count(*) AS types FROM two GROUP BY 1), a1 AS (SELECT sum(c) AS total, count(*) AS types FROM one),
+ d3 AS (SELECT round(count(CASE WHEN c = 1 THEN 1 END) / (count(CASE WHEN c = 1 THEN 1 END) + 2.0::DOUBLE * count(CASE WHEN c = 2 THEN 1 END)), 6) AS d FROM three),
+ d2 AS (SELECT round(count(CASE WHEN c = 1 THEN 1 END) / (count(CASE WHEN c = 1 THEN 1 END) + 2.0::DOUBLE * count(CASE WHEN c = 2 THEN 1 END)), 6) AS d FROM two),
+ q AS (SELECT g.doc_id, (coalesce(one.c, 0) + 0.5::DOUBLE) / (a1.total + 0.5::DOUBLE * (a1.types + 1)) AS p1, two.c AS c2, a2.total AS n2, a2.types AS t2, three.c AS c3, a3.total AS n3, a3.types AS t3, d2.d AS d2, d3.d AS d3
+  FROM g CROSS JOIN a1 CROSS JOIN d2 CROSS JOIN d3 LEFT JOIN one USING (w) LEFT JOIN two USING (v, w) LEFT JOIN a2 ON a2.v = g.v LEFT JOIN three USING (u, v, w) LEFT JOIN a3 ON a3.u = g.u AND a3.v = g.v WHERE i <= 512 AND source <> 'src1'),
+ p AS (SELECT doc_id, CASE WHEN n3 > 0 THEN (greatest(coalesce(c3, 0) - d3, 0) + d3 * t3 * p2) / n3 ELSE p2 END AS p FROM (SELECT *, CASE WHEN n2 > 0 THEN (greatest(coalesce(c2, 0) - d2, 0) + d2 * t2 * p1) / n2 ELSE p1 END AS p2 FROM q)),
+ l AS (SELECT doc_id, -avg(ln(p)) AS loss FROM p GROUP BY doc_id)"""
+
+
+@query("perplexity_scores", f"WITH {TOKENS}, {_NGRAMS} SELECT doc_id, CASE WHEN source <> 'src1' THEN round(CASE WHEN loss IS NULL THEN 0.5::DOUBLE ELSE ln(greatest(1.0::DOUBLE, least(1000.0::DOUBLE, exp(loss)))) / ln(1000.0::DOUBLE) END, 8) END AS score_perplexity FROM documents LEFT JOIN l USING (doc_id)")
+def _perplexity(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of all sources but one train the model and are judged by it; the one that goes without has no score."""
+    d = _DOCS(spark, sf).select("doc_id", "source", "text")
+    judged = d.where("source <> 'src1'")
+    found = ngrams.scores(judged, ngrams.train(judged))
+    return d.join(found, "doc_id", "left").select("doc_id", F.round("score_perplexity", 8).alias("score_perplexity"))
+
+
 # ── accounts ──
 
 _GAPS = f"WITH {ACTIVITY}, g AS (SELECT account, ts - lag(ts) OVER (PARTITION BY account ORDER BY ts) AS gap FROM activity), m AS (SELECT account, count(*) AS ng, avg(gap) AS mu, stddev_pop(gap) AS sd FROM g WHERE gap > 0 GROUP BY 1), a AS (SELECT account, count(*) AS nt FROM activity GROUP BY 1), x AS (SELECT a.account, nt, coalesce(ng, 0) AS ng, mu, sd FROM a LEFT JOIN m USING (account))"

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from verascope.functions.scalars import day_or
 from verascope.functions.text import score_documents
-from verascope.operators import dedup, index, normalise, summary
+from verascope.operators import dedup, index, ngrams, normalise, summary
+from verascope.session import written
 from verascope.sources.bronze import read_bronze
 from verascope.sources.segments import SegmentRegistry
 from verascope.sources.sinks import RunStore
@@ -37,6 +38,8 @@ class Settings:
     #: The optional model: a function from text to its sub-score (perplexity.scorer), and sources that go without.
     perplexity: Callable[[Column], Column] | None = field(default=None, hash=False)
     without_model: tuple[str, ...] = ("common_crawl",)
+    #: A model of ngrams.train() instead, looked up by joins.
+    language_model: ngrams.Model | None = field(default=None, hash=False)
 
 
 def silver(spark: SparkSession, bronze: str, sources: tuple[str, ...]) -> DataFrame:
@@ -67,11 +70,16 @@ def run(spark: SparkSession, bronze: str, out: str, s: Settings) -> dict[str, Da
     fresh = dedup.keep_last(fresh, "doc_id", ["ingested_at", "content_hash"])
     if s.cap is not None:
         fresh = dedup.newest(fresh, s.cap)
-    if s.perplexity is None:
+    # a model never sees the texts of sources that go without
+    judged = ~F.col("source").isin(list(s.without_model))
+    if s.language_model is not None:
+        fresh = written(fresh, "fresh")
+        found = ngrams.scores(fresh.where(judged), s.language_model).withColumnRenamed("doc_id", "_judged")
+        both = fresh.join(found, fresh["doc_id"].eqNullSafe(found["_judged"]), "left")
+        scored = score_documents(both, perplexity=F.col("score_perplexity"), where=judged).drop("_judged")
+    elif s.perplexity is None:
         scored = score_documents(fresh)
     else:
-        # the model never sees the texts of sources that go without
-        judged = ~F.col("source").isin(list(s.without_model))
         scored = score_documents(fresh, perplexity=s.perplexity(F.when(judged, F.col("text"))), where=judged)
     batch = store.write("gold", n, scored)
     rows = batch.withColumn("date", day_or(F.col("created_dt"), F.lit(s.as_of)))
