@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sqlite3
 import statistics
 from datetime import date, timedelta
 from pathlib import Path
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verascope.operators import index
-from verascope.sources import segments, sinks
+from verascope.sources import segments, sinks, stores
 
 SCORED = "date date, source string, category string, aliveness_score double"
 
@@ -155,3 +156,42 @@ def test_segments_merge_and_a_crash_loses_nothing(spark, tmp_path, monkeypatch):
     assert reg.unseen(ids(spark, 0, 1000), 4).count() == 640
     reg.add(ids(spark, 0, 0), 5)
     assert reg.segments(5) == reg.segments(4)
+
+
+def store(spark, path):
+    def connect():
+        return sqlite3.connect(path, timeout=60)
+
+    con = connect()
+    for t in stores.TABLES:
+        con.execute(t)
+    con.commit()
+    con.close()
+    return stores.Relational(spark, connect)
+
+
+def test_runs_at_once_share_no_id(spark, tmp_path):
+    s = store(spark, f"{tmp_path}/s.db")
+    s.register(ids(spark, 0, 50), "a")
+    # both runs found the same ids new before either inserted; what each is told it inserted is disjoint
+    known, s.known = s.known, lambda asked, key: asked.where(f"{key} < 'id00000050'")
+    one = s.register(ids(spark, 0, 700), "b", run="one")
+    two = s.register(ids(spark, 40, 800), "c", run="two")
+    again = s.register(ids(spark, 0, 700), "d", run="one")
+    s.known = known
+    got = [sorted(r[0] for r in x.collect()) for x in (one, two, again)]
+    assert len(got[0]) == 650 and got[1] == [f"id{i:08d}" for i in range(700, 800)] and got[2] == got[0]
+    assert s.count_again() == 800
+    read = s.read("SELECT doc_id, scored_at FROM doc_registry", "doc_id string, at string", ("doc_id < 'id00000400'", "doc_id >= 'id00000400'"))
+    assert read.rdd.getNumPartitions() == 2 and read.groupBy("at").count().count() == 3 and read.count() == 800
+
+
+def test_a_staged_delta_counts_once(spark, tmp_path):
+    s = store(spark, f"{tmp_path}/s.db")
+    delta = index.daily_index(spark.createDataFrame(rows(60), SCORED))
+    n = delta.count()
+    assert (s.merge_daily(delta, "a"), s.merge_daily(delta, "a"), s.merge_daily(delta, "b")) == (n, 0, n)
+    found = s.read("SELECT n_docs FROM daily_index", "n_docs bigint").agg(F.sum("n_docs")).first()[0]
+    assert found == 2 * delta.agg(F.sum("n_docs")).first()[0] and s._rows("SELECT count(*) FROM daily_staged") == [(0,)]
+    nothing = stores.Relational(spark, None)
+    assert nothing.read("SELECT 1", "x int").count() == 0 and nothing.merge_daily(delta, "a") == 0

@@ -165,8 +165,10 @@ def _merge(spark: SparkSession, sf: str) -> DataFrame:
     # a batch that comes again changes nothing
     for _ in range(2):
         s.merge_daily(index.daily_index(d.where("ord % 3 >= 1")), "b")
-    rows = s._rows("SELECT date, source, category, n_docs, mean_score FROM daily_index")
-    return spark.createDataFrame(rows, "date string, source string, category string, n_docs bigint, mean_score double").withColumn("mean_score", F.round("mean_score", 8))
+    # read by four tasks, each a range of days
+    days = ("date < '2024-01-15'", "date >= '2024-01-15' AND date < '2024-02-01'", "date >= '2024-02-01' AND date < '2024-02-15'", "date >= '2024-02-15'")
+    rows = s.read("SELECT date, source, category, n_docs, mean_score FROM daily_index", "date string, source string, category string, n_docs bigint, mean_score double", days)
+    return rows.withColumn("mean_score", F.round("mean_score", 8))
 
 
 @query(
@@ -180,16 +182,17 @@ def _null_counts(spark: SparkSession, sf: str) -> DataFrame:
     return index.merge_delta(old, index.daily_index(d.where("ord % 3 >= 1"))).select("date", "source", "category", "n_docs", F.round("mean_score", 8).alias("mean_score"))
 
 
-@query("snapshot_query", "SELECT source, count(*) AS n FROM documents WHERE doc_id >= 10 GROUP BY source")
+@query("snapshot_query", f"WITH {DAILY} SELECT source, count(*) AS n, CAST(sum(n_docs) AS BIGINT) AS n_docs FROM daily WHERE date >= DATE '2024-01-03' GROUP BY source")
 def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """A small database of the daily index, a row a day and group, as a file that is queried as it is."""
     con = sqlite3.connect(":memory:")
-    con.execute("CREATE TABLE d (doc_id BIGINT, source TEXT)")
-    con.executemany("INSERT INTO d VALUES (?, ?)", [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "source").toLocalIterator()])
+    con.execute("CREATE TABLE d (date TEXT, source TEXT, n_docs BIGINT)")
+    con.executemany("INSERT INTO d VALUES (?, ?, ?)", [(str(r[0]), r[1], r[2]) for r in daily(spark, sf).select("date", "source", "n_docs").collect()])
     con.commit()
     folder = shared_dir(spark).removeprefix("file://")
     path = stores.snapshot_path(con.serialize(), "revision-of-the-day", folder)
     assert path == stores.snapshot_path(con.serialize(), "revision-of-the-day", folder)
-    return stores.snapshot_query(spark, path, "SELECT source, count(*) FROM d WHERE doc_id >= ? GROUP BY source", "source string, n bigint", (10,))
+    return stores.snapshot_query(spark, path, "SELECT source, count(*), sum(n_docs) FROM d WHERE date >= ? GROUP BY source", "source string, n bigint, n_docs bigint", ("2024-01-03",))
 
 
 _FINISHED = "SELECT source, count(*) % 3 = 0 AS early FROM documents WHERE source IS NOT NULL GROUP BY source"

@@ -16,9 +16,10 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from verascope.operators.index import KEYS, VALUES
-from verascope.session import shared_dir
+from verascope.session import written
 from verascope.sources.sinks import exists, file_system, remove
 
 PAGE = 500
@@ -90,65 +91,102 @@ class Relational:
 
         return asked.mapInArrow(run, f"{key} string")
 
-    def register(self, documents: DataFrame, at: str, key: str = "doc_id") -> DataFrame | None:
-        """Adds the documents' ids; returns those that were new, None without a store.
+    def read(self, sql: str, schema: str, predicates: tuple[str, ...] = ("1 = 1",)) -> DataFrame:
+        """Rows of `sql WHERE predicate`, a task for each predicate, fetched in pages by the executors; none without a store.
 
-        What is new is written down before it is inserted: a task that runs again inserts nothing twice and loses no answer.
+        Predicates that part a table, such as ranges of its key, read it side by side; each holds one page at a time.
         """
-        if self.connect is None:
-            return None
-        connect, mark = self.connect, self.mark
-        asked = documents.select(F.col(key).cast("string").alias(key)).where(f"{key} <> ''").distinct()
-        path = f"{shared_dir(self.spark)}/registered-{uuid.uuid4().hex}"
-        asked.join(self.known(asked, key), key, "left_anti").write.parquet(path)
-        fresh = self.spark.read.schema(f"{key} string").parquet(path)
-
-        def insert(rows: Iterator) -> None:
-            con, page = None, []
-
-            def send() -> None:
-                nonlocal con
-                con = con or connect()
-                con.cursor().execute(f"INSERT INTO doc_registry (doc_id, scored_at) VALUES {', '.join([f'({mark}, {mark})'] * len(page))} ON CONFLICT (doc_id) DO NOTHING", [x for i in page for x in (i, at)])
-                con.commit()
-                page.clear()
-
-            for r in rows:
-                page.append(r[0])
-                if len(page) == PAGE:
-                    send()
-            if page:
-                send()
+        connect, given = self.connect, list(predicates)
+        if connect is None:
+            return self.spark.createDataFrame([], schema)
+        kinds = self.spark.createDataFrame([], schema).schema
+        arrow = to_arrow_schema(kinds)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    con = connect()
+                    try:
+                        cur = con.cursor()
+                        cur.execute(f"{sql} WHERE {given[i]}")
+                        while page := cur.fetchmany(PAGE):
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*page, strict=True), arrow, strict=True)], schema=arrow)
+                    finally:
+                        con.close()
+
+        return self.spark.range(0, len(given), 1, len(given)).mapInArrow(run, kinds)
+
+    def _send(self, rows: DataFrame, statement: Callable[[list], tuple[str, list]], answer: Callable[[list], tuple[str, list]] | None = None) -> DataFrame:
+        """Runs a statement for each page of rows on the executors, and gives what an answering query says after it (keys as text)."""
+        connect = self.connect
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            con = None
+            for b in batches:
+                values = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+                for at in range(0, len(values), PAGE):
+                    con = con or connect()
+                    cur, page = con.cursor(), values[at : at + PAGE]
+                    cur.execute(*statement(page))
+                    con.commit()
+                    if answer:
+                        cur.execute(*answer(page))
+                        yield pa.RecordBatch.from_arrays([pa.array([str(r[0]) for r in cur.fetchall()], pa.string())], ["key"])
             if con:
                 con.close()
 
-        fresh.foreachPartition(insert)
+        return written(rows.mapInArrow(run, "key string"), "sent")
+
+    def register(self, documents: DataFrame, at: str, key: str = "doc_id", run: str | None = None) -> DataFrame | None:
+        """Adds the documents' ids; returns those that this run inserted, None without a store.
+
+        A claim of each id by the run's name decides: of two runs at once one has it, and a task that runs again, or a run that
+        failed and is repeated under its name, gets the answer
+        that it had before.
+        """
+        if self.connect is None:
+            return None
+        mark, run = self.mark, run or uuid.uuid4().hex
+        asked = documents.select(F.col(key).cast("string").alias(key)).where(f"{key} <> ''").distinct()
+        asked = asked.join(self.known(asked, key), key, "left_anti")
+        claim = lambda page: (f"INSERT INTO registrations (doc_id, run) VALUES {', '.join([f'({mark}, {mark})'] * len(page))} ON CONFLICT (doc_id) DO NOTHING", [x for r in page for x in (r[0], run)])
+        mine = lambda page: (f"SELECT doc_id FROM registrations WHERE run = {mark} AND doc_id IN ({', '.join([mark] * len(page))})", [run, *(r[0] for r in page)])
+        fresh = self._send(asked, claim, mine).withColumnRenamed("key", key)
+        add = lambda page: (f"INSERT INTO doc_registry (doc_id, scored_at) VALUES {', '.join([f'({mark}, {mark})'] * len(page))} ON CONFLICT (doc_id) DO NOTHING", [x for r in page for x in (r[0], at)])
+        self._send(fresh, add)
         return fresh
 
     def merge_daily(self, delta: DataFrame, batch: str) -> int:
-        """Merges a delta (a row a day and group) into daily_index in one transaction, once for each batch; returns the rows merged.
+        """Merges a delta (a row a day and group) into daily_index, once for each batch; returns the rows merged.
 
-        Means are weighted by counts, of which a null counts as none; median and deviation are those of the newer batch.
+        Executors put the rows beside the index; one statement merges them, in the transaction that notes the batch. Means are
+        weighted by counts, of which a null counts as none; median and deviation are those of the newer batch.
         """
         if self.connect is None:
             return 0
-        rows = [tuple(str(x) if c == "date" else x for c, x in zip((*KEYS, *VALUES), r, strict=True)) for r in delta.select(*KEYS, *VALUES).collect()]
+        mark, names = self.mark, (*KEYS, *VALUES)
+        rows = delta.select(F.col("date").cast("string").alias("date"), *names[1:])
+        one = f"({', '.join([mark] * (len(names) + 1))})"
+        stage = lambda page: (f"INSERT INTO daily_staged (batch, {', '.join(names)}) VALUES {', '.join([one] * len(page))} ON CONFLICT (batch, date, source, category) DO NOTHING", [x for r in page for x in (batch, *r)])
+        self._send(rows, stage)
         n = "COALESCE(daily_index.n_docs, 0)"
         means = ", ".join(f"{c} = (daily_index.{c} * {n} + EXCLUDED.{c} * EXCLUDED.n_docs) / NULLIF({n} + EXCLUDED.n_docs, 0)" for c in ("mean_score", "pct_below_50", "bot_fraction", "aliveness_index"))
         con = self.connect()
         try:
             cur = con.cursor()
-            cur.execute(f"INSERT INTO applied_batches (batch) VALUES ({self.mark}) ON CONFLICT (batch) DO NOTHING", (batch,))
-            if cur.rowcount < 1:
-                return 0
-            for r in rows:
+            cur.execute(f"INSERT INTO applied_batches (batch) VALUES ({mark}) ON CONFLICT (batch) DO NOTHING", (batch,))
+            merged = 0
+            if cur.rowcount > 0:
+                cur.execute(f"SELECT count(*) FROM daily_staged WHERE batch = {mark}", (batch,))
+                merged = int(cur.fetchone()[0])
                 cur.execute(
-                    f"INSERT INTO daily_index ({', '.join((*KEYS, *VALUES))}) VALUES ({', '.join([self.mark] * len(r))}) ON CONFLICT (date, source, category) DO UPDATE SET "
+                    f"INSERT INTO daily_index ({', '.join(names)}) SELECT {', '.join(names)} FROM daily_staged WHERE batch = {mark} ON CONFLICT (date, source, category) DO UPDATE SET "
                     f"n_docs = {n} + EXCLUDED.n_docs, {means}, median_score = EXCLUDED.median_score, std_score = EXCLUDED.std_score",
-                    r,
+                    (batch,),
                 )
+            cur.execute(f"DELETE FROM daily_staged WHERE batch = {mark}", (batch,))
             con.commit()
-            return len(rows)
+            return merged
         finally:
             con.close()
 
@@ -168,13 +206,15 @@ class Relational:
             con.close()
 
 
-#: The tables that Relational works on.
+_DAILY = "date TEXT, source TEXT, category TEXT, n_docs BIGINT, mean_score DOUBLE PRECISION, median_score DOUBLE PRECISION, std_score DOUBLE PRECISION, pct_below_50 DOUBLE PRECISION, bot_fraction DOUBLE PRECISION, aliveness_index DOUBLE PRECISION"
+#: The tables that Relational works on: the store's own, and those that claims and deltas pass through.
 TABLES = (
     "CREATE TABLE IF NOT EXISTS doc_registry (doc_id TEXT PRIMARY KEY, scored_at TEXT)",
     "CREATE TABLE IF NOT EXISTS meta (key TEXT PRIMARY KEY, value TEXT)",
     "CREATE TABLE IF NOT EXISTS applied_batches (batch TEXT PRIMARY KEY)",
-    "CREATE TABLE IF NOT EXISTS daily_index (date TEXT, source TEXT, category TEXT, n_docs BIGINT, mean_score DOUBLE PRECISION, median_score DOUBLE PRECISION, std_score DOUBLE PRECISION, "
-    "pct_below_50 DOUBLE PRECISION, bot_fraction DOUBLE PRECISION, aliveness_index DOUBLE PRECISION, PRIMARY KEY (date, source, category))",
+    f"CREATE TABLE IF NOT EXISTS daily_index ({_DAILY}, PRIMARY KEY (date, source, category))",
+    "CREATE TABLE IF NOT EXISTS registrations (doc_id TEXT PRIMARY KEY, run TEXT)",
+    f"CREATE TABLE IF NOT EXISTS daily_staged (batch TEXT, {_DAILY}, PRIMARY KEY (batch, date, source, category))",
 )
 
 
