@@ -85,30 +85,76 @@ class Shard:
         return pa.Array.from_buffers(pa.large_utf8(), len(places), [None, pa.py_buffer(ends), pa.py_buffer(out)]).cast(pa.utf8())
 
 
+def _parts(df: DataFrame) -> int:
+    """Parts that counts are dealt over: a power of two, several for each shuffle partition."""
+    return 1 << (4 * max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) - 1).bit_length()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Rows of equal first columns, which come sorted, as slices of batches."""
+    now, held = None, []
+    for b in batches:
+        names = list(zip(*(b.column(k).to_pylist() for k in range(keys)), strict=True))
+        at = 0
+        while at < len(names):
+            to = at + 1
+            while to < len(names) and names[to] == names[at]:
+                to += 1
+            if names[at] != now:
+                if held:
+                    yield now, held
+                now, held = names[at], []
+            held.append(b.slice(at, to - at))
+            at = to
+    if held:
+        yield now, held
+
+
+def _flat(rows: list[pa.RecordBatch], column: int) -> pa.Array:
+    return pa.concat_arrays([r.column(column).flatten() for r in rows])
+
+
 def _likely(df: DataFrame, least: int) -> DataFrame:
-    """(key) of hashes of words and pairs that occur `least` times or more."""
+    """(key) of hashes of words and pairs that occur `least` times or more.
+
+    A shard's counts travel as one row for each part that they are dealt to, and a part is summed by itself.
+    """
+    parts = _parts(df)
+    shift = np.uint64(64 - (parts.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, 0, SHARD):
             shard = Shard(part)
             h, pairs = shard.hashes()
-            for x in (h, pairs[shard.joined]):
-                key, count = np.unique(x, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["key", "n"])
+            key, count = np.unique(np.concatenate([h, pairs[shard.joined]]), return_counts=True)
+            place, first = np.unique((key >> shift).astype(np.int32), return_index=True)
+            ends = pa.array(np.append(first, len(key)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32)))], ["part", "keys", "n"])
 
-    return df.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, 1):
+            key, of = np.unique(_flat(rows, 1).to_numpy(), return_inverse=True)
+            n = np.bincount(of, _flat(rows, 2).to_numpy(), len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key[n >= least])], ["key"])
 
+    dealt = df.mapInArrow(run, "part int, keys array<long>, n array<int>").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(add, "key long")
 
-def _substrings(source: DataFrame, table: np.ndarray, most_words: int) -> DataFrame:
-    """(lang, k, phrase, f) of every shard's substrings that can be frequent, and of its word count as k = 0."""
+
+def _substrings(source: DataFrame, table: np.ndarray, most_words: int, parts: int) -> DataFrame:
+    """(part, lang, k, phrases, f) of every shard's substrings that can be frequent, and of its word count as k = 0: a row for each
+    language, length and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "k", "phrase", "f"]
-        for part in gathered(batches, 0, SHARD):
-            shard = Shard(part)
+        names = ["part", "lang", "k", "phrases", "f"]
+        for shard_rows in gathered(batches, 0, SHARD):
+            shard = Shard(shard_rows)
             langs = pa.array(shard.langs, pa.utf8())
             total = np.bincount(shard.lang, minlength=len(shard.langs))
-            yield pa.RecordBatch.from_arrays([langs, pa.array(np.zeros(len(langs), np.int32)), pa.array([""] * len(langs), pa.utf8()), pa.array(total)], names)
+            one = pa.array(range(len(langs) + 1), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(len(langs), np.int32)), langs, pa.array(np.zeros(len(langs), np.int32)), pa.ListArray.from_arrays(one, pa.array([""] * len(langs), pa.utf8())), pa.ListArray.from_arrays(one, pa.array(total, pa.int64()))], names
+            )
             if not len(shard.lang):
                 continue
             h, pairs = shard.hashes()
@@ -117,22 +163,50 @@ def _substrings(source: DataFrame, table: np.ndarray, most_words: int) -> DataFr
             at = np.arange(len(h), dtype=np.int32)
             run_length = at - np.maximum.accumulate(np.where(held, 0, at)) + 1
             run_length[~known] = 0
-            del h, pairs, held, known, at
-            shard.found.hashes = np.empty(0, np.uint64)
+            del pairs, held, known, at
+            shard.found.hashes = h
             numbers = shard.numbers()
             for k, level in enumerate(levels(numbers, run_length, most_words), 1):
-                for x in range(0, len(level.place), 1 << 17):
-                    places = level.place[x : x + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(shard.lang[places])), pa.array(np.full(len(places), k, np.int32)), shard.phrases(places, k), pa.array(level.count[x : x + (1 << 17)].astype(np.int64))], names)
-
-    return source.mapInArrow(run, "lang string, k int, phrase string, f long")
+                if not len(level.place):
+                    break
+                key = h[level.place - (k - 1)]
+                for j in range(k - 2, -1, -1):
+                    key = mix(key * np.uint64(0xD1342543DE82EF95) + h[level.place - j])
+                dealt = shard.lang[level.place].astype(np.int64) * parts + (key >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int64)
+                order = np.argsort(dealt, kind="stable")
+                place, first = np.unique(dealt[order], return_index=True)
+                ends = np.append(first, len(order))
+                for x in range(0, len(place), 1 << 12):
+                    mine = order[ends[x] : ends[min(x + (1 << 12), len(place))]]
+                    cut = pa.array(ends[x : x + (1 << 12) + 1] - ends[x], pa.int32())
+                    some = place[x : x + (1 << 12)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array((some % parts).astype(np.int32)), langs.take(pa.array(some // parts)), pa.array(np.full(len(some), k, np.int32)),
+                            pa.ListArray.from_arrays(cut, shard.phrases(level.place[mine], k)), pa.ListArray.from_arrays(cut, pa.array(level.count[mine].astype(np.int64))),
+                        ], names)
+
+    return source.mapInArrow(run, "part int, lang string, k int, phrases array<string>, f array<long>")
+
+
+def _summed(dealt: DataFrame, least: int) -> DataFrame:
+    """(lang, k, phrase, f) of _substrings(), those under `least` left out. A task holds the phrases of one part, language and length."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, lang, k), rows in _groups(batches, 3):
+            sums = pa.table({"phrase": _flat(rows, 3), "f": _flat(rows, 4)}).group_by("phrase").aggregate([("f", "sum")])
+            kept = sums.filter(pc.greater_equal(sums["f_sum"], least if k else 0))
+            for b in kept.combine_chunks().to_batches():
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.utf8()), pa.array([k] * n, pa.int32()), b.column(b.schema.get_field_index("phrase")), b.column(b.schema.get_field_index("f_sum"))], ["lang", "k", "phrase", "f"])
+
+    return dealt.repartition("part").sortWithinPartitions("part", "lang", "k").mapInArrow(add, "lang string, k int, phrase string, f long")
 
 
 def counts(df: DataFrame, least: int = 100, most_words: int = 5, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, k, phrase, f) of phrases of one to most_words words that occur `least` times or more, and all words' count as k = 0."""
     source = df.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    found = _substrings(source, bloom(_likely(source, least)), most_words)
-    return found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("k") == 0))
+    return _summed(_substrings(source, bloom(_likely(source, least)), most_words, _parts(df)), least)
 
 
 def _exact(*names: str) -> str:
