@@ -918,6 +918,15 @@ def test_op10_items_that_share_a_template(spark):
     assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(d, b).collect()} == {(k, k) for k in range(60)}
 
 
+def test_op10_words_replaced_at_a_steady_step(spark):
+    item = [f"q{k}" for k in range(26)]
+    docs = [(10 * step + k, " ".join(w if (i + k) % step else f"other{i}" for i, w in enumerate(item))) for step in range(4, 12) for k in range(step)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    # with every fourth word replaced 19 or 20 of 26 are left, over the least share
+    assert {r.doc_id for r in decontaminate.contaminated(d, b).collect()} == {i for i, _ in docs}
+
+
 def test_op10_scripts_without_spaces(spark):
     letters = [chr(0x4E00 + 7 * k) for k in range(41)]
     item = "".join(letters)

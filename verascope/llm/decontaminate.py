@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from verascope.llm.common import row_key, written
 from verascope.llm.tokens import WORDLIKE, mix, portions, words
 
-#: Token positions that count; all others up to the last are ignored.
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 7, 8), (0, 2, 3, 6, 9, 10))
+#: Token positions that count; all others up to the last are ignored. Whatever steady step from four on words are replaced at, one
+#: mask fits between them.
+MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 7, 8), (0, 2, 3, 6, 9, 10), (0, 1, 2, 4, 5, 6))
 SPAN = 11
 #: Items of fewer tokens are sought by masks of neighbouring positions as well, one for each part.
 SHORT = 15
