@@ -5,14 +5,16 @@ A conversation stands for one response and its turns for the items in it; pages
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verascope.functions import html, scalars
 from verascope.plans.standins import table
-from verascope.sources import payloads
+from verascope.session import shared_dir
+from verascope.sources import cursors, payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +59,27 @@ def _posts(spark: SparkSession, sf: str) -> DataFrame:
     return payloads.reddit_posts(bodies(spark, sf, item, '{"data":{"children":[{}]}}')).select("id", "text", "text_length", "permalink", naive("created_dt"), "content_hash")
 
 
+@query("payload_cursor_stream", ORACLES["payload_reddit_posts"])
+def _paged_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same posts as a stream of pages, each with 40 conversations and the cursor of the next, three pages a batch."""
+    root = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    item = f"to_json(named_struct('kind', if(turn % 5 = 4, 't1', 't3'), 'data', named_struct('id', {_KEY}, 'title', if(turn % 7 = 6, '[deleted]', role), 'selftext', if(turn % 3 = 0, '[removed]', text), 'permalink', concat('/r/', role), 'created_utc', cast({_TIME} as double))))"
+    c = table(spark, sf, "conversations").withColumn("_item", F.expr(item)).withColumn("page", F.floor(F.col("conv_id") / 40))
+    lists = c.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "_item"))), lambda x: x["_item"]), ",").alias("items"))
+    chain = c.select("page").distinct().withColumns({"n": F.row_number().over(Window.orderBy("page")), "after": F.lead("page").over(Window.orderBy("page"))})  # a row a page
+    cursor = F.when(F.col("n") == 1, "first").otherwise(F.concat(F.lit("t"), F.col("page").cast("string")))
+    after = F.coalesce(F.concat(F.lit('"t'), F.col("after").cast("string"), F.lit('"')), F.lit("null"))
+    body = F.concat(F.lit('{"data":{"after":'), after, F.lit(',"children":['), "items", F.lit("]}}"))
+    cursors.write_pages(lists.join(chain, "page").select(cursor.alias("cursor"), body.alias("body")), f"{root}/in")
+    posts = payloads.reddit_posts(cursors.cursor_pages(spark, f"{root}/in", "data.after", "data.children", per_batch=3))
+    shown = posts.select("id", "text", "text_length", "permalink", naive("created_dt"), "content_hash")
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
+    # the second start goes on behind the first one and finds all done
+    for _ in range(2):
+        cursors.take_all(shown, write, f"{root}/progress")
+    return spark.read.schema(shown.schema).parquet(f"{root}/out").select(*shown.columns)
+
+
 @query("payload_reddit_comments", f"SELECT CAST(conv_id AS VARCHAR) AS post_id, {_ID} AS id, CAST(turn AS INTEGER) AS depth, substr(text, 1, 2000) AS text, {_HASH.format('text')} AS content_hash FROM conversations WHERE turn <= 4")
 def _comments(spark: SparkSession, sf: str) -> DataFrame:
     # every turn answers the one before: a tree of one branch
