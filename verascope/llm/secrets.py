@@ -19,12 +19,13 @@ _KEYS = "password|passwd|passphrase|passcode|(?<![A-Za-z])pass|pwd|secret|token|
 #: A private key block, its end line lost or not; a quoted value of several words, or any value up to white space or a quote,
 #: less the punctuation at its end, assigned to a telling name; what such a name is said to be; a password in a URL; a long run
 #: with a digit.
+#: Short lookbehinds come first and spare most places the long ones.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,24}PRIVATE KEY-----|\z)|(?:\s{1,4}[A-Za-z0-9+/=]{16,}+)++)"
-    rf"|(?<=(?i:{_KEYS})[\"' ]{{0,2}}[:=] ?\")[^\s\"]{{1,40}}(?: [^\s\"]{{1,40}}){{1,9}}(?=\")|(?<=(?i:{_KEYS})[\"' ]{{0,2}}[:=] ?')[^\s']{{1,40}}(?: [^\s']{{1,40}}){{1,9}}(?=')"
-    rf"|(?<=(?i:{_KEYS})[\"' ]{{0,2}}[:=][\"' ]{{0,2}})[^\s\"']{{3,}}[^\s\"',;.]"
-    rf"|(?<=(?i:{_KEYS}) is [\"']?)[^\s\"']{{6,}}[^\s\"',;.]"
-    r"|(?<=://[^\s/:@]{1,64}:)[^\s/@\"']++(?=@)"
+    rf"|(?<=[:=][\"' ]{{0,2}})(?<=(?i:{_KEYS})[\"' ]{{0,2}}[:=][\"' ]{{0,2}})"
+    r"(?:(?<=[:=] ?\")[^\s\"]{1,40}(?: [^\s\"]{1,40}){1,9}(?=\")|(?<=[:=] ?')[^\s']{1,40}(?: [^\s']{1,40}){1,9}(?=')|[^\s\"']{3,}[^\s\"',;.])"
+    rf"|(?<= is [\"']?)(?<=(?i:{_KEYS}) is [\"']?)[^\s\"']{{6,}}[^\s\"',;.]"
+    r"|(?<=:)(?<=://[^\s/:@]{1,64}:)[^\s/@\"']++(?=@)"
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{16})[A-Za-z_+/-]*+[0-9][A-Za-z0-9_+/-]*+={0,2}"
 )
 #: Words that identifiers, paths and placeholders are made of.
@@ -217,7 +218,7 @@ def scan(df: DataFrame, forest: list[Tree], text_col: str = "text") -> DataFrame
     between[0], found[0].value, between[1], ... joined give the text. Null and empty texts have no candidate.
     """
     df = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    df = df.withColumn("values", F.when(F.col("text").rlike("[0-9:=-]"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("values", F.when(F.col("text").rlike("[0-9:=-]| is "), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("between", F.when(F.size("values") > 0, F.split("text", CANDIDATE, -1)).otherwise(F.array("text")))
 
     def judge(value: Column, i: Column) -> Column:
