@@ -32,7 +32,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a benchmark item go, others of their doc_id don't. Null and empty texts hold none; an empty benchmark takes nothing away."""
+    """Rows that hold a benchmark item go, others of their doc_id don't. Null and empty texts hold none; an empty benchmark takes nothing away.
+
+    A null doc_id is one like others.
+    """
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
@@ -43,7 +46,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what stayed; a null text counts as empty, repeated rows each."""
+    """Token counts and digests of what stayed; a null text counts as empty, repeated rows each, rows without a doc_id, too."""
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
 
 

@@ -224,6 +224,20 @@ def test_op3_awkward(spark, docs, awkward, empty):
     assert langid.accepted(awkward, model, min_score=0.0).columns == awkward.columns
 
 
+def test_op3_draws_rows_without_ids_one_by_one(spark):
+    rows = [(None, make_text(i), "en" if i % 2 else "de") for i in range(600)] + [(None, "", "en"), (None, None, "en"), (1, "", "de")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sizes = []
+    plain = langid.ftrl
+    langid.ftrl = lambda x, *a: (sizes.append(len(x)), plain(x, *a))[1]
+    try:
+        model = langid.train(d, F.lit(True), langid.Settings(sample_rows=100, rows_per_lang=50))
+    finally:
+        langid.ftrl = plain
+    # about 100 of 602 rows, four fifths of which train
+    assert 40 < sizes[0] < 130 and model.langs == ["de", "en"]
+
+
 def test_op3_learns_every_language(spark):
     # 70 languages of words of their own letters; the later ones have fewer rows
     r = random.Random(3)
@@ -498,7 +512,9 @@ def test_op5_awkward(spark, docs, sf, awkward, empty):
     assert quality_fm.score(awkward, model).count() == len(AWKWARD)
     assert quality_fm.score(empty, model).count() == 0
     blank = quality_fm.train(empty, labels.where("false"), F.lit(True))
-    assert {r.score for r in quality_fm.score(awkward, blank).collect()} <= {r.score for r in quality_fm.score(awkward, blank).collect()}
+    # nothing was learned, so nothing tells one text from another
+    scores = {r.score for r in quality_fm.score(awkward, blank).collect()}
+    assert len(scores) == 1 and 0 < scores.pop() < 1
 
 
 def test_pairs_in_linear_time():

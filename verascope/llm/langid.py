@@ -134,7 +134,8 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def train(df: DataFrame, learnable: Column, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from rows that are learnable and have a text and a lang; nothing else of them is used.
 
-    Repeated rows count as often as they occur. No learnable row gives a model without languages.
+    Repeated rows count as often as they occur. No learnable row gives a model without languages. Rows are drawn by a hash of
+    id and text, so that a null id draws each of its texts by itself.
     """
     d = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), learnable.alias("ok"))
     d = d.where("ok and text is not null and lang is not null")
@@ -146,7 +147,7 @@ def train(df: DataFrame, learnable: Column, s: Settings = Settings(), id_col: st
     langs = sorted(sizes)
     each = max(s.sample_rows / len(langs), s.rows_per_lang)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, each / sizes[lang]))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(17)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
     bits = s.bits
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,7 @@ def train(df: DataFrame, learnable: Column, s: Settings = Settings(), id_col: st
                 ["at", "tf", "lang", "order"],
             )
 
-    sample = d.where(F.col("lang").isin(langs)).where(draw).select("text", "lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)).alias("order"))
+    sample = d.where(F.col("lang").isin(langs)).where(draw).select("text", "lang", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(23)).alias("order"))
     got = sample.mapInArrow(features, "at array<int>, tf array<float>, lang string, order bigint").toPandas().sort_values("order", kind="stable")
     rows, labels = [], np.array([langs.index(x) for x in got["lang"]], np.int64)
     for at, tf in zip(got["at"], got["tf"], strict=True):
