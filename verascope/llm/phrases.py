@@ -1,8 +1,8 @@
 """Phrase collocation mining: substrings of words from suffix automata of shards, counts reduced globally.
 
-A first pass counts hashes of words and pairs; a Bloom filter of those frequent enough, of a fixed size, then tells
-shards which pairs can be part of a frequent phrase. In the second pass each shard, some MB of text, builds the
-generalised suffix automaton of its pieces to a depth of `most_words`, cut where a pair is rare, and emits its
+A first pass counts hashes of words, pairs and triples; a Bloom filter of those frequent enough, of a fixed size, then tells
+shards which can be part of a frequent phrase. In the second pass each shard, some MB of text, builds the
+generalised suffix automaton of its pieces to a depth of `most_words`, cut where a pair or triple is rare, and emits its
 substrings with the counts of their end places; these are summed as words, so nothing rests on hashes. A frequent phrase
 is subsumed if a phrase that it ends (one suffix link away in the automaton of all shards) or begins occurs as often; longer
 ones need no look, as all between them occur as often, too.
@@ -27,6 +27,7 @@ from verascope.llm.tokens import Words, gathered, mix, words
 BREAKERS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _BYTE = np.arange(256)
 _BREAKS = np.isin(_BYTE, list(BREAKERS))
+_STEP = np.uint64(0xD1342543DE82EF95)
 _INSIDE = ~np.isin(_BYTE, list(BREAKERS + BLANKS))
 #: Bytes of text of a shard. Python holds about twenty times as much.
 SHARD = 4 << 20
@@ -50,13 +51,16 @@ class Shard:
         self.joined = np.zeros(len(f.start), bool)
         self.joined[1:] = breaks[f.start[1:]] == breaks[f.end[:-1]]
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of each word and of each with the word before it, where that is joined to it; by language."""
+    def hashes(self) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Hashes of each word, by language; and of each with the word before it and with the two before it, and where these hang together."""
         salt = np.array([xxhash.xxh64_intdigest(x.encode()) for x in self.langs] or [0], np.uint64)
         h = mix(self.found.hashes ^ salt[self.lang]) if len(self.lang) else self.found.hashes
         pairs = np.zeros(len(h), np.uint64)
-        pairs[1:] = mix(h[:-1] * np.uint64(0xD1342543DE82EF95) + h[1:])
-        return h, pairs
+        pairs[1:] = mix(h[:-1] * _STEP + h[1:])
+        triples, three = np.zeros(len(h), np.uint64), np.zeros(len(h), bool)
+        triples[2:] = mix(pairs[1:-1] * _STEP + h[2:])
+        three[2:] = self.joined[2:] & self.joined[1:-1]
+        return h, [(pairs, self.joined), (triples, three)]
 
     def numbers(self) -> np.ndarray:
         """A number for each word: equal for equal words of one language only."""
@@ -114,30 +118,33 @@ def _flat(rows: list[pa.RecordBatch], column: int) -> pa.Array:
     return pa.concat_arrays([r.column(column).flatten() for r in rows])
 
 
-def _likely(df: DataFrame, least: int) -> DataFrame:
-    """(key) of hashes of words and pairs that occur `least` times or more.
+def _reduced(h: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a hash and 32 bits more: enough for a filter, at half the bytes."""
+    return h >> np.uint64(32 - (parts.bit_length() - 1))
+
+
+def _likely(df: DataFrame, least: int, parts: int) -> DataFrame:
+    """(key) of hashes of words, pairs and triples that occur `least` times or more.
 
     A shard's counts travel as one row for each part that they are dealt to, and a part is summed by itself.
     """
-    parts = _parts(df)
-    shift = np.uint64(64 - (parts.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, 0, SHARD):
-            shard = Shard(part)
-            h, pairs = shard.hashes()
-            key, count = np.unique(np.concatenate([h, pairs[shard.joined]]), return_counts=True)
-            place, first = np.unique((key >> shift).astype(np.int32), return_index=True)
+            h, longer = Shard(part).hashes()
+            key, count = np.unique(_reduced(np.concatenate([h, *(x[there] for x, there in longer)]), parts), return_counts=True)
+            place, first = np.unique((key >> np.uint64(32)).astype(np.int32), return_index=True)
             ends = pa.array(np.append(first, len(key)), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32)))], ["part", "keys", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.ListArray.from_arrays(ends, pa.array(key.astype(np.uint32).view(np.int32))), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32)))], ["part", "keys", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, 1):
-            key, of = np.unique(_flat(rows, 1).to_numpy(), return_inverse=True)
+        for (part,), rows in _groups(batches, 1):
+            key, of = np.unique(_flat(rows, 1).to_numpy().view(np.uint32), return_inverse=True)
             n = np.bincount(of, _flat(rows, 2).to_numpy(), len(key))
-            yield pa.RecordBatch.from_arrays([pa.array(key[n >= least])], ["key"])
+            found = key[n >= least].astype(np.uint64) | np.uint64(part << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(found).view(np.int64))], ["key"])
 
-    dealt = df.mapInArrow(run, "part int, keys array<long>, n array<int>").repartition("part").sortWithinPartitions("part")
+    dealt = df.mapInArrow(run, "part int, keys array<int>, n array<int>").repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(add, "key long")
 
 
@@ -157,13 +164,14 @@ def _substrings(source: DataFrame, table: np.ndarray, most_words: int, parts: in
             )
             if not len(shard.lang):
                 continue
-            h, pairs = shard.hashes()
-            known, held = passes(table, h), shard.joined & passes(table, pairs)
-            # words in a row whose pairs can all be frequent; a rare word hangs on nothing and is left out
+            h, longer = shard.hashes()
+            known, two, three = (there & passes(table, mix(_reduced(x, parts))) for x, there in ((h, np.ones(len(h), bool)), *longer))
+            # how long a phrase that ends here can be: a word, a pair, or as many as triples in a row give; a rare word is left out
             at = np.arange(len(h), dtype=np.int32)
-            run_length = at - np.maximum.accumulate(np.where(held, 0, at)) + 1
+            in_a_row = at - np.maximum.accumulate(np.where(three, 0, at))
+            run_length = np.where(in_a_row > 0, in_a_row + 2, np.where(two, 2, 1)).astype(np.int32)
             run_length[~known] = 0
-            del pairs, held, known, at
+            del longer, known, two, three, at, in_a_row
             shard.found.hashes = h
             numbers = shard.numbers()
             for k, level in enumerate(levels(numbers, run_length, most_words), 1):
@@ -171,7 +179,7 @@ def _substrings(source: DataFrame, table: np.ndarray, most_words: int, parts: in
                     break
                 key = h[level.place - (k - 1)]
                 for j in range(k - 2, -1, -1):
-                    key = mix(key * np.uint64(0xD1342543DE82EF95) + h[level.place - j])
+                    key = mix(key * _STEP + h[level.place - j])
                 dealt = shard.lang[level.place].astype(np.int64) * parts + (key >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int64)
                 order = np.argsort(dealt, kind="stable")
                 place, first = np.unique(dealt[order], return_index=True)
@@ -206,7 +214,8 @@ def _summed(dealt: DataFrame, least: int) -> DataFrame:
 def counts(df: DataFrame, least: int = 100, most_words: int = 5, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, k, phrase, f) of phrases of one to most_words words that occur `least` times or more, and all words' count as k = 0."""
     source = df.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    return _summed(_substrings(source, bloom(_likely(source, least)), most_words, _parts(df)), least)
+    parts = _parts(df)
+    return _summed(_substrings(source, bloom(_likely(source, least, parts)), most_words, parts), least)
 
 
 def _exact(*names: str) -> str:
