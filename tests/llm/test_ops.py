@@ -512,9 +512,9 @@ def test_op5_awkward(spark, docs, sf, awkward, empty):
     assert quality_fm.score(awkward, model).count() == len(AWKWARD)
     assert quality_fm.score(empty, model).count() == 0
     blank = quality_fm.train(empty, labels.where("false"), F.lit(True))
-    # nothing was learned, so nothing tells one text from another
-    scores = {r.score for r in quality_fm.score(awkward, blank).collect()}
-    assert len(scores) == 1 and 0 < scores.pop() < 1
+    # nothing was learned: the small factors that training begins with leave scores about a half, the same each time
+    one, two = (sorted((r.score for r in quality_fm.score(awkward, m).collect())) for m in (blank, quality_fm.train(empty, labels.where("false"), F.lit(True))))
+    assert one == two and len(one) == len(AWKWARD) and all(0.3 < x < 0.7 for x in one)
 
 
 def test_pairs_in_linear_time():
