@@ -220,6 +220,17 @@ def test_html_expressions(spark):
     assert tuple(r) == ("Big & news", "2024-01-01", "a\nb > c", "", None)
 
 
+def test_a_cut_reference_stays_as_it_is(spark):
+    """A title of which the cut left `&amp`: names count with their semicolon, numbers without one, too."""
+    told = "Q &amp; A &quot;x&quot; &#38 &amp"
+    page = f"<title>{told}</title><article><h1>{told}</h1><p>{'word ' * 30}</p><script>a&&b</script></article>"
+    want = 'Q & A "x" & &amp'
+    r = spark.range(1).select(html.title(F.lit(page)), html.strip_tags(F.lit(f"<b>{told}</b>")), html.title(F.lit(f'<meta property="og:title" content="{told}">')), html.unescape(F.lit("&amp"))).first()
+    assert tuple(r) == (want, want, want, "&")
+    assert dom.article_body(page).split("\n")[0] == want and dom.profile_body(page).endswith("a&&b")
+    assert dom.profile_body('<meta property="og:description" content="x &amp y &lt;">') == "x &amp y <"
+
+
 def test_stream_applies_a_batch_once_and_keeps_ids(spark, tmp_path):
     schema = "doc_id string, date date, source string, category string, aliveness_score double"
     rows = [(str(i), date(2024, 1, 1 + i % 3), "s", "c", float(i)) for i in range(12)]
