@@ -7,10 +7,12 @@ import sqlite3
 import time
 from datetime import date, datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from verascope.functions import dom
+from verascope.plans import payload_queries
 from verascope.sources import payloads, sinks, stores
 from verascope.streaming import incremental
 
@@ -54,6 +56,20 @@ def test_hackernews(spark):
     assert [r.id for r in payloads.hackernews_comments(bodies(spark, comments, story_id="s"), 3).orderBy("id").collect()] == ["5", "6", "7"]
 
 
+def test_queries_of_comments_and_profiles_keep_what_their_sql_keeps(spark, tmp_path):
+    """Short turns, one of them among the first five, and a link that was fetched twice."""
+    turns = [(1, t, "user", "short one" if t in (2, 3) else f"turn {t} of some length") for t in range(8)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    page = f"<h1>T &amp x</h1><article>{'word ' * 40}</article>"
+    spark.createDataFrame([(i, "http://a.example/x", page) for i in range(2)], "page_id bigint, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for t in ("conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for name, n in (("payload_hn_comments", 3), ("payload_hn_items", 3), ("payload_profile_articles", 2)):
+        got = sorted(tuple(r) for r in payload_queries.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(con.execute(payload_queries.ORACLES[name]).fetchall()) and len(got) == n, name
+
+
 def test_pages_of_changes_stop_after_the_cap(spark):
     page = {"query": {"recentchanges": [{"title": "t", "newlen": 3}] * 4}}
     d = spark.createDataFrame([(i, json.dumps(page)) for i in range(5)], "page int, body string")
