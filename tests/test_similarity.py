@@ -67,3 +67,16 @@ def test_any_order_finds_the_same_pairs(spark):
     sets = similarity.word_sets(spark.createDataFrame(rows, "account string, text string").where("account is not null"), "account", "text")
     one, two = ({(r.x, r.y) for r in similarity.similar_pairs(similarity.by_rarity(sets, k), "account", 0.6).collect()} for k in (3, 1 << 16))
     assert one == two and len(one) > 20
+
+
+def test_one_shared_rare_word_makes_no_candidate(spark):
+    """Eighty sets of words of their own but for one rare word; ten variants of a text stay candidates."""
+    rng = random.Random(3)
+    own = lambda i, k: [f"v{i}x{j}" for j in range(k)]
+    some = lambda k: rng.sample([f"w{j}" for j in range(300)], k)
+    rows = [("a", " ".join(["rare", *own(i, 1), *some(30)])) for i in range(80)] + [("b", " ".join(some(60))) for i in range(600)]
+    base = own("base", 40)
+    rows += [("a", " ".join([*base[:-1], f"last{i}"])) for i in range(10)]
+    sets = similarity.by_rarity(similarity.word_sets(spark.createDataFrame(rows, "account string, text string"), "account", "text")).cache()
+    assert similarity.similar_pairs(sets, "account", 0.85).where("account = 'a'").count() == 45
+    assert similarity.candidates(sets, "account", 0.85).where("account = 'a'").count() < 100

@@ -87,7 +87,8 @@ def cloning_of_all(texts: DataFrame, account: str = "account", text: str = "text
     """
     known = texts.where(F.col(account).isNotNull())
     sizes = known.groupBy(account).agg(F.count("*").alias("n_texts"))
-    sets = written(similarity.by_rarity(similarity.word_sets(known, account, text)), "word-sets")
+    counted = known.select(F.explode(F.transform(similarity.words_of(F.col(text)), lambda w: F.xxhash64(w))).alias("word"))
+    sets = written(similarity.numbered(similarity.by_rarity(similarity.word_sets(known, account, text), counted=counted)), "word-sets")
     equal = sets.select(account, (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("copies"))
     alike = equal.unionByName(similarity.similar_pairs(sets, account, limit).select(account, "copies"))
     found = sizes.join(alike.groupBy(account).agg(F.sum("copies").alias("alike")), account, "left")

@@ -16,8 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verascope.session import written
+
 #: Words whose place in the order travels to the tasks: the most frequent ones. All others are rare, ordered by hash.
 FREQUENT = 1 << 16
+#: Words that a prefix has beyond what one shared word needs; so many more must be shared.
+MORE = 4
+#: Pairs to verify, up to which they travel to the sets; beyond, the sets travel to them.
+FEW = 1 << 18
 
 
 def words_of(text: Column) -> Column:
@@ -31,9 +37,12 @@ def word_sets(texts: DataFrame, by: str, text: str) -> DataFrame:
     return w.groupBy(by, F.md5(F.array_join(F.array_sort("w"), " ").cast("binary")).alias("sid")).agg(F.count("*").alias("copies"), F.first(F.transform("w", lambda x: F.xxhash64(x))).alias("words"))
 
 
-def by_rarity(sets: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """sets with the words in one order: rare ones first, then the `frequent` most frequent, the most frequent last."""
-    counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def by_rarity(sets: DataFrame, frequent: int = FREQUENT, counted: DataFrame | None = None) -> DataFrame:
+    """sets with the words in one order: rare ones first, then the `frequent` most frequent, the most frequent last.
+
+    counted: hashes of words (word) whose counts give the order, if not the sets' own; any order serves.
+    """
+    counts = (sets.select(F.explode("words").alias("word")) if counted is None else counted).groupBy("word").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()  # `frequent` rows at most
     known = np.array(sorted((r["word"], -i) for i, r in enumerate(top)), np.int64).reshape(-1, 2)
     at = [c for c in sets.columns].index("words")
@@ -55,11 +64,20 @@ def by_rarity(sets: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     return sets.mapInArrow(run, sets.schema)
 
 
-def candidates(sets: DataFrame, by: str, limit: float) -> DataFrame:
-    """(by, x, y): sets that may have a similarity over limit, each pair once; x is the larger, of equal ones the greater."""
+def numbered(sets: DataFrame) -> DataFrame:
+    """sets with a number as sid, a quarter of the digest's width; to be written before it is read twice."""
+    return sets.withColumn("sid", F.monotonically_increasing_id())
+
+
+def candidates(sets: DataFrame, by: str, limit: float, more: int = MORE) -> DataFrame:
+    """(by, x, y): sets that may have a similarity over limit, each pair once; x is the larger, of equal ones the greater.
+
+    A pair that shares o words or more shares j of them among each set's first n - o + j: one word among short prefixes, but
+    more + 1 (or all that it needs, if those are fewer) among prefixes that are `more` words longer, which few other pairs do.
+    """
     n = F.size("words")
-    # a partner shares floor(limit * n) + 1 words or more, so one of the first n - floor(limit * n)
-    prefix = n - F.floor(n * limit - 1e-9).cast("int")
+    # a partner shares floor(limit * n) + 1 words or more
+    prefix = F.least(n, n - F.floor(n * limit - 1e-9).cast("int") + more)
     level = F.floor(F.log(n.cast("double")) / -math.log(limit)).cast("int")
     index = sets.select(by, F.col("sid"), n.alias("n"), level.alias("level"), F.posexplode(F.slice("words", 1, prefix)).alias("at", "word"))
     x = index.select(by, "word", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.explode(F.array("level", F.col("level") - 1)).alias("level"))
@@ -67,8 +85,10 @@ def candidates(sets: DataFrame, by: str, limit: float) -> DataFrame:
     smaller = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
     overlap = F.floor((F.col("nx") + F.col("ny")) * (limit / (1 + limit)) - 1e-9) + 1
     left = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
-    met = x.join(y, [by, "word", "level"]).where(smaller & (F.col("ny") > F.col("nx") * limit - 1e-9) & (left >= overlap))
-    return met.select(by, "x", "y").distinct()
+    # up to `more` shared words stand before the one that meets
+    met = x.join(y, [by, "word", "level"]).where(smaller & (F.col("ny") > F.col("nx") * limit - 1e-9) & (left + more >= overlap))
+    shared = met.groupBy(by, "x", "y").agg(F.count("*").alias("shared"), F.first(overlap).alias("overlap"))
+    return shared.where(F.col("shared") >= F.least(F.lit(more + 1), F.col("overlap"))).select(by, "x", "y")
 
 
 def similar_pairs(sets: DataFrame, by: str, limit: float) -> DataFrame:
@@ -76,7 +96,11 @@ def similar_pairs(sets: DataFrame, by: str, limit: float) -> DataFrame:
     if not 0 < limit < 1:
         raise ValueError("the limit lies between 0 and 1")
     side = lambda s: sets.select(by, F.col("sid").alias(s), F.col("words").alias(f"w{s}"), F.col("copies").alias(f"c{s}"))
-    both = candidates(sets, by, limit).join(side("x"), [by, "x"]).join(side("y"), [by, "y"])
+    met = written(candidates(sets, by, limit), "set-pairs")
+    if met.limit(FEW + 1).count() <= FEW:
+        known = met.select(by, F.explode(F.array("x", "y")).alias("sid")).distinct()
+        sets = sets.join(F.broadcast(known), [by, "sid"], "left_semi")  # two for each of FEW pairs at most
+    both = met.join(side("x"), [by, "x"]).join(side("y"), [by, "y"])
     common = F.size(F.array_intersect("wx", "wy"))
     both = both.withColumn("similarity", common / (F.size("wx") + F.size("wy") - common))
     return both.where(F.col("similarity") > limit).select(by, "x", "y", (F.col("cx") * F.col("cy")).alias("copies"), "similarity")
