@@ -3,11 +3,13 @@ import math
 import random
 from collections import Counter
 from datetime import date
+from pathlib import Path
 
 import pytest
 
 from verascope.functions import perplexity
 from verascope.operators import ngrams
+from verascope.session import shared_dir
 from verascope.plans import ingest
 
 
@@ -75,3 +77,15 @@ def test_ingest_with_a_model(spark, tmp_path):
     got = {r.source: r.score_perplexity for r in out["gold"].collect()}
     assert got["common_crawl"] is None and 0 < got["steam"] < 1
     assert out["gold"].where("aliveness_score is null").count() == 0
+
+
+def test_scores_write_no_triples_and_shuffle_them_for_look_ups_alone(spark):
+    df = spark.createDataFrame([(i, "some words go on and on") for i in range(4)], "doc_id long, text string")
+    model = ngrams.train(df)
+    root = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(root.iterdir())
+    found = ngrams.scores(df, model)
+    assert set(root.iterdir()) == before
+    # five look-ups of triples, the sum, the ids, and their join; nothing is grouped to be joined back
+    text = found._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("HashAggregate") <= 4 and len({r.score_perplexity for r in found.collect()}) == 1

@@ -67,25 +67,25 @@ def _discounted(c: str, total: str, types: str, d: float, below: Column) -> Colu
     return F.when(F.col(total) > 0, share).otherwise(below)
 
 
-def probabilities(triples: DataFrame, m: Model) -> DataFrame:
-    """triples (u, v, w) with p, the probability of w after u and v."""
+def probabilities(triples: DataFrame, m: Model, *keep: str) -> DataFrame:
+    """triples (u, v, w) with p, the probability of w after u and v; with columns to keep, those and p alone."""
     d = triples.join(m.one.withColumnRenamed("c", "c1"), "w", "left")
     d = d.join(m.two.withColumnRenamed("c", "c2"), ["v", "w"], "left").join(m.after_one.toDF("v", "total2", "types2"), "v", "left")
     d = d.join(m.three.withColumnRenamed("c", "c3"), ["u", "v", "w"], "left").join(m.after_two.toDF("u", "v", "total3", "types3"), ["u", "v"], "left")
     p1 = (F.coalesce("c1", F.lit(0)) + 0.5) / F.lit(m.total + 0.5 * (m.types + 1))
     p2 = _discounted("c2", "total2", "types2", m.discount_two, p1)
-    return d.withColumn("p", _discounted("c3", "total3", "types3", m.discount_three, p2)).select(*triples.columns, "p")
+    return d.withColumn("p", _discounted("c3", "total3", "types3", m.discount_three, p2)).select(*(keep or triples.columns), "p")
 
 
 def scores(df: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score_perplexity) of every id: the mean loss of the first LONGEST words as perplexity between FLOOR and CAP, on a logarithmic
     scale from 0 to 1; NEUTRAL without a word. Rows that share an id are judged together.
 
-    Each distinct triple is looked up once, however many texts have it.
+    Triples carry their text's id through the look-ups: nearly all are distinct, so that looking each up once and joining back
+    shuffled more.
     """
-    rows = written(_triples(df, text_col, LONGEST, id_col).groupBy(id_col, "u", "v", "w").agg(F.count("*").alias("n")), "triples")
-    known = probabilities(rows.select("u", "v", "w").distinct(), m)
-    loss = rows.join(known, ["u", "v", "w"]).groupBy(id_col).agg((-F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("loss"))
+    rows = probabilities(_triples(df, text_col, LONGEST, id_col), m, id_col)
+    loss = rows.groupBy(id_col).agg((-F.avg(F.log("p"))).alias("loss"))
     scale = F.log(F.lit(CAP)) - F.log(F.lit(FLOOR))
     score = (F.log(F.greatest(F.lit(FLOOR), F.least(F.lit(CAP), F.exp(F.least("loss", F.lit(50.0)))))) - F.log(F.lit(FLOOR))) / scale
     out = df.select(id_col).distinct().join(loss.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left")
