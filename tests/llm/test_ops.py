@@ -437,6 +437,20 @@ def test_op4_recall_of_groups_of_variants(spark, groups):
     assert share >= 0.95
 
 
+def test_op4_unrelated_texts_change_nothing(spark):
+    # a group of variants has the same rows alone as among many texts that share passages with one another only
+    r = random.Random(6)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for _ in range(20):
+        base = fresh(60)
+        for _ in range(60):
+            k = r.randrange(60)
+            rows.append((len(rows), " ".join(fresh(5) + base[:k] + fresh(1) + base[k + 1 :] + fresh(5))))
+    found = [sorted(tuple(x) for x in passages.repeated_passages(spark.createDataFrame(part, "doc_id bigint, text string")).where("doc_id < 60").collect()) for part in (rows[:60], rows)]
+    assert found[0] and found[0] == found[1]
+
+
 def test_op4_windows_agree_as_by_brute_force():
     r = np.random.default_rng(3)
     for _ in range(40):
