@@ -248,3 +248,16 @@ def test_live_streams_plan(spark, tmp_path):
     spark.createDataFrame([("a", date(2024, 1, 1))], "k string, d date").withColumn("at", F.col("d").cast("timestamp")).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("k string, d date, at timestamp").parquet(str(tmp_path / "in"))
     assert incremental.live_counts(s, "at", "k").isStreaming and incremental.distinct_stream(s, "k", "at").isStreaming
+
+
+def test_records_are_parsed_once_and_dedup_carries_what_is_wanted(spark):
+    from verascope.plans import bronze_queries
+
+    silver = bronze_queries.silver_of(spark, "/root/testdata/sf0.001", "steam")
+    plan = silver.select("doc_id", "text_length")._jdf.queryExecution().executedPlan().toString()
+    assert [plan.count(x) for x in ("from_json", "StructsToJsonEvaluator", "parseJson", "jsonObjectKeys")] == [1, 1, 1, 0]
+    rows = [("s", "h", "a", 2, "late"), ("s", "h", "b", 1, "early"), ("s", "", "c", 3, "alone")]
+    d = spark.createDataFrame(rows, "source string, content_hash string, doc_id string, line int, text string")
+    kept = dedup.keep_first(d, ["line"], columns=["source", "line"])
+    assert kept.columns == ["source", "line"] and sorted(r.line for r in kept.collect()) == [1, 3]
+    assert "text" not in kept._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]

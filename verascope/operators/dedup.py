@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from verascope.functions.scalars import either
 
 
-def keep_first(df: DataFrame, order: list[str], within: tuple[str, ...] = ("source",), hash_col: str = "content_hash", id_col: str = "doc_id") -> DataFrame:
+def keep_first(df: DataFrame, order: list[str], within: tuple[str, ...] = ("source",), hash_col: str = "content_hash", id_col: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """The first row of each content hash (of the id where the hash is empty) within a source, by `order`.
 
-    The aggregate keeps the least order of each key before the shuffle, so a hot key costs a row per task.
+    The aggregate keeps the least order of each key before the shuffle, so a hot key costs a row per task. It carries whole
+    rows, whatever is read of them later; where few of their columns are wanted, name them.
     """
+    columns = df.columns if columns is None else columns
     d = df.withColumn("_key", either(F.col(hash_col), F.col(id_col)))
-    rest = [c for c in df.columns if c not in within]
+    rest = [c for c in columns if c not in within]
     best = d.groupBy(*within, "_key").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    return best.select(*within, "_r.*").select(*df.columns)
+    return best.select(*within, "_r.*").select(*columns)
 
 
 def keep_last(df: DataFrame, key: str, order: list[str]) -> DataFrame:

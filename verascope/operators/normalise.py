@@ -33,7 +33,8 @@ def _silver(
     created: Column | None = None, content: Column | str = "", id_source: str | None = None, partition: Column | None = None, longer_than: int = 0,
 ) -> DataFrame:
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    d = df.withColumn("_text", strip(F.coalesce(text, F.lit("")))).where(F.length("_text") > longer_than)
+    # exploded, so that the filter does not strip the text a second time
+    d = df.withColumn("_text", F.explode(F.array(strip(F.coalesce(text, F.lit("")))))).where(F.length("_text") > longer_than)
     extra = [c for c in ("file", "line", "position") if c in d.columns]
     return d.select(
         doc_id(id_source or source, ident, F.col("_text")).alias("doc_id"), F.lit(source).alias("source"), lit(category).alias("category"), lit(domain).alias("domain"), lit(url).alias("url"), lit(title).alias("title"),
@@ -143,9 +144,9 @@ def normalise(df: DataFrame, source: str) -> DataFrame:
     return NORMALISERS[name](df)
 
 
-def silver(parts: list[DataFrame]) -> DataFrame:
+def silver(parts: list[DataFrame], columns: tuple[str, ...] = SILVER_COLUMNS) -> DataFrame:
     """All sources under one another."""
-    out = parts[0].select(*SILVER_COLUMNS)
+    out = parts[0].select(*columns)
     for p in parts[1:]:
-        out = out.unionByName(p.select(*SILVER_COLUMNS))
+        out = out.unionByName(p.select(*columns))
     return out

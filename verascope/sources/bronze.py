@@ -33,9 +33,17 @@ def read_bronze(spark: SparkSession, root: str, source: str) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, source: str) -> DataFrame:
-    """lines (value, ...) with raw and keys; rows that are no JSON object are left out."""
-    ok = F.expr("try_parse_json(value) is not null and json_object_keys(value) is not null")
-    return lines.where(ok).withColumns({"raw": F.from_json("value", BRONZE[source]), "keys": F.json_object_keys("value")}).drop("value").where("raw is not null")
+    """lines (value, ...) with raw and keys; rows that are no JSON object are left out.
+
+    The record is the one entry of an exploded array: filters on its fields stay above, where otherwise each of them
+    would parse the line again, and make it again if it is an expression.
+    """
+    rest = [c for c in lines.columns if c != "value"]
+    lines = lines.select(*rest, F.explode(F.array("value")).alias("value"))
+    # what is valid and starts so is an object
+    ok = F.expr("try_parse_json(value) is not null") & F.col("value").rlike(r"^[ \t\n\r]*\{")
+    parsed = lines.where(ok).select("*", F.explode(F.array(F.from_json("value", BRONZE[source]))).alias("raw")).where("raw is not null")
+    return parsed.select(*rest, "raw", F.json_object_keys("value").alias("keys"))
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
