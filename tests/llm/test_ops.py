@@ -606,6 +606,33 @@ def test_op6_copies_of_a_row_count_each(spark, docs):
     assert sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got), key=repr) == want
 
 
+def test_op6_windows_share_arrays_and_large_logits_change_nothing(monkeypatch):
+    rng = np.random.default_rng(7)
+    shape = gru.Shape(150, 4, 6, 16)
+    w = gru.initial(shape, rng.integers(1, 500, shape.tokens))
+    texts = [rng.integers(0, shape.tokens, n).astype(np.int32) for n in (40, 7, 90, 1, 33)]
+    _, token, owner = gru.streams(texts, 3)
+    before, kept = gru._inputs(token, owner)
+    held, h0 = gru.Held(), np.zeros((3, 6), np.float32)
+    window = lambda held: gru.window_gradients(w, shape, h0, before, kept, token, owner >= 0, held)
+    window(held)
+    arrays = {k: id(x) for k, x in held.arrays.items()}
+    loss, grads, last = window(held)
+    assert {k: id(x) for k, x in held.arrays.items()} == arrays
+    logs = gru.log_probabilities(w, shape, texts)
+    assert gru._with_biases(w)[2]
+    monkeypatch.setattr(gru, "TAME", 0)
+    assert not gru._with_biases(w)[2]
+    other, others, end = window(None)
+    assert other == pytest.approx(loss, rel=1e-5) and end == pytest.approx(last) and -logs.sum() == pytest.approx(loss, rel=1e-5)
+    assert all(others[k] == pytest.approx(grads[k], rel=1e-3, abs=1e-6) for k in gru.NAMES)
+    assert gru.log_probabilities(w, shape, texts) == pytest.approx(logs, rel=1e-5)
+    # logits far beyond what exp() takes
+    monkeypatch.undo()
+    w["ww"], w["bw"] = w["ww"] * 1e5, np.where(w["bw"] > -1e8, w["bw"] + 200, w["bw"]).astype(np.float32)
+    assert np.isfinite(gru.log_probabilities(w, shape, texts)).all() and all(np.isfinite(g).all() for g in window(None)[1].values())
+
+
 def test_op6_awkward(awkward, empty, docs):
     model, table = lm.train(docs, F.lit(True), lm.Settings(rounds=1))
     got = lm.score(awkward, model, table).collect()

@@ -8,6 +8,7 @@ vocabulary's words follow by falling frequency. Tokens 0 and 1 are classes of th
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,10 +61,11 @@ def initial(shape: Shape, token_counts: np.ndarray, seed: int = 3) -> Weights:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    y = np.exp(-x)
-    y += 1
-    return np.reciprocal(y, out=y)
+def _sigmoid(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The sigmoid of x, whose place may be used, in out."""
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=out)
 
 
 def streams(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +102,7 @@ def _inputs(token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return before, kept
 
 
-def log_probabilities(w: Weights, shape: Shape, texts: list[np.ndarray], width: int = 384, window: int = 32) -> np.ndarray:
+def log_probabilities(w: Weights, shape: Shape, texts: list[np.ndarray], width: int = 384, window: int = 8) -> np.ndarray:
     """ln P of each text. The state runs through a whole text, window by window."""
     out = np.zeros(len(texts))
     if not texts:
@@ -108,119 +110,186 @@ def log_probabilities(w: Weights, shape: Shape, texts: list[np.ndarray], width:
     loads, token, owner = streams(texts, min(width, len(texts)))
     before, kept = _inputs(token, owner)
     table = w["emb"] @ w["wx"] + w["bx"]
-    h2 = 2 * shape.hidden
-    h = np.zeros((token.shape[1], shape.hidden), np.float32)
+    h2, biased = 2 * shape.hidden, _with_biases(w)
+    h, held = np.zeros((token.shape[1], shape.hidden), np.float32), Held()
     for at in range(0, len(token), window):
         active = int((loads > at).sum())
         to = min(at + window, len(token))
         h = h[:active]
-        states = np.empty((to - at, active, shape.hidden), np.float32)
-        gates = table[before[at:to, :active]]
+        states = held("states", (to - at, active, shape.hidden + 1), h.dtype)
+        states[..., -1] = 1
+        gates = np.take(table, before[at:to, :active], axis=0, out=held("gates", (to - at, active, table.shape[1]), h.dtype), mode="clip")
         keep = kept[at:to, :active, None].astype(np.float32)
         for t in range(to - at):
             h = h * keep[t]
-            g = gates[t]
-            zr = _sigmoid(g[:, :h2] + h @ w["u"])
-            z = zr[:, : shape.hidden]
-            n = np.tanh(g[:, h2:] + (zr[:, shape.hidden :] * h) @ w["un"])
-            h = n + z * (h - n)
-            states[t] = h
+            g, x = gates[t], h @ w["u"]
+            x += g[:, :h2]
+            zr = _sigmoid(x, x)
+            n = (zr[:, shape.hidden :] * h) @ w["un"]
+            n += g[:, h2:]
+            np.tanh(n, out=n)
+            h -= n
+            h *= zr[:, : shape.hidden]
+            h += n
+            states[t, :, :-1] = h
         real = owner[at:to, :active] >= 0
         targets, owners = token[at:to, :active][real], owner[at:to, :active][real]
-        out += np.bincount(owners, _target_logs(w, shape, states[real], targets), len(texts))
+        out += np.bincount(owners, _target_logs(biased, shape, states[real], targets, held), len(texts))
     return out
 
 
-def _target_logs(w: Weights, shape: Shape, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+def _target_logs(biased: tuple[np.ndarray, np.ndarray, bool], shape: Shape, states: np.ndarray, targets: np.ndarray, held: Held) -> np.ndarray:
+    """ln P of targets after states, which have a last column of ones."""
+    between, inside, tame = biased
     classes = shape.class_of(targets)
-    logits = states @ w["wc"] + w["bc"]
-    top = logits.max(axis=1)
-    logs = (logits[np.arange(len(targets)), classes] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))).astype(np.float64)
     order = np.argsort(classes, kind="stable")
     ends = np.searchsorted(classes[order], np.arange(shape.classes + 1)).tolist()
-    own, slots, add = states[order], shape.slot_of(targets)[order], np.zeros(len(order))
-    for c in range(2, shape.classes):
-        at = slice(ends[c], ends[c + 1])
+    own, there = states[order], order[ends[2] :]
+    # a target's own logit apart, as its power may be nothing
+    logits = np.matmul(own, between, out=held("between", (len(own), shape.classes), own.dtype))
+    if not tame:
+        logits -= logits.max(axis=1, keepdims=True)
+    logs = logits[np.arange(len(own)), classes[order]].astype(np.float64)
+    logs -= np.log(_powers(logits, True, 0)[1])
+    q = _inner(inside, own, ends, held)
+    if not tame:
+        q -= q.max(axis=1, keepdims=True)
+    add = q[np.arange(len(q)), shape.slot_of(targets[there])]
+    logs[ends[2] :] += add - np.log(_powers(q, True, 0)[1])
+    out = np.empty_like(logs)
+    out[order] = logs
+    return out
+
+
+class Held:
+    """Arrays that windows use again; memory that goes back to the system each time costs more than what is done in it."""
+
+    def __init__(self) -> None:
+        self.arrays: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], dtype: np.dtype) -> np.ndarray:
+        size = math.prod(shape)
+        found = self.arrays.get(name)
+        if found is None or found.size < size or found.dtype != dtype:
+            found = self.arrays[name] = np.empty(size, dtype)
+        return found[:size].reshape(shape)
+
+
+#: Logits within this are taken as they are; others lose their row's greatest first.
+TAME = 60
+
+
+def _with_biases(w: Weights) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Weights of the classes and of the words inside them with the biases as a last row or column; and whether all logits are tame."""
+    between, inside = np.concatenate([w["wc"], w["bc"][None]]), np.concatenate([w["ww"], w["bw"][..., None]], axis=2)
+    # a state is within -1 and 1; biases of -1e9 stand for no word
+    tame = all(np.abs(x).sum(axis=axis).max(initial=0) + np.abs(y[y > -1e8]).max(initial=0) < TAME for x, axis, y in ((w["wc"], 0, w["bc"]), (w["ww"], 2, w["bw"])))
+    return between, inside, tame
+
+
+def _powers(logits: np.ndarray, tame: bool, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of the logits, in their place and up to a factor of the row; its sums; and the chosen one of each row."""
+    if not tame:
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    return logits, logits @ np.ones(logits.shape[1], logits.dtype), logits[np.arange(len(logits)), chosen]
+
+
+def _inner(inside: np.ndarray, own: np.ndarray, ends: list[int], held: Held) -> np.ndarray:
+    """Logits inside their class of states in order of their classes; those of classes without blocks come first and are left out."""
+    q = held("q", (len(own) - ends[2], inside.shape[1]), own.dtype)
+    for c in range(2, len(ends) - 1):
         if ends[c + 1] > ends[c]:
-            inner = own[at] @ w["ww"][c].T
-            inner += w["bw"][c]
-            inner -= inner.max(axis=1, keepdims=True)
-            add[at] = inner[np.arange(len(inner)), slots[at]] - np.log(np.exp(inner, out=inner).sum(axis=1))
-    logs[order] += add
-    return logs
+            np.matmul(own[ends[c] : ends[c + 1]], inside[c].T, out=q[ends[c] - ends[2] : ends[c + 1] - ends[2]])
+    return q
 
 
-def window_gradients(w: Weights, shape: Shape, h0: np.ndarray, before: np.ndarray, kept: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, Weights, np.ndarray]:
+def window_gradients(w: Weights, shape: Shape, h0: np.ndarray, before: np.ndarray, kept: np.ndarray, targets: np.ndarray, real: np.ndarray, held: Held | None = None) -> tuple[float, Weights, np.ndarray]:
     """(summed loss, gradients of its mean, last state) of one window; gradients stop at the window's start."""
     steps, width = before.shape
     hd, h2 = shape.hidden, 2 * shape.hidden
     x = w["emb"][before]
     gates = x @ w["wx"] + w["bx"]
     keep = kept[..., None].astype(w["u"].dtype)
-    hin, zr, n, states = (np.empty((steps, width, k), w["u"].dtype) for k in (hd, h2, hd, hd))
+    kind, held = w["u"].dtype, held or Held()
+    hin, zr, n, states, dn, dzr, dstates, of_n, of_z, of_r = (held(f"step {i}", (steps, width, k), kind) for i, k in enumerate((hd, h2, hd, hd, hd, h2, hd, hd, hd, hd)))
     h = h0
     for t in range(steps):
-        hin[t] = h * keep[t]
-        zr[t] = _sigmoid(gates[t, :, :h2] + hin[t] @ w["u"])
-        n[t] = np.tanh(gates[t, :, h2:] + (zr[t, :, hd:] * hin[t]) @ w["un"])
-        h = n[t] + zr[t, :, :hd] * (hin[t] - n[t])
-        states[t] = h
-    grads = {k: np.zeros_like(v) for k, v in w.items()}
-    s, y = states[real], targets[real]
+        np.multiply(h, keep[t], out=hin[t])
+        y = hin[t] @ w["u"]
+        y += gates[t, :, :h2]
+        _sigmoid(y, zr[t])
+        y = (zr[t, :, hd:] * hin[t]) @ w["un"]
+        y += gates[t, :, h2:]
+        np.tanh(y, out=n[t])
+        h = np.subtract(hin[t], n[t], out=states[t])
+        h *= zr[t, :, :hd]
+        h += n[t]
+    grads: Weights = {}
+    between, inside, tame = _with_biases(w)
+    y = targets[real]
+    s = np.ones((len(y), hd + 1), kind)
+    s[:, :hd] = states[real]
     count = max(1, len(y))
-    ds = np.zeros_like(s)
-    loss = 0.0
     classes, slots, rows = shape.class_of(y), shape.slot_of(y), np.arange(len(y))
-    logits = s @ w["wc"] + w["bc"]
-    p = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    loss -= float(np.log(np.maximum(p[rows, classes], 1e-30)).sum())
-    p[rows, classes] -= 1
-    p /= count
-    grads["wc"], grads["bc"] = s.T @ p, p.sum(axis=0)
-    ds += p @ w["wc"].T
+    p, sums, own_p = _powers(s @ between, tame, classes)
+    loss = -float(np.log(np.maximum(own_p / sums, 1e-30)).sum())
+    p *= (1 / (sums * count))[:, None]
+    p[rows, classes] -= 1 / count
+    grad = s.T @ p
+    grads["wc"], grads["bc"] = grad[:-1], grad[-1]
+    ds = p @ w["wc"].T
     # tokens by class, so that each class takes a slice
     order = np.argsort(classes, kind="stable")
     ends = np.searchsorted(classes[order], np.arange(shape.classes + 1)).tolist()
-    own, own_slots, own_ds = s[order], slots[order], np.zeros_like(s)
+    own, own_ds, own_slots = s[order], np.zeros_like(ds), slots[order[ends[2] :]]
+    q, sums, own_q = _powers(_inner(inside, own, ends, held), tame, own_slots)
+    loss -= float(np.log(np.maximum(own_q / sums, 1e-30)).sum())
+    q *= (1 / (sums * count))[:, None]
+    q[np.arange(len(q)), own_slots] -= 1 / count
+    grad = np.zeros_like(inside)
     for c in range(2, shape.classes):
-        at = slice(ends[c], ends[c + 1])
-        n_own = ends[c + 1] - ends[c]
-        if n_own:
-            q = own[at] @ w["ww"][c].T
-            q += w["bw"][c]
-            q -= q.max(axis=1, keepdims=True)
-            np.exp(q, out=q)
-            q /= q.sum(axis=1, keepdims=True)
-            mine = np.arange(n_own), own_slots[at]
-            loss -= float(np.log(np.maximum(q[mine], 1e-30)).sum())
-            q[mine] -= 1
-            q /= count
-            grads["ww"][c], grads["bw"][c] = q.T @ own[at], q.sum(axis=0)
-            np.matmul(q, w["ww"][c], out=own_ds[at])
+        at, part = slice(ends[c], ends[c + 1]), q[ends[c] - ends[2] : ends[c + 1] - ends[2]]
+        if len(part):
+            np.matmul(part.T, own[at], out=grad[c])
+            np.matmul(part, w["ww"][c], out=own_ds[at])
+    grads["ww"], grads["bw"] = np.ascontiguousarray(grad[..., :-1]), np.ascontiguousarray(grad[..., -1])
     ds[order] += own_ds
-    dstates = np.zeros_like(states)
+    last = h.copy()
+    dstates[~real] = 0
     dstates[real] = ds
-    dgates = np.empty_like(gates)
-    dh = np.zeros_like(h0)
+    dgates, dh = gates, np.zeros_like(h0)
+    # what no step changes, for all of them at once
+    z, r = zr[..., :hd], zr[..., hd:]
+    np.subtract(1, z, out=of_n)
+    np.subtract(hin, n, out=of_z)
+    of_z *= of_n
+    of_z *= z
+    n *= n
+    of_n *= np.subtract(1, n, out=n)
+    rh = np.multiply(hin, r, out=n)
+    np.subtract(1, r, out=of_r)
+    of_r *= rh
+    back_n, back_zr = np.ascontiguousarray(w["un"].T), np.ascontiguousarray(w["u"].T)
     for t in range(steps - 1, -1, -1):
-        dh = dh + dstates[t]
-        z, r = zr[t, :, :hd], zr[t, :, hd:]
-        dn = dh * (1 - z) * (1 - n[t] ** 2)
-        drh = dn @ w["un"].T
-        dz = dh * (hin[t] - n[t]) * z * (1 - z)
-        dr = drh * hin[t] * r * (1 - r)
-        dzr = np.concatenate([dz, dr], axis=1)
-        dgates[t, :, :h2], dgates[t, :, h2:] = dzr, dn
-        grads["un"] += (r * hin[t]).T @ dn
-        grads["u"] += hin[t].T @ dzr
-        dh = (dh * z + drh * r + dzr @ w["u"].T) * keep[t]
+        dh += dstates[t]
+        np.multiply(dh, of_n[t], out=dn[t])
+        drh = dn[t] @ back_n
+        np.multiply(dh, of_z[t], out=dzr[t, :, :hd])
+        np.multiply(drh, of_r[t], out=dzr[t, :, hd:])
+        dh *= z[t]
+        drh *= r[t]
+        dh += drh
+        dh += dzr[t] @ back_zr
+        dh *= keep[t]
+    dgates[..., :h2], dgates[..., h2:] = dzr, dn
+    grads["un"], grads["u"] = rh.reshape(-1, hd).T @ dn.reshape(-1, hd), hin.reshape(-1, hd).T @ dzr.reshape(-1, h2)
     flat = dgates.reshape(-1, 3 * hd)
     grads["wx"], grads["bx"] = x.reshape(-1, shape.embedding).T @ flat, flat.sum(axis=0)
     at, back = before.reshape(-1), flat @ w["wx"].T
-    for k in range(shape.embedding):
-        grads["emb"][:, k] = np.bincount(at, back[:, k], shape.tokens)
-    return loss, grads, h
+    each = at[:, None] * shape.embedding + np.arange(shape.embedding)
+    grads["emb"] = np.bincount(each.reshape(-1), back.reshape(-1), w["emb"].size).reshape(w["emb"].shape).astype(kind)
+    return loss, grads, last
 
 
 #: Rows side by side in training: as many as leave STEPS steps to a pass, within these.
@@ -236,14 +305,14 @@ def train(w: Weights, shape: Shape, texts: list[np.ndarray], rate: float = 0.01,
     _, token, owner = streams(texts, min(width, len(texts)))
     before, kept = _inputs(token, owner)
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    h = np.zeros((token.shape[1], shape.hidden), np.float32)
+    h, held = np.zeros((token.shape[1], shape.hidden), np.float32), Held()
     total = -(-len(token) // window)
     for k, at in enumerate(range(0, len(token), window), 1):
         part = slice(at, at + window)
         real = owner[part] >= 0
         if not real.any():
             break
-        _, grads, h = window_gradients(w, shape, h, before[part], kept[part], token[part], real)
+        _, grads, h = window_gradients(w, shape, h, before[part], kept[part], token[part], real, held)
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         clip = min(1.0, 1.0 / (norm + 1e-9))
         step = rate * (1 - 0.9 * k / total) * np.sqrt(1 - 0.999**k) / (1 - 0.9**k)
