@@ -346,6 +346,24 @@ def test_op4_edits_of_any_size_that_the_similarity_allows():
     assert judged > 150
 
 
+def test_op4_seeds_inside_a_stretch_cost_no_look():
+    rng = np.random.default_rng(11)
+    a = rng.integers(0, 1 << 30, 400).astype(np.int32)
+    b = np.concatenate([a[:200], rng.integers(0, 1 << 30, 3).astype(np.int32), a[201:]])
+    places = np.arange(396)
+    shift = np.where(places < 200, 0, 2)
+    c, looks = passages.Comparison(passages.Text(a), passages.Text(b), 50, 0.8), []
+    look = c.stretch
+    c.stretch = lambda p, q: looks.append((p, q)) or look(p, q)
+    c.take((places, places + shift, places % 2 == 0), [])
+    # two stretches, and the places around the edit that agree nowhere
+    assert len(looks) < 10
+    assert [(s, e, t, f, n) for s, e, t, f, _, n in c.rows()] == [(0, 400, 0, 402, 2)]
+    assert sorted(x for those in c.known.values() for x in those) == [[0, 200, 0, 194], [201, 400, 202, 394]]
+    one, two = set(zip(*(a[k : k + 396] for k in range(5)))), set(zip(*(b[k : k + 398] for k in range(5))))
+    assert [v for *_, v, _ in c.rows()] == [len(one & two) / len(one | two)]
+
+
 def test_op4_recall_of_short_edited_passages_is_whole():
     import inspect
 
