@@ -131,6 +131,14 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(min(grid, key=loss)) if len(logits) else 1.0
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists of a column, and where each list starts and the last one ends."""
+    lists = column.combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    starts = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[: starts[-1]], starts
+
+
 def train(df: DataFrame, learnable: Column, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from rows that are learnable and have a text and a lang; nothing else of them is used.
 
@@ -159,15 +167,18 @@ def train(df: DataFrame, learnable: Column, s: Settings = Settings(), id_col: st
             )
 
     sample = d.where(F.col("lang").isin(langs)).where(draw).select("text", "lang", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(23)).alias("order"))
-    got = sample.mapInArrow(features, "at array<int>, tf array<float>, lang string, order bigint").toPandas().sort_values("order", kind="stable")
-    rows, labels = [], np.array([langs.index(x) for x in got["lang"]], np.int64)
-    for at, tf in zip(got["at"], got["tf"], strict=True):
-        # an empty text comes back as an array of no type
-        at = np.asarray(at, np.int64)
-        x = np.asarray(tf, np.float64) * idf[at]
+    # numbers stay in Arrow's arrays: as objects of pandas they take the driver several times as much
+    got = sample.mapInArrow(features, "at array<int>, tf array<float>, lang string, order bigint").toArrow().combine_chunks()
+    order = np.argsort(got["order"].to_numpy(), kind="stable").tolist()
+    drawn = got["lang"].to_pylist()
+    rows, labels = [], np.array([langs.index(drawn[i]) for i in order], np.int64)
+    (at, ends), (tf, _) = (_lists(got[name]) for name in ("at", "tf"))
+    for i in order:
+        one, x = at[ends[i] : ends[i + 1]], tf[ends[i] : ends[i + 1]]
+        x = x.astype(np.float64) * idf[one]
         norm = np.sqrt((x * x).sum())
-        rows.append((at, (x / norm if norm else x).astype(np.float32)))
-    del got
+        rows.append((one, (x / norm if norm else x).astype(np.float32)))
+    del got, tf
     kept_back = np.arange(len(rows)) % 5 == 4
     fit = np.flatnonzero(~kept_back)
     weights = ftrl([rows[i] for i in fit], labels[fit], len(langs), 1 << s.bits, s)

@@ -1,7 +1,7 @@
 """Secret scans from built-in functions only: patterns find candidates, a random forest removes false positives.
 
 Everything about a document happens in its row: candidates and the text between them are cut by one pattern, so
-neighbouring words need no positions; features are string expressions; the trained trees become expressions too.
+neighbouring words need no positions; features are string expressions; the trained trees are walked by expressions too.
 No rows are shuffled. The forest is trained on labelled findings: rows (before, value, after, label) of the caller,
 or the built-in ones, which a rule makes.
 """
@@ -89,7 +89,8 @@ def built_in_findings(spark: SparkSession, n: int = 5000) -> DataFrame:
     """(before, value, after, label): findings of the common true and false kinds, made from digests of their number."""
     d = spark.range(n).select("id", F.sha2(F.concat(F.lit("a"), F.col("id")), 256).alias("h"), F.sha2(F.concat(F.lit("b"), F.col("id")), 256).alias("g"))
     mixed = F.translate(F.base64(F.unhex("h")), "+/=", "xYz")
-    pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
+    # one literal for a list of words: an expression for each makes plans that take the driver's memory and time
+    pick = lambda words, salt: F.element_at(F.split(F.lit("\x1f".join(words)), "\x1f"), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
     plain = pick(("the ", "of this and ", "see ", "with on ", "a\n", "", "for it, "), 1)
     keyed = F.concat(pick(("password", "token", "secret", "api_key", "apikey", "auth", "access_key", "PASSWORD", "Token"), 2), pick(("=", " = ", ": ", '="', ' = "', ":'"), 3))
     named = F.concat(pick(("commit ", "checksum ", "sha256: ", "md5 ", "uuid ", "build ", "etag: ", "revision ", "digest "), 4))
@@ -204,11 +205,44 @@ def _fit(rows: DataFrame, trees: int, depth: int):
     return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=5).fit(rows)
 
 
+def _flat(forest: list[Tree]) -> tuple[list[int], list[tuple[int, float, int, int, float]], int]:
+    """Roots, the nodes (feature, threshold, left, right, share) of all trees by number, and the greatest depth.
+
+    A leaf is followed by itself.
+    """
+    nodes: list[tuple[int, float, int, int, float]] = []
+
+    def add(tree: Tree) -> tuple[int, int]:
+        at = len(nodes)
+        if not isinstance(tree, tuple):
+            nodes.append((0, 0.0, at, at, float(tree)))
+            return at, 0
+        nodes.append(())
+        (left, one), (right, two) = add(tree[2]), add(tree[3])
+        nodes[at] = (tree[0], float(tree[1]), left, right, 0.0)
+        return at, 1 + max(one, two)
+
+    added = [add(t) for t in forest]
+    return [at for at, _ in added], nodes, max(depth for _, depth in added)
+
+
+def _probability(forest: list[Tree], x: Column) -> Column:
+    """The mean share of the leaves that an array of FEATURES comes to.
+
+    The trees are walked in arrays of constants, each one literal. An expression for each of their nodes makes a plan whose
+    analysis takes hundreds of MB of the driver.
+    """
+    roots, nodes, depth = _flat(forest)
+    constants = lambda values, kind: F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+    feature, threshold, left, right, share = (constants(v, k) for v, k in zip(zip(*nodes, strict=True), ("int", "double", "int", "int", "double"), strict=True))
+    step = lambda at, _: F.when(F.get(x, F.get(feature, at)) <= F.get(threshold, at), F.get(left, at)).otherwise(F.get(right, at))
+    leaf = lambda root: F.aggregate(F.sequence(F.lit(1), F.lit(depth)), root, step) if depth else root
+    return F.aggregate(constants(roots, "int"), F.lit(0.0), lambda total, root: total + F.get(share, leaf(root))) / len(forest)
+
+
 def _score(tree: Tree, x: Column) -> Column:
-    if not isinstance(tree, tuple):
-        return F.lit(float(tree))
-    at, threshold, left, right = tree
-    return F.when(x[FEATURES[at]] <= threshold, _score(left, x)).otherwise(_score(right, x))
+    """The share of the leaf that a struct of FEATURES comes to."""
+    return _probability([tree], F.array(*[x[name] for name in FEATURES]))
 
 
 def scan(df: DataFrame, forest: list[Tree], text_col: str = "text") -> DataFrame:
@@ -223,8 +257,8 @@ def scan(df: DataFrame, forest: list[Tree], text_col: str = "text") -> DataFrame
 
     def judge(value: Column, i: Column) -> Column:
         before, after = F.get("between", i), F.get("between", i + 1)
-        named = F.struct(*[c.alias(n) for n, c in zip(FEATURES, features(before, value, after), strict=True)])
-        p = F.transform(F.array(named), lambda x: sum((_score(t, x) for t in forest[1:]), _score(forest[0], x)) / len(forest))[0]
+        # the features are worked out once: as elements of an array they are bound to a variable
+        p = F.transform(F.array(F.array(*features(before, value, after))), lambda x: _probability(forest, x))[0]
         return F.struct(i.alias("nth"), value.alias("value"), F.substring(before, -40, 40).alias("before"), p.alias("p"))
 
     return df.select("row", "between", F.transform("values", judge).alias("found"))
