@@ -214,6 +214,20 @@ def test_dom_rules():
     assert dom.parse("<ul><li>a<li>b</ul>").text(" ") == "a b"
 
 
+def test_a_paragraph_below_an_open_bold_word_counts_once():
+    """An article of 79 characters whose paragraphs stand below one another: twice their text would pass for an article."""
+    short, story = "A word.", "The rest of the story, which goes on a bit further than that, and ends."
+    page = f"<article><p><b>{short}<br><p>{story}</p></article>"
+    assert len(dom.parse(page).text(" ")) == 79 and dom.article_body(page) == dom.article_body(page, dom.ARCHIVE_BODIES, dom.ARCHIVE_NOISE) == ""
+    assert [n.text() for n in dom.parse(page).walk() if n.tag == "p"] == [short, story]
+    # blocks end a paragraph, a paragraph in a block ends none around the block
+    root = dom.parse("<p>a<i>b<div class=ad><p>c<p>d</div><p>e")
+    assert [n.text() for n in root.walk() if n.tag == "p"] == ["ab", "c", "d", "e"]
+    root.drop(".ad")
+    assert root.text() == "abe"
+    assert sum(n.tag == "p" for n in dom.parse("<i><p>x</p>" * 30_000).walk()) == 30_000
+
+
 def test_html_expressions(spark):
     page = '<meta content="2024-01-01" name="date"><meta property="og:title" content="Big &amp; news"><h1>Other</h1><title>T</title>'
     r = spark.range(1).select(html.title(F.lit(page)), html.published(F.lit(page)), html.clean_post(F.lit("a<br>b &gt; <i>c</i> ")), html.title(F.lit("<p>x</p>")), html.published(F.lit("<p>"))).first()
