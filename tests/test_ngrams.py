@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 from verascope.functions import perplexity
+from verascope import session
 from verascope.operators import ngrams
 from verascope.session import shared_dir
 from verascope.plans import ingest
@@ -89,3 +90,46 @@ def test_scores_write_no_triples_and_shuffle_them_for_look_ups_alone(spark):
     # five look-ups of triples, the sum, the ids, and their join; nothing is grouped to be joined back
     text = found._jdf.queryExecution().sparkPlan().toString()
     assert text.count("HashAggregate") <= 4 and len({r.score_perplexity for r in found.collect()}) == 1
+
+
+def test_own_scores_are_those_of_the_model_of_the_same_texts(spark):
+    rows = [r for r in texts() if r[0] != 902] + [(5, "the sea the sea and"), (None, "old boat"), (None, "the man")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score_perplexity for r in ngrams.own_scores(df).collect()}
+    want = {r.doc_id: r.score_perplexity for r in ngrams.scores(df, ngrams.train(df)).collect()}
+    assert got == {i: pytest.approx(x) for i, x in want.items()} and len(got) == len({i for i, _ in rows})
+    alone = [r for r in texts() if r[0] < 900]
+    want, _ = plain(alone, alone)
+    got = {r.doc_id: r.score_perplexity for r in ngrams.own_scores(spark.createDataFrame(alone, "doc_id long, text string")).collect()}
+    assert got == {i: pytest.approx(x) for i, x in want.items()}
+    assert ngrams.own_scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_the_query_shuffles_triples_three_times_and_leaves_no_files_of_them(spark, sf, monkeypatch):
+    """Once each to count them and look them up below, once home; the files of what was written are gone."""
+    seen, files = [], lambda: sum("shuffle_" in f.getName() for f in map(blocks.apply, range(blocks.size())))
+    real = ngrams.written
+
+    def written(df, tag, **how):
+        seen.append((tag, str(df._jdf.queryExecution().optimizedPlan()).count("RepartitionByExpression")))
+        return real(df, tag, **how)
+
+    monkeypatch.setattr(ngrams, "written", written)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    blocks = disk.getAllFiles()
+    before = files()
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    found = ngrams.own_scores(df)
+    blocks = disk.getAllFiles()
+    # the discounts' and the words' totals leave a few, of one row a task
+    assert files() - before <= 40 and dict(seen)["own-triples"] == 1
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") <= 2 and "Window" not in plan
+    assert spark.conf.get(session.RELEASE) == "false"
+
+
+def test_the_catalogue_scores_by_three_shuffles(spark, sf, monkeypatch):
+    from verascope.plans import catalogue
+
+    monkeypatch.setattr(ngrams, "train", None)
+    assert catalogue.QUERIES["perplexity_scores"](spark, sf).count() > 0

@@ -660,7 +660,7 @@ def _perplexity(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of all sources but one train the model and are judged by it; the one that goes without has no score."""
     d = _DOCS(spark, sf).select("doc_id", "source", "text")
     judged = d.where("source <> 'src1'")
-    found = ngrams.scores(judged, ngrams.train(judged))
+    found = ngrams.own_scores(judged)
     return d.join(found, "doc_id", "left").select("doc_id", F.round("score_perplexity", 8).alias("score_perplexity"))
 
 
